@@ -38,18 +38,16 @@ STORED = rf"^({_PIECE} +){{4}}({_PIECE} ?)\z"
 EVERY_MINUTE = "* * * * *"
 
 
-def _item_values(item: Column, low: int, high: int) -> Column:
+def _item_values(item: Column, low: Column, high: Column) -> Column:
     """Numbers one item stands for; NULL when it is malformed or out of range."""
     head = F.split_part(item, F.lit("/"), F.lit(1))
     step_text = F.split_part(item, F.lit("/"), F.lit(2))
-    any_value = head.startswith("*")
-    first_text = F.split_part(head, F.lit("-"), F.lit(1))
+    any_value = item.startswith("*")
     last_text = F.split_part(head, F.lit("-"), F.lit(2))
-
-    first = F.when(any_value, F.lit(low)).otherwise(first_text.try_cast("int"))
+    first = F.when(any_value, low).otherwise(F.split_part(head, F.lit("-"), F.lit(1)).try_cast("int"))
     last = (
         F.when(last_text != "", last_text.try_cast("int"))
-        .when(any_value | (step_text != ""), F.lit(high))
+        .when(any_value | (step_text != ""), high)
         .otherwise(first)
     )
     step = F.when(step_text == "", F.lit(1)).otherwise(step_text.try_cast("int"))
@@ -70,12 +68,11 @@ def _item_values(item: Column, low: int, high: int) -> Column:
     return F.when(item.rlike(ITEM), let(bounds, expand))
 
 
-def _field_values(text: Column, low: int, high: int) -> Column:
-    # flatten() is NULL as soon as one item is NULL: one bad item spoils its field.
-    found = F.flatten(F.transform(F.split(text, ","), lambda item: _item_values(item, low, high)))
-    return let(
-        F.array_sort(F.array_distinct(found)),
-        lambda values: F.when(F.size(values) > 0, values),
+def _field_values(field: Column) -> Column:
+    """Sorted distinct numbers of a (text, low, high) field; NULL if one item is bad."""
+    items = F.split(field["text"], ",")
+    return F.array_sort(
+        F.array_distinct(F.flatten(F.transform(items, lambda item: _item_values(item, field["low"], field["high"]))))
     )
 
 
@@ -85,21 +82,20 @@ def cron_fields(cron: Column) -> Column:
     Only the first five whitespace-separated fields are read. An empty range
     inside a list adds nothing; a field with no number left is an error.
     """
-    parts = F.split(cron, r"\s+")
-    parsed = F.struct(
-        *[
-            _field_values(F.get(parts, F.lit(i)), low, high).alias(name)
-            for i, (name, low, high) in enumerate(FIELDS)
-        ]
-    )
 
-    def whole(s: Column) -> Column:
-        ok = F.lit(True)
-        for name, _, _ in FIELDS:
-            ok = ok & s[name].isNotNull()
-        return F.when(ok, s)
+    def fields_of(parts: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(F.get(parts, F.lit(i)).alias("text"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+                for i, (_, low, high) in enumerate(FIELDS)
+            ]
+        )
+
+    def named(values: Column) -> Column:
+        whole = F.struct(*[values[i].alias(name) for i, (name, _, _) in enumerate(FIELDS)])
+        return F.when(F.forall(values, lambda v: F.coalesce(F.size(v) > 0, F.lit(False))), whole)
 
-    return F.when(cron.isNotNull(), let(parsed, whole))
+    return let(F.transform(let(F.split(cron, r"\s+"), fields_of), _field_values), named)
 
 
 def _mask(values: Column) -> Column:
@@ -108,14 +104,14 @@ def _mask(values: Column) -> Column:
     )
 
 
+def field_masks(fields: Column) -> Column:
+    """Parsed fields as 64-bit sets, so a membership test is one shift and one AND."""
+    return F.struct(*[_mask(fields[name]).alias(name) for name, _, _ in FIELDS])
+
+
 def cron_masks(cron: Column) -> Column:
-    """The five fields as 64-bit sets, so a membership test is one shift and one AND."""
-    return let(
-        cron_fields(cron),
-        lambda s: F.when(
-            s.isNotNull(), F.struct(*[_mask(s[name]).alias(name) for name, _, _ in FIELDS])
-        ),
-    )
+    """``cron`` straight to bit sets; NULL if it does not parse."""
+    return let(cron_fields(cron), lambda s: F.when(s.isNotNull(), field_masks(s)))
 
 
 def in_mask(mask: Column, bit: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import cron as C
-from tickloom.functions.binding import from_micros, let, micros
+from tickloom.functions.binding import from_micros, micros
 from tickloom.operators import blocked
 from tickloom.operators.jobs import live_chains
 from tickloom.session import fits_broadcast
@@ -20,14 +20,23 @@ def distinct_schedules(schedules: DataFrame, run_at: str = "run_at") -> DataFram
     return schedules.select(run_at).where(F.col(run_at).isNotNull()).distinct()
 
 
+def parsed_schedules(schedules: DataFrame, run_at: str = "run_at") -> DataFrame:
+    """Distinct texts that parse, with their fields ``f``.
+
+    The one-element explode drops unparsable texts and keeps the optimizer from
+    copying the parse into every later use of ``f``.
+    """
+    fields = F.array_compact(F.array(C.cron_fields(F.col(run_at))))
+    return distinct_schedules(schedules, run_at).select(run_at, F.explode(fields).alias("f"))
+
+
 def cron_field_rows(schedules: DataFrame, run_at: str = "run_at") -> DataFrame:
     """One row per (schedule text, field, value) of every text that parses."""
-    parsed = distinct_schedules(schedules, run_at).select(run_at, C.cron_fields(F.col(run_at)).alias("f"))
     named = F.array(
         *[F.struct(F.lit(n).alias("field"), F.col(f"f.{n}").alias("vals")) for n, _, _ in C.FIELDS]
     )
     return (
-        parsed.where(F.col("f").isNotNull())
+        parsed_schedules(schedules, run_at)
         .select(run_at, F.explode(named).alias("x"))
         .select(run_at, F.col("x.field").alias("field"), F.explode("x.vals").alias("value"))
     )
@@ -46,16 +55,8 @@ def schedule_check(schedules: DataFrame, run_at: str = "run_at") -> DataFrame:
 def _expanded(schedules: DataFrame, run_at: str, stored: bool, by_day: bool) -> DataFrame:
     """Schedule texts on the equi-join key: minute of day, and day of month when ``by_day``."""
     usable = F.col(run_at).rlike(C.STORED) if stored else F.lit(True)
-    parsed = (
-        distinct_schedules(schedules, run_at)
-        .where(usable)
-        .select(
-            F.col(run_at).alias("schedule"),
-            C.cron_fields(F.col(run_at)).alias("f"),
-            C.cron_masks(F.col(run_at)).alias("m"),
-        )
-        .where(F.col("f").isNotNull())
-    )
+    masks = F.explode(F.array(C.field_masks(F.col("f")))).alias("m")
+    parsed = parsed_schedules(schedules.where(usable), run_at).select(F.col(run_at).alias("schedule"), "f", masks)
     cols = ["schedule", "days_mask", "months_mask", "dow_mask", "minute_of_day"]
     d = parsed.select(
         "schedule",
@@ -119,18 +120,18 @@ def match_counts(
 
 
 def months_of(schedules: DataFrame, from_ts: Column, run_at: str = "run_at") -> DataFrame:
-    f = distinct_schedules(schedules, run_at).select(run_at, C.cron_fields(F.col(run_at)).alias("f"))
+    f = parsed_schedules(schedules, run_at)
     return f.select(run_at, F.explode(C.cron_months(from_ts, F.col("f.months"))).alias("month_start"))
 
 
 def days_of(schedules: DataFrame, from_ts: Column, run_at: str = "run_at", sunday_seven: bool = False) -> DataFrame:
-    f = distinct_schedules(schedules, run_at).select(run_at, C.cron_fields(F.col(run_at)).alias("f"))
+    f = parsed_schedules(schedules, run_at)
     days = C.cron_days(from_ts, F.col("f.months"), F.col("f.days"), F.col("f.dow"), sunday_seven)
     return f.select(run_at, F.explode(days).alias("day"))
 
 
 def times_of(schedules: DataFrame, run_at: str = "run_at") -> DataFrame:
-    f = distinct_schedules(schedules, run_at).select(run_at, C.cron_fields(F.col(run_at)).alias("f"))
+    f = parsed_schedules(schedules, run_at)
     return f.select(run_at, F.explode(C.cron_times(F.col("f.hours"), F.col("f.mins"))).alias("minute_of_day"))
 
 
@@ -146,7 +147,7 @@ def cron_runs(
     The horizon is whole months, up to and including the month a year ahead;
     ``until`` (inclusive) cuts it, and cuts days before times are expanded.
     """
-    f = distinct_schedules(schedules, run_at).select(run_at, C.cron_fields(F.col(run_at)).alias("f"))
+    f = parsed_schedules(schedules, run_at)
     days = C.cron_days(from_ts, F.col("f.months"), F.col("f.days"), F.col("f.dow"), sunday_seven)
     first, last = F.to_date(from_ts), None if until is None else F.to_date(until)
     days = F.filter(days, lambda d: (d >= first) if last is None else (d >= first) & (d <= last))
@@ -160,9 +161,13 @@ def cron_runs(
 
 
 def next_runs(schedules: DataFrame, now: Column, key: str = "chain_id", run_at: str = "run_at", sunday_seven: bool = False) -> DataFrame:
-    """Next run per schedule row, NULL when there is none or the text may not be stored."""
-    usable = F.when(F.col(run_at).rlike(C.STORED), F.col(run_at))
-    return schedules.select(key, C.next_cron_run(usable, now, sunday_seven).alias("next_run"))
+    """Next run per schedule row, NULL when there is none or the text may not be stored.
+
+    Searched once per distinct text; the join back has one row per text on its side.
+    """
+    texts = distinct_schedules(schedules.where(F.col(run_at).rlike(C.STORED)), run_at)
+    found = texts.select(F.col(run_at), C.next_cron_run(F.col(run_at), now, sunday_seven).alias("next_run"))
+    return schedules.select(key, run_at).join(found, run_at, "left").select(key, "next_run")
 
 
 def classes(schedules: DataFrame, key: str = "chain_id", run_at: str = "run_at") -> DataFrame:
@@ -217,9 +222,11 @@ def after_drift(runs: DataFrame, schedules: DataFrame, block_seconds: int = 86_4
 
 def due_now(schedules: DataFrame, client: str, now: Column, run_at: str = "run_at") -> DataFrame:
     """Live, client-eligible chains whose cron schedule hits ``now``; '@' schedules never do."""
-    usual = ~F.coalesce(F.col(run_at).startswith("@"), F.lit(False))
-    due = F.when(usual, C.is_cron_in_time(F.col(run_at), now)).otherwise(F.lit(False))
-    return live_chains(schedules.where(due), client)
+    usual = schedules.where(~F.coalesce(F.col(run_at).startswith("@"), F.lit(False)))
+    texts = distinct_schedules(usual, run_at)
+    due = texts.where(C.is_cron_in_time(F.col(run_at), now))
+    always = usual.where(F.col(run_at).isNull())
+    return live_chains(always.unionByName(usual.join(due, run_at, "left_semi").select(*usual.columns)), client)
 
 
 def missed_runs(
@@ -243,20 +250,21 @@ def missed_run_counts(
     """
     per_text = cron_runs(schedules, from_ts, until, run_at).groupBy(run_at).agg(F.count(F.lit(1)).alias("expected"))
     minute = F.date_trunc("minute", F.col("last_run")).cast("timestamp_ntz")
+    texts = parsed_schedules(schedules, run_at).select(run_at, F.explode(F.array(C.field_masks(F.col("f")))).alias("m"))
     logged = (
         log.select(key, minute.alias("at"))
         .where((F.col("at") > from_ts) & (F.col("at") <= until))
         .distinct()
-        .join(schedules.select(key, C.cron_masks(F.col(run_at)).alias("m")), key)
+        .join(schedules.select(key, run_at), key)
+        .join(texts, run_at)
     )
-    at = F.col("at")
-    hit = let(
-        F.col("m"),
-        lambda m: C.in_mask(m["months"], F.month(at))
+    at, m = F.col("at"), F.col("m")
+    hit = (
+        C.in_mask(m["months"], F.month(at))
         & C.in_mask(m["dow"], C.dow0(at))
         & C.in_mask(m["days"], F.dayofmonth(at))
         & C.in_mask(m["hours"], F.hour(at))
-        & C.in_mask(m["mins"], F.minute(at)),
+        & C.in_mask(m["mins"], F.minute(at))
     )
     met = logged.where(hit).groupBy(key).agg(F.count(F.lit(1)).alias("met"))
     return (
