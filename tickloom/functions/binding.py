@@ -11,6 +11,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def let_sql(value: Column, body: str) -> Column:
+    """Like ``let`` with the body as SQL text over ``x``: one call instead of one per operator."""
+    return F.call_function("transform", F.array(value), F.expr(f"x -> {body}"))[0]
+
+
 def micros(ts: Column) -> Column:
     """Timestamp as integer microseconds, the unit of every duration in this library."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.functions.binding import let
+from tickloom.functions.binding import let, let_sql
 from tickloom.functions.intervals import interval_seconds
 
 # The five cron fields with their allowed ranges.
@@ -38,42 +38,35 @@ STORED = rf"^({_PIECE} +){{4}}({_PIECE} ?)\z"
 EVERY_MINUTE = "* * * * *"
 
 
-def _item_values(item: Column, low: Column, high: Column) -> Column:
-    """Numbers one item stands for; NULL when it is malformed or out of range."""
-    head = F.split_part(item, F.lit("/"), F.lit(1))
-    step_text = F.split_part(item, F.lit("/"), F.lit(2))
-    any_value = item.startswith("*")
-    last_text = F.split_part(head, F.lit("-"), F.lit(2))
-    first = F.when(any_value, low).otherwise(F.split_part(head, F.lit("-"), F.lit(1)).try_cast("int"))
-    last = (
-        F.when(last_text != "", last_text.try_cast("int"))
-        .when(any_value | (step_text != ""), high)
-        .otherwise(first)
-    )
-    step = F.when(step_text == "", F.lit(1)).otherwise(step_text.try_cast("int"))
-
-    def expand(b: Column) -> Column:
-        # The last number really reached decides the range check, and bounds the array.
-        reached = b["a"] + F.floor((b["z"] - b["a"]) / b["s"]) * b["s"]
-        return (
-            F.when(b["a"].isNull() | b["z"].isNull() | b["s"].isNull() | (b["s"] <= 0), None)
-            .when(b["z"] < b["a"], F.array().cast("array<int>"))
-            .when((b["a"] < low) | (reached > high), None)
-            .otherwise(F.sequence(b["a"].cast("int"), reached.cast("int"), b["s"].cast("int")))
-        )
+# Numbers one item of field f stands for; NULL when it is malformed or out of range.
+# The last number really reached decides the range check, and bounds the array.
+_ITEM_SQL = f"""
+CASE WHEN item RLIKE r'{ITEM}' THEN transform(array(named_struct(
+    'a', CASE WHEN startswith(item, '*') THEN f.low ELSE try_cast(split_part(split_part(item, '/', 1), '-', 1) AS INT) END,
+    'z', CASE WHEN contains(item, '-') THEN try_cast(split_part(split_part(item, '/', 1), '-', 2) AS INT)
+              WHEN startswith(item, '*') OR contains(item, '/') THEN f.high ELSE try_cast(item AS INT) END,
+    's', CASE WHEN contains(item, '/') THEN try_cast(split_part(item, '/', 2) AS INT) ELSE 1 END)),
+  b -> CASE WHEN b.a IS NULL OR b.z IS NULL OR b.s IS NULL OR b.s <= 0 THEN NULL
+            WHEN b.z < b.a THEN CAST(array() AS ARRAY<INT>)
+            WHEN b.a < f.low OR b.a + ((b.z - b.a) div b.s) * b.s > f.high THEN NULL
+            ELSE sequence(b.a, CAST(b.a + ((b.z - b.a) div b.s) * b.s AS INT), b.s) END)[0] END"""
+
+_PARTS_SQL = ", ".join(
+    f"named_struct('text', get(x, {i}), 'low', {low}, 'high', {high})" for i, (_, low, high) in enumerate(FIELDS)
+)
 
-    bounds = F.struct(
-        first.cast("bigint").alias("a"), last.cast("bigint").alias("z"), step.cast("bigint").alias("s")
-    )
-    return F.when(item.rlike(ITEM), let(bounds, expand))
+# flatten() is NULL as soon as one item is NULL: one bad item spoils its field.
+_FIELDS_SQL = f"""
+transform(array({_PARTS_SQL}),
+    f -> sort_array(array_distinct(flatten(transform(split(f.text, ','), item -> {_ITEM_SQL})))))"""
 
+_NAMED_SQL = f"""
+CASE WHEN forall(x, v -> coalesce(size(v) > 0, false))
+THEN named_struct({", ".join(f"'{name}', x[{i}]" for i, (name, _, _) in enumerate(FIELDS))}) END"""
 
-def _field_values(field: Column) -> Column:
-    """Sorted distinct numbers of a (text, low, high) field; NULL if one item is bad."""
-    items = F.split(field["text"], ",")
-    return F.array_sort(
-        F.array_distinct(F.flatten(F.transform(items, lambda item: _item_values(item, field["low"], field["high"]))))
-    )
+_MASKS_SQL = "named_struct({})".format(
+    ", ".join(f"'{name}', aggregate(x.{name}, 0L, (acc, v) -> acc | shiftleft(1L, v))" for name, _, _ in FIELDS)
+)
 
 
 def cron_fields(cron: Column) -> Column:
@@ -82,36 +75,17 @@ def cron_fields(cron: Column) -> Column:
     Only the first five whitespace-separated fields are read. An empty range
     inside a list adds nothing; a field with no number left is an error.
     """
-
-    def fields_of(parts: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(F.get(parts, F.lit(i)).alias("text"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-                for i, (_, low, high) in enumerate(FIELDS)
-            ]
-        )
-
-    def named(values: Column) -> Column:
-        whole = F.struct(*[values[i].alias(name) for i, (name, _, _) in enumerate(FIELDS)])
-        return F.when(F.forall(values, lambda v: F.coalesce(F.size(v) > 0, F.lit(False))), whole)
-
-    return let(F.transform(let(F.split(cron, r"\s+"), fields_of), _field_values), named)
-
-
-def _mask(values: Column) -> Column:
-    return F.aggregate(
-        values, F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), v))
-    )
+    return let_sql(let_sql(F.split(cron, r"\s+"), _FIELDS_SQL), _NAMED_SQL)
 
 
 def field_masks(fields: Column) -> Column:
     """Parsed fields as 64-bit sets, so a membership test is one shift and one AND."""
-    return F.struct(*[_mask(fields[name]).alias(name) for name, _, _ in FIELDS])
+    return let_sql(fields, _MASKS_SQL)
 
 
 def cron_masks(cron: Column) -> Column:
     """``cron`` straight to bit sets; NULL if it does not parse."""
-    return let(cron_fields(cron), lambda s: F.when(s.isNotNull(), field_masks(s)))
+    return let_sql(cron_fields(cron), f"CASE WHEN x IS NOT NULL THEN {_MASKS_SQL} END")
 
 
 def in_mask(mask: Column, bit: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.functions.binding import let
+from tickloom.functions.binding import let_sql
 
 # Unit spellings and their length in seconds. Months and years are
 # counted apart: twelve months are 365.25 days, a single month is 30 days.
@@ -32,6 +32,7 @@ _UNIT = "|".join(u for names, _ in SECOND_UNITS + MONTH_UNITS for u in names)
 _TERM = rf"({_NUMBER})\s*({_UNIT})\b"
 _CLOCK = r"([+-]?)(\d+):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?"
 _WHOLE = rf"^@?\s*(?:{_TERM}\s*)*(?:{_CLOCK}\s*|{_NUMBER}\s*)?(?:ago\s*)?\z"
+_BARE = rf"(?:^|\s)({_NUMBER})\s*(?:ago\s*)?\z"
 _ISO = (
     rf"^p(?=.)(?:({_NUMBER})y)?(?:({_NUMBER})m)?(?:({_NUMBER})w)?(?:({_NUMBER})d)?"
     rf"(?:t(?=.)(?:({_NUMBER})h)?(?:({_NUMBER})m)?(?:({_NUMBER})s)?)?\z"
@@ -40,58 +41,41 @@ _ISO = (
 
 
 
-def _num(text: Column) -> Column:
-    return F.coalesce(text.try_cast("double"), F.lit(0.0))
+def _sizes(table) -> str:
+    return "map({})".format(", ".join(f"'{name}', {size}D" for names, size in table for name in names))
 
 
-def _sizes(table) -> Column:
-    pairs = [F.lit(x) for names, size in table for name in names for x in (name, float(size))]
-    return F.create_map(*pairs)
-
-
-def _months_to_seconds(months: Column) -> Column:
-    def split(m: Column) -> Column:
-        years = F.signum(m) * F.floor(F.abs(m) / 12)
-        return years * YEAR_SECONDS + (m - years * 12) * MONTH_SECONDS
-
-    return let(months, split)
+def _total(table) -> str:
+    return (
+        f"aggregate(zip_with(regexp_extract_all(x, r'{_TERM}', 1), regexp_extract_all(x, r'{_TERM}', 2),"
+        f" (n, u) -> CAST(n AS DOUBLE) * coalesce(try_element_at({_sizes(table)}, u), 0D)), 0D, (acc, v) -> acc + v)"
+    )
 
 
-def _plain_seconds(t: Column) -> Column:
-    def total(table) -> Column:
-        sizes = _sizes(table)
-        return F.aggregate(
-            F.zip_with(
-                F.regexp_extract_all(t, F.lit(_TERM), F.lit(1)),
-                F.regexp_extract_all(t, F.lit(_TERM), F.lit(2)),
-                lambda n, u: _num(n) * F.coalesce(F.try_element_at(sizes, u), F.lit(0.0)),
-            ),
-            F.lit(0.0),
-            lambda acc, x: acc + x,
-        )
+def _months(months: str) -> str:
+    """Months to seconds: whole years at their length, what is left at a month's."""
+    return (
+        f"transform(array({months}), m -> sign(m) * floor(abs(m) / 12) * {YEAR_SECONDS}D"
+        f" + (m - sign(m) * floor(abs(m) / 12) * 12) * {MONTH_SECONDS}D)[0]"
+    )
 
-    def clock(group: int) -> Column:
-        return _num(F.regexp_extract(t, _CLOCK, group))
 
-    sign = F.when(F.regexp_extract(t, _CLOCK, 1) == "-", -1.0).otherwise(1.0)
-    bare = _num(F.regexp_extract(t, rf"(?:^|\s)({_NUMBER})\s*(?:ago\s*)?\z", 1))
-    seconds = (
-        total(SECOND_UNITS)
-        + _months_to_seconds(total(MONTH_UNITS))
-        + sign * (clock(2) * 3600 + clock(3) * 60 + clock(4))
-        + bare
-    )
-    return F.when(t.endswith("ago"), -1.0).otherwise(1.0) * seconds
+def _group(pattern: str, group: int) -> str:
+    return f"coalesce(try_cast(regexp_extract(x, r'{pattern}', {group}) AS DOUBLE), 0D)"
 
 
-def _iso_seconds(t: Column) -> Column:
-    def part(group: int) -> Column:
-        return _num(F.regexp_extract(t, _ISO, group))
+_PLAIN_SQL = f"""
+CASE WHEN endswith(x, 'ago') THEN -1D ELSE 1D END * (
+    {_total(SECOND_UNITS)} + {_months(_total(MONTH_UNITS))}
+    + CASE WHEN regexp_extract(x, r'{_CLOCK}', 1) = '-' THEN -1D ELSE 1D END
+      * ({_group(_CLOCK, 2)} * 3600 + {_group(_CLOCK, 3)} * 60 + {_group(_CLOCK, 4)})
+    + {_group(_BARE, 1)})"""
 
-    return (
-        _months_to_seconds(part(1) * 12 + part(2))
-        + part(3) * 604800 + part(4) * 86400 + part(5) * 3600 + part(6) * 60 + part(7)
-    )
+_ISO_SQL = (
+    _months(f"{_group(_ISO, 1)} * 12 + {_group(_ISO, 2)}")
+    + f" + {_group(_ISO, 3)} * 604800 + {_group(_ISO, 4)} * 86400"
+    + f" + {_group(_ISO, 5)} * 3600 + {_group(_ISO, 6)} * 60 + {_group(_ISO, 7)}"
+)
 
 
 def interval_seconds(text: Column) -> Column:
@@ -99,9 +83,7 @@ def interval_seconds(text: Column) -> Column:
 
     A bare number at the end counts as seconds. NULL in, NULL out.
     """
-    return let(
+    return let_sql(
         F.lower(F.trim(text)),
-        lambda t: F.when(t.rlike(_ISO), _iso_seconds(t)).when(
-            t.rlike(_WHOLE) & t.rlike(r"\d"), _plain_seconds(t)
-        ),
+        f"CASE WHEN x RLIKE r'{_ISO}' THEN {_ISO_SQL} WHEN x RLIKE r'{_WHOLE}' AND x RLIKE r'[0-9]' THEN {_PLAIN_SQL} END",
     )

@@ -43,8 +43,11 @@ def enabled_chains(chains: DataFrame, clients: Sequence[str]) -> DataFrame:
 
 
 def average_duration(log: DataFrame) -> DataFrame:
-    seconds = (micros(F.col("finished")) - micros(F.col("last_run"))) / F.lit(1e6)
-    return log.where("returncode = 0").agg(F.round(F.avg(seconds), 6).alias("avg_seconds"))
+    """Mean duration of successful steps in seconds, from an exact integer sum."""
+    us = micros(F.col("finished")) - micros(F.col("last_run"))
+    return log.where("returncode = 0").agg(
+        F.round(F.sum(us) / F.nullif(F.count(F.lit(1)), F.lit(0)) / F.lit(1e6), 6).alias("avg_seconds")
+    )
 
 
 def distinct_count(df: DataFrame, column: str, name: str = "n") -> DataFrame:
@@ -158,15 +161,15 @@ def executed_by_kind(log: DataFrame) -> DataFrame:
 
 def duration_histogram(runs: DataFrame) -> DataFrame:
     """Completed runs per client and duration bucket; the last bucket is open."""
-    seconds = (micros(F.col("finished")) - micros(F.col("started"))) / F.lit(1e6)
+    us = micros(F.col("finished")) - micros(F.col("started"))
     bucket = F.lit(len(DURATION_BOUNDS))
     for i in reversed(range(len(DURATION_BOUNDS))):
-        bucket = F.when(F.col("seconds") <= DURATION_BOUNDS[i], i).otherwise(bucket)
+        bucket = F.when(F.col("us") <= round(DURATION_BOUNDS[i] * 1_000_000), i).otherwise(bucket)
     return (
         runs.where("outcome = 'COMPLETED'")
-        .select("client_name", seconds.alias("seconds"))
+        .select("client_name", us.alias("us"))
         .groupBy("client_name", bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 3).alias("sum_seconds"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("sum_us"))
     )
 
 
@@ -206,15 +209,15 @@ def retry_backoff(
     """
     width = max(block_seconds, max_duration_s) * 1_000_000
     reach, wait = max_duration_s * 1_000_000, min_wait_s * 1_000_000
-    at = F.col("at")
-    failures = log.where("returncode <> 0").select("exec_id", "chain_id", "client_name", micros(F.col("finished")).alias("at"))
+    at = F.col("moment")
+    failures = log.where("returncode <> 0").select("exec_id", "chain_id", "client_name", micros(F.col("finished")).alias("moment"))
     copies = failures.withColumn("home", F.floor(at / width)).withColumn(
         "block", F.explode(F.sequence(F.col("home"), F.floor((at + reach) / width)))
     )
-    w = Window.partitionBy("chain_id", "client_name", "block").orderBy("at").rangeBetween(-reach, -wait)
+    w = Window.partitionBy("chain_id", "client_name", "block").orderBy("moment").rangeBetween(-reach, -wait)
     return (
         copies.withColumn("retries", F.count(F.lit(1)).over(w))
-        .withColumn("last_at", F.max("at").over(w))
+        .withColumn("last_at", F.max("moment").over(w))
         .where(F.col("block") == F.col("home"))
         .select(
             "exec_id", "chain_id", "client_name", "retries",
@@ -236,14 +239,14 @@ def concurrency_profile(runs: DataFrame, key: str = "chain_id", block_seconds: i
         key,
         F.explode(
             F.array(
-                F.struct(F.col("started").alias("at"), F.lit(1).cast("bigint").alias("d")),
-                F.struct(F.col("finished").alias("at"), F.lit(-1).cast("bigint").alias("d")),
+                F.struct(F.col("started").alias("moment"), F.lit(1).cast("bigint").alias("d")),
+                F.struct(F.col("finished").alias("moment"), F.lit(-1).cast("bigint").alias("d")),
             )
         ).alias("e"),
     )
-    net = edges.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    net = edges.groupBy(key, F.col("e.moment").alias("moment")).agg(F.sum("e.d").alias("d"))
     return blocked.running_sum(
-        net, [key], blocked.time_block(F.col("at"), block_seconds), [F.col("at")], F.col("d"), "running"
+        net, [key], blocked.time_block(F.col("moment"), block_seconds), [F.col("moment")], F.col("d"), "running"
     ).drop("d")
 
 
@@ -265,22 +268,22 @@ def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "clien
             lock,
             F.explode(
                 F.array(
-                    F.struct(F.col("started").alias("at"), one.alias("s"), zero.alias("f")),
-                    F.struct(F.col("finished").alias("at"), zero.alias("s"), one.alias("f")),
+                    F.struct(F.col("started").alias("moment"), one.alias("s"), zero.alias("f")),
+                    F.struct(F.col("finished").alias("moment"), zero.alias("s"), one.alias("f")),
                 )
             ).alias("e"),
         )
-        .groupBy(lock, F.col("e.at").alias("at"))
+        .groupBy(lock, F.col("e.moment").alias("moment"))
         .agg(F.sum("e.s").alias("s"), F.sum("e.f").alias("f"))
     )
-    block, order = blocked.time_block(F.col("at"), block_seconds), [F.col("at")]
+    block, order = blocked.time_block(F.col("moment"), block_seconds), [F.col("moment")]
     sums = blocked.running_sum(
         blocked.running_sum(points, [lock], block, order, F.col("s"), "started_upto"),
         [lock], block, order, F.col("f"), "finished_upto",
     )
     mine = spans.join(exclusive.where("exclusive_execution").select("chain_id"), "chain_id", "left_semi")
-    at_finish = sums.select(lock, F.col("at").alias("finished"), (F.col("started_upto") - F.col("s")).alias("before_finish"))
-    at_start = sums.select(lock, F.col("at").alias("started"), "finished_upto")
+    at_finish = sums.select(lock, F.col("moment").alias("finished"), (F.col("started_upto") - F.col("s")).alias("before_finish"))
+    at_start = sums.select(lock, F.col("moment").alias("started"), "finished_upto")
     return (
         mine.join(at_finish, [lock, "finished"])
         .join(at_start, [lock, "started"])
