@@ -36,28 +36,34 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
+def running_sums(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], values: dict[str, Column]
 ) -> DataFrame:
-    """Add ``name``: sum of ``value`` over the key's rows up to and including this one."""
-    d = df.withColumn(_BLOCK, block).withColumn("__v", value)
+    """Add one column per entry of ``values``: its sum over the key's rows up to and including this one."""
+    d = df.withColumn(_BLOCK, block).withColumns({f"__v_{n}": v for n, v in values.items()})
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carries = (
         d.groupBy(*keys, _BLOCK)
-        .agg(F.sum("__v").alias("__s"))
-        .withColumn("__carry", F.coalesce(F.sum("__s").over(before), F.lit(0)))
-        .drop("__s")
+        .agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
+        .select(
+            *keys, _BLOCK, *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in values]
+        )
     )
     inside = (
         Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        _null_safe_join(d, carries, [*keys, _BLOCK])
-        .withColumn(name, F.col("__carry") + F.sum("__v").over(inside))
-        .drop(_BLOCK, "__v", "__carry")
+    return _null_safe_join(d, carries, [*keys, _BLOCK]).select(
+        *df.columns, *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(inside)).alias(n) for n in values]
     )
 
 
+def running_sum(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
+) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, keys, block, order, {name: value})
+
+
 def row_number(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str) -> DataFrame:
     """Add ``name``: position of the row within its key, from 1."""
     return running_sum(df, keys, block, order, F.lit(1).cast("bigint"), name)

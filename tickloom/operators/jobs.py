@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import blocked
-from tickloom.session import cut_lineage
+from tickloom.session import cut_and_count, cut_lineage
 
 DEFAULT_MAX_INSTANCES = 16
 ORDER_STEP = 10
@@ -246,7 +246,8 @@ def move_steps(tasks: DataFrame, wanted: DataFrame, upward: bool, block_width: f
     which rows changed.
     """
     near = _neighbours(tasks, upward, block_width)
-    moves = (
+    # Used four times below, so it is worked out once.
+    moves = cut_lineage(
         tasks.join(wanted.select("task_id").distinct(), "task_id", "left_semi")
         .select("task_id", "chain_id", "task_order")
         .join(near, ["chain_id", "task_order"])
@@ -300,10 +301,9 @@ def order_from_parents(tasks: DataFrame, heads: DataFrame, max_rounds: int = 64)
         )
         .where(F.col("chain_id").isNotNull() | F.col("up").isNotNull())
     )
-    state = cut_lineage(state)
-    open_before = state.where("chain_id IS NULL").count()
+    state, still_open = cut_and_count(state, F.col("chain_id").isNull())
     for _ in range(max_rounds):
-        if open_before == 0:
+        if still_open == 0:
             break
         anchor = state.select(
             F.col("task_id").alias("a_id"), F.col("up").alias("a_up"),
@@ -317,8 +317,9 @@ def order_from_parents(tasks: DataFrame, heads: DataFrame, max_rounds: int = 64)
                 (F.col("hops") + F.col("a_hops")).alias("hops"), F.col("a_chain").alias("chain_id"),
             )
         )
-        state = cut_lineage(state.where("chain_id IS NOT NULL").unionByName(moved))
-        open_before = state.where("chain_id IS NULL").count()
+        state, still_open = cut_and_count(
+            state.where("chain_id IS NOT NULL").unionByName(moved), F.col("chain_id").isNull()
+        )
     # What is still open after 64 doublings can only be a loop.
     return state.where("chain_id IS NOT NULL").select(
         "task_id", "chain_id", (F.col("hops") + 1).cast("double").alias("task_order")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,10 +276,9 @@ def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "clien
         .groupBy(lock, F.col("e.moment").alias("moment"))
         .agg(F.sum("e.s").alias("s"), F.sum("e.f").alias("f"))
     )
-    block, order = blocked.time_block(F.col("moment"), block_seconds), [F.col("moment")]
-    sums = blocked.running_sum(
-        blocked.running_sum(points, [lock], block, order, F.col("s"), "started_upto"),
-        [lock], block, order, F.col("f"), "finished_upto",
+    sums = blocked.running_sums(
+        points, [lock], blocked.time_block(F.col("moment"), block_seconds), [F.col("moment")],
+        {"started_upto": F.col("s"), "finished_upto": F.col("f")},
     )
     mine = spans.join(exclusive.where("exclusive_execution").select("chain_id"), "chain_id", "left_semi")
     at_finish = sums.select(lock, F.col("moment").alias("finished"), (F.col("started_upto") - F.col("s")).alias("before_finish"))
@@ -341,17 +340,25 @@ def admission(
     capped = base.where(F.col("cap").isNotNull())
     state_type = "array<struct<f:bigint,c:string,h:boolean>>"
 
-    def fold(pdf: pd.DataFrame, want_flags: bool) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "txid"], kind="stable")
-        entry = [(int(e["f"]), e["c"], bool(e["h"])) for e in pdf["entry"].iloc[0]]
-        heapq.heapify(entry)
-        rows = zip(pdf["s"].astype("int64"), pdf["f"].astype("int64"), pdf["client_name"])
-        flags, left = _admit(rows, entry, int(pdf["cap"].iloc[0]), clear_all)
+    def fold(rows: pa.Table, entry: pa.Table, want_flags: bool) -> pa.Table:
+        rows = rows.sort_by([("s", "ascending"), ("txid", "ascending")])
+        held = [(e["f"], e["c"], e["h"]) for e in entry["entry"][0].as_py()]
+        heapq.heapify(held)
+        attempts = zip(rows["s"].to_pylist(), rows["f"].to_pylist(), rows["client_name"].to_pylist())
+        flags, left = _admit(attempts, held, rows["cap"][0].as_py(), clear_all)
         if want_flags:
-            return pd.DataFrame({"chain_id": pdf["chain_id"], "txid": pdf["txid"], "admitted": flags})
-        state = [{"f": int(f), "c": c, "h": bool(h)} for f, c, h in sorted(left)]
-        return pd.DataFrame(
-            {"chain_id": [pdf["chain_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "exit": [state]}
+            return pa.table({"chain_id": rows["chain_id"], "txid": rows["txid"], "admitted": pa.array(flags, pa.bool_())})
+        state = [{"f": f, "c": c, "h": h} for f, c, h in sorted(left)]
+        kind = pa.list_(pa.struct([("f", pa.int64()), ("c", pa.string()), ("h", pa.bool_())]))
+        return pa.table({"chain_id": rows["chain_id"][:1], "block": rows["block"][:1], "exit": pa.array([state], kind)})
+
+    def folded(rows: DataFrame, entries: DataFrame, want_flags: bool, schema: str) -> DataFrame:
+        """Fold each block of ``rows`` from its one entry state."""
+        keys = ["chain_id", "block"]
+        # Both sides come from the same table: fresh column identities keep the two apart.
+        entries = entries.select(*[F.col(c).alias(c) for c in (*keys, "entry")])
+        return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(
+            lambda left, right: fold(left, right, want_flags), schema
         )
 
     empty = F.array().cast(state_type)
@@ -362,8 +369,9 @@ def admission(
     chain_order = Window.partitionBy("chain_id").orderBy("block")
     for _ in range(max_rounds):
         todo = blocks.where("dirty").select("chain_id", "block", "entry")
-        exits = capped.join(todo, ["chain_id", "block"]).groupBy("chain_id", "block").applyInPandas(
-            lambda pdf: fold(pdf, False), f"chain_id bigint, block bigint, exit {state_type}"
+        exits = folded(
+            capped.join(todo, ["chain_id", "block"], "left_semi"), todo, False,
+            f"chain_id bigint, block bigint, exit {state_type}",
         )
         known = blocks.join(exits.withColumnRenamed("exit", "new_exit"), ["chain_id", "block"], "left").withColumn(
             "exit", F.coalesce("new_exit", "exit")
@@ -380,10 +388,8 @@ def admission(
             break
     else:
         raise RuntimeError("admission did not settle; use wider blocks")
-    flagged = (
-        capped.join(blocks.select("chain_id", "block", "entry"), ["chain_id", "block"])
-        .groupBy("chain_id", "block")
-        .applyInPandas(lambda pdf: fold(pdf, True), "chain_id bigint, txid bigint, admitted boolean")
+    flagged = folded(
+        capped, blocks.select("chain_id", "block", "entry"), True, "chain_id bigint, txid bigint, admitted boolean"
     )
     free = base.where(F.col("cap").isNull()).select("chain_id", "txid", F.lit(True).alias("admitted"))
     return flagged.unionByName(free)

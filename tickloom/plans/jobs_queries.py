@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import blocked, bulk, jobs, runlog, schedule, sessions
 from tickloom.plans.registry import at, query
 from tickloom.plans.runlog_queries import SESSIONS, sessions as session_table
+from tickloom.session import cut_lineage
 from tickloom.sources.fixtures import ctes
 
 CLIENT = "worker_1"
@@ -275,11 +276,12 @@ LINKS = {
 
 
 def parent_links(t):
-    """Every step points at the one before it in its chain."""
+    """Every step points at the one before it in its chain; kept as a table, as the queries use it repeatedly."""
     task = t.task.select("chain_id", "task_order", "task_id")
-    return blocked.previous(
+    links = blocked.previous(
         task, ["chain_id"], F.floor(F.col("task_order") / 100_000), ["task_order"], F.col("task_id"), "parent_id"
     )
+    return cut_lineage(links)
 
 
 @query("j09_order_from_parents", ctes("task", **LINKS) + "SELECT task_id, chain_id, task_order FROM placed")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A dimension of at most this many rows is broadcast; beyond it a shuffle join is used.
@@ -42,6 +42,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_and_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``cut_lineage``, and how many rows meet ``condition``, counted as they are written."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, F.count_if(condition).alias("n")))
+    return cut, seen.get["n"]
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; nothing is created or removed there."""
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
