@@ -129,7 +129,7 @@ def test_blocked_windows_equal_plain_ones(spark):
     df = spark.createDataFrame(data, "k string, o int, v int")
     block = F.floor(F.col("o") / 40)
     sums = blocked.running_sum(df, ["k"], block, [F.col("o")], F.col("v"), "s")
-    lags = blocked.previous(df, ["k"], block, ["o"], F.col("v"), "p")
+    lags = blocked.previous(df, ["k"], block, ["o"], {"p": F.col("v")})
     order = blocked.global_row_number(df, [F.col("v"), F.col("o")], "n")
     want_sum, want_lag, totals, last = {}, {}, {}, {}
     for k, o, v in sorted(data, key=lambda r: r[1]):

@@ -70,24 +70,26 @@ def row_number(df: DataFrame, keys: Sequence[str], block: Column, order: Sequenc
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], value: Column, name: str
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], values: dict[str, Column]
 ) -> DataFrame:
-    """Add ``name``: ``value`` of the row just before this one within its key.
+    """Add one column per entry of ``values``: its value in the row just before this one within the key.
 
     ``order`` are column names whose combined value is unique within a key.
+    A single plain order column keeps the carries in a hash aggregate.
     """
-    d = df.withColumn(_BLOCK, block).withColumn("__v", value)
+    d = df.withColumn(_BLOCK, block).withColumns({f"__v_{n}": v for n, v in values.items()})
+    along = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
     last_of_block = (
         d.groupBy(*keys, _BLOCK)
-        .agg(F.max_by(F.struct("__v"), F.struct(*order)).alias("__l"))
-        .withColumn("__carry", F.lag("__l").over(Window.partitionBy(*keys).orderBy(_BLOCK)))
-        .drop("__l")
+        .agg(*[F.max_by(f"__v_{n}", along).alias(f"__l_{n}") for n in values])
+        .select(*keys, _BLOCK, *[F.lag(f"__l_{n}").over(blocks).alias(f"__c_{n}") for n in values])
     )
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-    return (
-        _null_safe_join(d, last_of_block, [*keys, _BLOCK])
-        .withColumn(name, F.coalesce(F.lag(F.struct("__v")).over(inside), F.col("__carry"))["__v"])
-        .drop(_BLOCK, "__v", "__carry")
+    first = F.row_number().over(inside) == 1
+    return _null_safe_join(d, last_of_block, [*keys, _BLOCK]).select(
+        *df.columns,
+        *[F.when(first, F.col(f"__c_{n}")).otherwise(F.lag(f"__v_{n}").over(inside)).alias(n) for n in values],
     )
 
 

@@ -224,16 +224,12 @@ def _neighbours(tasks: DataFrame, upward: bool, block_width: float) -> DataFrame
         F.min("task_id").alias("neighbour_id")
     )
     near = blocked.previous(
-        steps,
-        ["chain_id"],
-        F.floor(F.col("o") / block_width),
-        ["o"],
-        F.struct((F.col("o") * sign).alias("task_order"), "neighbour_id"),
-        "near",
+        steps, ["chain_id"], F.floor(F.col("o") / block_width), ["o"],
+        {"near_o": F.col("o"), "near_id": F.col("neighbour_id")},
     )
-    return near.where(F.col("near").isNotNull()).select(
+    return near.where(F.col("near_o").isNotNull()).select(
         "chain_id", (F.col("o") * sign).alias("task_order"),
-        F.col("near.task_order").alias("neighbour_order"), F.col("near.neighbour_id").alias("neighbour_id"),
+        (F.col("near_o") * sign).alias("neighbour_order"), F.col("near_id").alias("neighbour_id"),
     )
 
 

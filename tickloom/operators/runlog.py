@@ -112,22 +112,24 @@ def chain_runs(log: DataFrame) -> DataFrame:
     """One row per run: start, finish, the step that failed it, and the outcome.
 
     A run fails at its first failed step that is not ignored; steps after that
-    one never ran, so they do not move the finish.
+    one never ran, so they do not move the finish. A run belongs to one client,
+    so the client is part of the key: every aggregate then has a fixed-width
+    buffer and the plan stays a hash aggregate.
     """
-    bad = F.when(is_error(), F.struct("task_order", "finished"))
+    bad_order = F.when(is_error(), F.col("task_order"))
     return (
-        log.groupBy("chain_id", "txid")
+        log.groupBy("chain_id", "txid", "client_name")
         .agg(
-            F.min("client_name").alias("client_name"),
             F.min("last_run").alias("started"),
             F.max("finished").alias("last_finished"),
-            F.min(bad).alias("bad"),
+            F.min(bad_order).alias("failed_order"),
+            F.min_by("finished", bad_order).alias("bad_finished"),
         )
         .select(
             "chain_id", "txid", "client_name", "started",
-            F.coalesce(F.col("bad.finished"), F.col("last_finished")).alias("finished"),
-            F.col("bad.task_order").alias("failed_order"),
-            F.when(F.col("bad").isNull(), "COMPLETED").otherwise("FAILED").alias("outcome"),
+            F.when(F.col("failed_order").isNull(), F.col("last_finished")).otherwise(F.col("bad_finished")).alias("finished"),
+            "failed_order",
+            F.when(F.col("failed_order").isNull(), "COMPLETED").otherwise("FAILED").alias("outcome"),
         )
     )
 
@@ -413,8 +415,6 @@ def _settled(state: Column, now: Column, clear_all: bool) -> Column:
 
 def run_spans(log: DataFrame) -> DataFrame:
     """Runs by their wall-clock span, whatever their outcome."""
-    return log.groupBy("chain_id", "txid").agg(
-        F.min("client_name").alias("client_name"), F.min("last_run").alias("started"), F.max("finished").alias("finished")
+    return log.groupBy("chain_id", "txid", "client_name").agg(
+        F.min("last_run").alias("started"), F.max("finished").alias("finished")
     )
-
-

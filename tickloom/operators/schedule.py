@@ -208,7 +208,8 @@ def after_drift(runs: DataFrame, schedules: DataFrame, block_seconds: int = 86_4
     waits = classes(schedules, key).where("schedule_class = 'after'").select(key, "interval_seconds")
     mine = runs.join(waits, key)
     with_prev = blocked.previous(
-        mine, [key], blocked.time_block(F.col("started"), block_seconds), ["started", "txid"], F.col("finished"), "prev_finished"
+        mine, [key], blocked.time_block(F.col("started"), block_seconds), ["started", "txid"],
+        {"prev_finished": F.col("finished")},
     )
     expected = micros(F.col("prev_finished")) + F.col("interval_seconds") * 1_000_000
     return with_prev.where(F.col("prev_finished").isNotNull()).select(

@@ -279,7 +279,8 @@ def parent_links(t):
     """Every step points at the one before it in its chain; kept as a table, as the queries use it repeatedly."""
     task = t.task.select("chain_id", "task_order", "task_id")
     links = blocked.previous(
-        task, ["chain_id"], F.floor(F.col("task_order") / 100_000), ["task_order"], F.col("task_id"), "parent_id"
+        task, ["chain_id"], F.floor(F.col("task_order") / 100_000), ["task_order"],
+        {"parent_id": F.col("task_id")},
     )
     return cut_lineage(links)
 

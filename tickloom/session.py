@@ -11,8 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension of at most this many rows is broadcast; beyond it a shuffle join is used.
+# A side within both bounds may be broadcast; beyond them a shuffle join is used.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -54,14 +55,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows: a proven bound, at a bounded price."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose size has been checked."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure rows and bytes of at most ``max_rows + 1`` rows: a proven bound, at a bounded price."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind == "string" else F.lit(16))
+    size = df.select(width.cast("bigint").alias("w")).limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("w"), F.lit(0)).alias("bytes")
+    ).first()
+    return size["rows"] <= max_rows and size["bytes"] <= max_bytes
 
 
 def ship_by_value(module: str) -> None:
