@@ -36,10 +36,8 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def running_sums(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], values: dict[str, Column]
-) -> DataFrame:
-    """Add one column per entry of ``values``: its sum over the key's rows up to and including this one."""
+def with_carries(df: DataFrame, keys: Sequence[str], block: Column, values: dict[str, Column]) -> DataFrame:
+    """``df`` with its block, and per entry of ``values`` the value ``__v_`` and the sum ``__c_`` over earlier blocks."""
     d = df.withColumn(_BLOCK, block).withColumns({f"__v_{n}": v for n, v in values.items()})
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carries = (
@@ -49,14 +47,38 @@ def running_sums(
             *keys, _BLOCK, *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in values]
         )
     )
+    return _null_safe_join(d, carries, [*keys, _BLOCK])
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], values: dict[str, Column]
+) -> DataFrame:
+    """Add one column per entry of ``values``: its sum over the key's rows up to and including this one."""
     inside = (
         Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return _null_safe_join(d, carries, [*keys, _BLOCK]).select(
+    return with_carries(df, keys, block, values).select(
         *df.columns, *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(inside)).alias(n) for n in values]
     )
 
 
+def running_sums_upto(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Column, values: dict[str, tuple[Column, int]]
+) -> DataFrame:
+    """Like ``running_sums`` along an integer ``order``, ties included: each value is summed up to ``order + offset``.
+
+    Offset 0 takes in every row of the same order, -1 only strictly earlier ones.
+    """
+    d = with_carries(df, keys, block, {n: v for n, (v, _) in values.items()})
+    w = Window.partitionBy(*keys, _BLOCK).orderBy(order)
+
+    def upto(n: str, offset: int) -> Column:
+        inside = F.sum(f"__v_{n}").over(w.rangeBetween(Window.unboundedPreceding, offset))
+        return (F.col(f"__c_{n}") + F.coalesce(inside, F.lit(0))).alias(n)
+
+    return d.select(*df.columns, *[upto(n, offset) for n, (_, offset) in values.items()])
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:

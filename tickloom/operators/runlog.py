@@ -261,34 +261,33 @@ def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "clien
 
     Overlaps are counted, not paired up: runs that started before my finish,
     less runs that had finished by my start, less myself. Both counts are
-    running sums over time, so the work is sorting, however long runs pile up.
+    running sums over the time-ordered starts and finishes, so the work is
+    sorting, however many runs pile up, and no run is joined to another.
     """
-    spans = runs.where(F.col("finished") > F.col("started"))
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    points = (
-        spans.select(
-            lock,
+    edges = (
+        runs.where(F.col("finished") > F.col("started"))
+        .join(exclusive.select("chain_id", "exclusive_execution"), "chain_id", "left")
+        .select(
+            "chain_id", "txid", lock, F.coalesce("exclusive_execution", F.lit(False)).alias("mine"),
             F.explode(
                 F.array(
-                    F.struct(F.col("started").alias("moment"), one.alias("s"), zero.alias("f")),
-                    F.struct(F.col("finished").alias("moment"), zero.alias("s"), one.alias("f")),
+                    F.struct(micros(F.col("started")).alias("us"), one.alias("start")),
+                    F.struct(micros(F.col("finished")).alias("us"), zero.alias("start")),
                 )
             ).alias("e"),
         )
-        .groupBy(lock, F.col("e.moment").alias("moment"))
-        .agg(F.sum("e.s").alias("s"), F.sum("e.f").alias("f"))
+        .select("chain_id", "txid", lock, "mine", "e.us", "e.start")
     )
-    sums = blocked.running_sums(
-        points, [lock], blocked.time_block(F.col("moment"), block_seconds), [F.col("moment")],
-        {"started_upto": F.col("s"), "finished_upto": F.col("f")},
+    block = F.floor(F.col("us") / F.lit(block_seconds * 1_000_000))
+    start = F.col("start")
+    counted = blocked.running_sums_upto(
+        edges, [lock], block, F.col("us"), {"started_before": (start, -1), "finished_upto": (one - start, 0)}
     )
-    mine = spans.join(exclusive.where("exclusive_execution").select("chain_id"), "chain_id", "left_semi")
-    at_finish = sums.select(lock, F.col("moment").alias("finished"), (F.col("started_upto") - F.col("s")).alias("before_finish"))
-    at_start = sums.select(lock, F.col("moment").alias("started"), "finished_upto")
+    before_finish = F.max(F.when(start == 0, F.col("started_before")))
+    by_start = F.max(F.when(start == 1, F.col("finished_upto")))
     return (
-        mine.join(at_finish, [lock, "finished"])
-        .join(at_start, [lock, "started"])
-        .select("chain_id", "txid", lock, (F.col("before_finish") - F.col("finished_upto") - 1).alias("n_overlaps"))
+        counted.where("mine").groupBy("chain_id", "txid", lock).agg((before_finish - by_start - 1).alias("n_overlaps"))
     )
 
 

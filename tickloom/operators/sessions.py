@@ -17,9 +17,10 @@ def not_in(left: DataFrame, right: DataFrame, key: str, right_key: str | None =
     null-aware anti join broadcasts the right side whatever its size.
     """
     values = right.select(F.col(right_key or key).alias(key)).distinct()
-    total = values.agg(F.count(F.lit(1)).alias("n")).scalar()
-    nulls = values.agg(F.count_if(F.col(key).isNull()).alias("n")).scalar()
-    return left.where((total == 0) | ((nulls == 0) & F.col(key).isNotNull())).join(
+    facts = F.struct(F.count(F.lit(1)).alias("total"), F.count_if(F.col(key).isNull()).alias("nulls"))
+    right_side = values.agg(facts.alias("f")).scalar()
+    keeps = (right_side["total"] == 0) | ((right_side["nulls"] == 0) & F.col(key).isNotNull())
+    return left.where(keeps).join(
         values.where(F.col(key).isNotNull()), key, "left_anti"
     )
 

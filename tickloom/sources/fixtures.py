@@ -34,9 +34,10 @@ CHAIN = (
     "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('worker_', CAST(c_custkey % 4 AS STRING)) END AS client_name",
 )
 TASK_KEYS = ("l_orderkey", "l_linenumber")
+# Letters are aggregated by their code: a numeric buffer keeps the hash aggregate.
 TASK_AGGS = (
-    "max(l_returnflag) AS flag",
-    "max(l_linestatus) AS command",
+    "max(ascii(l_returnflag)) AS flag",
+    "max(ascii(l_linestatus)) AS status",
     "min(l_partkey) AS partkey",
     "min(l_suppkey) AS suppkey",
 )
@@ -44,8 +45,8 @@ TASK = (
     "l_orderkey * 10 + l_linenumber AS task_id",
     "l_orderkey AS chain_id",
     "CAST(10 * l_linenumber AS DOUBLE) AS task_order",
-    "CASE flag WHEN 'A' THEN 'PROGRAM' WHEN 'R' THEN 'BUILTIN' ELSE 'SQL' END AS kind",
-    "command",
+    "CASE chr(flag) WHEN 'A' THEN 'PROGRAM' WHEN 'R' THEN 'BUILTIN' ELSE 'SQL' END AS kind",
+    "chr(status) AS command",
     "partkey % 5 = 0 AS ignore_error",
     "CASE WHEN suppkey % 4 = 0 THEN 2000 ELSE 0 END AS timeout",
     "partkey % 7 <> 0 AS live",
