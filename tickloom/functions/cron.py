@@ -56,15 +56,15 @@ _PARTS_SQL = ", ".join(
 )
 
 # flatten() is NULL as soon as one item is NULL: one bad item spoils its field.
-_FIELDS_SQL = f"""
+FIELDS_SQL = f"""
 transform(array({_PARTS_SQL}),
     f -> sort_array(array_distinct(flatten(transform(split(f.text, ','), item -> {_ITEM_SQL})))))"""
 
-_NAMED_SQL = f"""
+NAMED_SQL = f"""
 CASE WHEN forall(x, v -> coalesce(size(v) > 0, false))
 THEN named_struct({", ".join(f"'{name}', x[{i}]" for i, (name, _, _) in enumerate(FIELDS))}) END"""
 
-_MASKS_SQL = "named_struct({})".format(
+MASKS_SQL = "named_struct({})".format(
     ", ".join(f"'{name}', aggregate(x.{name}, 0L, (acc, v) -> acc | shiftleft(1L, v))" for name, _, _ in FIELDS)
 )
 
@@ -75,17 +75,17 @@ def cron_fields(cron: Column) -> Column:
     Only the first five whitespace-separated fields are read. An empty range
     inside a list adds nothing; a field with no number left is an error.
     """
-    return let_sql(let_sql(F.split(cron, r"\s+"), _FIELDS_SQL), _NAMED_SQL)
+    return let_sql(let_sql(F.split(cron, r"\s+"), FIELDS_SQL), NAMED_SQL)
 
 
 def field_masks(fields: Column) -> Column:
     """Parsed fields as 64-bit sets, so a membership test is one shift and one AND."""
-    return let_sql(fields, _MASKS_SQL)
+    return let_sql(fields, MASKS_SQL)
 
 
 def cron_masks(cron: Column) -> Column:
     """``cron`` straight to bit sets; NULL if it does not parse."""
-    return let_sql(cron_fields(cron), f"CASE WHEN x IS NOT NULL THEN {_MASKS_SQL} END")
+    return let_sql(cron_fields(cron), f"CASE WHEN x IS NOT NULL THEN {MASKS_SQL} END")
 
 
 def in_mask(mask: Column, bit: Column) -> Column:

@@ -78,12 +78,15 @@ _ISO_SQL = (
 )
 
 
+SECONDS_SQL = (
+    f"CASE WHEN x RLIKE r'{_ISO}' THEN {_ISO_SQL}"
+    f" WHEN x RLIKE r'{_WHOLE}' AND x RLIKE r'[0-9]' THEN {_PLAIN_SQL} END"
+)
+
+
 def interval_seconds(text: Column) -> Column:
     """Length in seconds as a double; NULL when the text is no interval.
 
     A bare number at the end counts as seconds. NULL in, NULL out.
     """
-    return let_sql(
-        F.lower(F.trim(text)),
-        f"CASE WHEN x RLIKE r'{_ISO}' THEN {_ISO_SQL} WHEN x RLIKE r'{_WHOLE}' AND x RLIKE r'[0-9]' THEN {_PLAIN_SQL} END",
-    )
+    return let_sql(F.lower(F.trim(text)), SECONDS_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import cron as C
+from tickloom.functions import sqlfunctions
 from tickloom.operators import runlog, schedule
 from tickloom.plans.registry import at, query
 from tickloom.sources.fixtures import ANCHOR, ctes
@@ -237,3 +238,62 @@ def c13_counts(t):
 )
 def c14(t):
     return schedule.due_now(t.chain, CLIENT, at(ANCHOR))
+
+
+# --- the same from SQL text --------------------------------------------------
+
+
+def _sql(t, text: str, **frames):
+    sqlfunctions.register(t.spark)
+    return t.spark.sql(text, **frames)
+
+
+@query(
+    "c07_cron_runs_sql",
+    ctes("chain", **CRON, **day_ctes("2024-01-15", "2024-02-15"))
+    + f"SELECT run_at, run_ts FROM run WHERE run_ts > TIMESTAMP '{ANCHOR}' AND run_ts <= TIMESTAMP '2024-02-15'",
+)
+def c07_sql(t):
+    """cron_runs() as a table function under LATERAL."""
+    return _sql(
+        t,
+        f"""SELECT c.run_at, r.run_ts FROM (SELECT DISTINCT run_at FROM {{chain}} WHERE run_at IS NOT NULL) c,
+        LATERAL cron_runs(TIMESTAMP_NTZ'{ANCHOR}', c.run_at) r WHERE r.run_ts <= TIMESTAMP_NTZ'2024-02-15 00:00:00'""",
+        chain=t.chain,
+    )
+
+
+@query(
+    "c08_next_run_sql",
+    ctes(
+        "chain", **CRON, **day_ctes("2024-01-01", "2025-01-31"),
+        nx=f"SELECT run_at, min(run_ts) AS next_run FROM run WHERE run_ts > TIMESTAMP '{ANCHOR}' GROUP BY run_at",
+    )
+    + "SELECT run_at, next_run, run_at NOT IN (SELECT run_at FROM cron_text WHERE run_at[1] = '@' OR run_at IN"
+    " (SELECT run_at FROM cron_ok)) AS broken FROM cron_text LEFT JOIN nx USING (run_at)",
+)
+def c08_sql(t):
+    """next_run() and cron_fields() as scalar functions; here any text that parses has a next run."""
+    return _sql(
+        t,
+        f"""SELECT run_at, next_run(run_at, TIMESTAMP_NTZ'{ANCHOR}') AS next_run,
+        cron_fields(run_at) IS NULL AND NOT startswith(run_at, '@') AS broken FROM
+        (SELECT DISTINCT run_at FROM {{chain}} WHERE run_at IS NOT NULL)""",
+        chain=t.chain,
+    )
+
+
+@query(
+    "c03_in_time_sql",
+    ctes("chain", **CRON, hit=_HIT) + "SELECT count(*) AS n FROM hit WHERE run_at <> '* * * * *'",
+)
+def c03_sql(t):
+    """is_cron_in_time() in a WHERE clause over (distinct schedule, calendar minute) of the event table."""
+    minutes = t.raw("events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    texts = t.chain.where("run_at <> '* * * * *'").groupBy("run_at").agg(F.count(F.lit(1)).alias("chains"))
+    timed = texts.select("run_at", F.explode(F.array(*[F.lit(h) for h in range(24)])).alias("h"))
+    return _sql(
+        t,
+        """SELECT coalesce(sum(n), 0) AS n FROM {minutes} m JOIN {timed} c ON hour(m.at) = c.h WHERE is_cron_in_time(c.run_at, m.at)""",
+        minutes=minutes, timed=timed,
+    )
