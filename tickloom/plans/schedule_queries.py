@@ -288,12 +288,28 @@ def c08_sql(t):
     ctes("chain", **CRON, hit=_HIT) + "SELECT count(*) AS n FROM hit WHERE run_at <> '* * * * *'",
 )
 def c03_sql(t):
-    """is_cron_in_time() in a WHERE clause over (distinct schedule, calendar minute) of the event table."""
+    """is_cron_in_time() tested on the calendar minutes of the event table, after an equi join on the minute of the day."""
     minutes = t.raw("events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    texts = t.chain.where("run_at <> '* * * * *'").groupBy("run_at").agg(F.count(F.lit(1)).alias("chains"))
-    timed = texts.select("run_at", F.explode(F.array(*[F.lit(h) for h in range(24)])).alias("h"))
+    timed = schedule.times_of(t.chain.where("run_at <> '* * * * *'"))
     return _sql(
         t,
-        """SELECT coalesce(sum(n), 0) AS n FROM {minutes} m JOIN {timed} c ON hour(m.at) = c.h WHERE is_cron_in_time(c.run_at, m.at)""",
+        """SELECT coalesce(sum(n), 0) AS n FROM {minutes} m JOIN {timed} c ON hour(m.at) * 60 + minute(m.at) = c.minute_of_day
+        WHERE is_cron_in_time(c.run_at, m.at)""",
         minutes=minutes, timed=timed,
     )
+
+
+@query(
+    "c14_due_now_sql",
+    ctes("chain", **CRON, **day_ctes("2024-01-15", "2024-01-15"))
+    + f"""SELECT chain_id FROM chain WHERE live AND (run_at IS NULL OR run_at IN (SELECT run_at FROM run
+    WHERE run_ts = TIMESTAMP '{ANCHOR}' AND {STORED_SQL.format('run_at')}))""",
+)
+def c14_sql(t):
+    """The due test written as one WHERE clause; the guard keeps '@' schedules out."""
+    return _sql(
+        t,
+        f"""SELECT chain_id FROM {{chain}} WHERE live AND NOT coalesce(startswith(run_at, '@'), false)
+        AND is_cron_in_time(run_at, TIMESTAMP_NTZ'{ANCHOR}')""",
+        chain=t.chain,
+    )
