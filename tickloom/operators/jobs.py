@@ -276,7 +276,7 @@ def update_from(target: DataFrame, changes: DataFrame, key: str, column: str) ->
     )
 
 
-def order_from_parents(tasks: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame:
+def order_from_parents(tasks: DataFrame, heads: DataFrame) -> DataFrame:
     """(task_id, chain_id, task_order) from parent links, heads first at order 1.
 
     ``tasks``: task_id, parent_id. ``heads``: task_id, chain_id. Every step
@@ -298,9 +298,10 @@ def order_from_parents(tasks: DataFrame, heads: DataFrame, max_rounds: int = 64)
         .where(F.col("chain_id").isNotNull() | F.col("up").isNotNull())
     )
     state, still_open = cut_and_count(state, F.col("chain_id").isNull())
-    for _ in range(max_rounds):
-        if still_open == 0:
-            break
+    before = None
+    # A round that settles no step proves that no step is further from a head: the rest are loops.
+    while still_open and still_open != before:
+        before = still_open
         anchor = state.select(
             F.col("task_id").alias("a_id"), F.col("up").alias("a_up"),
             F.col("hops").alias("a_hops"), F.col("chain_id").alias("a_chain"),
@@ -316,7 +317,6 @@ def order_from_parents(tasks: DataFrame, heads: DataFrame, max_rounds: int = 64)
         state, still_open = cut_and_count(
             state.where("chain_id IS NOT NULL").unionByName(moved), F.col("chain_id").isNull()
         )
-    # What is still open after 64 doublings can only be a loop.
     return state.where("chain_id IS NOT NULL").select(
         "task_id", "chain_id", (F.col("hops") + 1).cast("double").alias("task_order")
     )

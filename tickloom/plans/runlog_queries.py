@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import text
 from tickloom.operators import runlog
 from tickloom.plans.registry import at, query
-from tickloom.sources.fixtures import ANCHOR, ctes
+from tickloom.sources.fixtures import ANCHOR, ctes, view_sql
 
 CLIENTS = ("worker_1", "worker_2")
 START, END = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
@@ -339,7 +339,28 @@ def w05_peak(t):
     return runlog.peak_concurrency(step_spans(t))
 
 
-@query("w06_admission")
+# The sequential fold itself, one attempt per chain and step; the state is a list of unfinished admitted runs.
+ADMISSION_SQL = """WITH RECURSIVE attempt AS (
+    SELECT e.chain_id, exec_id, e.client_name AS c, epoch_us(last_run) AS s, epoch_us(finished) AS f, max_instances AS cap,
+     row_number() OVER (PARTITION BY e.chain_id ORDER BY last_run, exec_id) AS rn
+    FROM ({exec_log}) e JOIN ({chain}) k ON k.chain_id = e.chain_id),
+  fold AS (
+    SELECT DISTINCT chain_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS exec_id, CAST(NULL AS BOOLEAN) AS admitted,
+     CAST([] AS STRUCT(f BIGINT, c VARCHAR, h BOOLEAN)[]) AS st FROM attempt
+    UNION ALL
+    SELECT chain_id, rn, exec_id, ok, CASE WHEN ok THEN list_append(live, {{'f': f, 'c': c, 'h': true}}) ELSE live END FROM (
+      SELECT *, cap IS NULL OR len(list_filter(live, lambda e: e.h)) < cap AS ok FROM (
+        SELECT a.*, list_transform(list_filter(p.st, lambda e: e.f > a.s), lambda e: {{'f': e.f, 'c': e.c,
+          'h': e.h AND NOT list_contains(list_transform(list_filter(p.st, lambda d: d.f <= a.s), lambda d: d.c), e.c)}}) AS live
+        FROM fold p JOIN attempt a ON a.chain_id = p.chain_id AND a.rn = p.rn + 1)))
+  SELECT chain_id, exec_id AS {name}, admitted FROM fold WHERE rn > 0"""
+
+
+def admission_oracle(name: str) -> str:
+    return ADMISSION_SQL.format(name=name, exec_log=view_sql("exec_log"), chain=view_sql("chain"))
+
+
+@query("w06_admission", admission_oracle("txid"))
 def w06(t):
     """Every log row is a start attempt; limits come from the chain table."""
     attempts = t.exec_log.select(

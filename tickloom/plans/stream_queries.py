@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import schedule
 from tickloom.plans.registry import query
 from tickloom.plans.schedule_queries import _HIT, CRON
-from tickloom.plans.runlog_queries import BAD
+from tickloom.plans.runlog_queries import BAD, admission_oracle
 from tickloom.session import work_dir
 from tickloom.sources.fixtures import FINISHED, RUN_FINISH, RUN_START, SIGNAL, ctes, exec_log_of
 from tickloom.streaming import runs, signals
@@ -62,7 +62,7 @@ def t04(t):
     return runs.drain(runs.live_minute_counts(exec_log_of(t.stream("events"))), "t04")
 
 
-@query("t05_active_runs")
+@query("t05_active_runs", admission_oracle("run_id"))
 def t05(t):
     """Admission on the stream; its decisions equal those of the batch form."""
     edges = runs.run_edges(exec_log_of(t.stream("events")), t.chain)

@@ -120,6 +120,11 @@ _CTES = {
 }
 
 
+def view_sql(name: str) -> str:
+    """The oracle's text of one view."""
+    return _CTES[name]
+
+
 def ctes(*names: str, **extra: str) -> str:
     """``WITH`` list for an oracle: the named views, then further CTEs in order."""
     parts = [f"{n} AS ({_CTES[n]})" for n in names] + [f"{n} AS ({body})" for n, body in extra.items()]
