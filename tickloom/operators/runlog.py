@@ -18,6 +18,9 @@ ship_by_value(__name__)
 # Upper bounds of the duration histogram in seconds (inclusive).
 DURATION_BOUNDS = (0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 
+# Start attempts folded in one piece of memory.
+BLOCK_ROWS = 500_000
+
 
 def in_range(log: DataFrame, start: Column, end: Column, clients: Sequence[str], ts: str = "last_run") -> DataFrame:
     """Rows of a time range (both ends included) and a set of clients; pushed to the scan."""
@@ -232,7 +235,7 @@ def retry_backoff(
 # --- concurrency -------------------------------------------------------------
 
 
-def concurrency_profile(runs: DataFrame, key: str = "chain_id", block_seconds: int = 86_400) -> DataFrame:
+def concurrency_profile(runs: DataFrame, key: str = "chain_id", block_seconds: int = 3_600) -> DataFrame:
     """Running instances per key after each instant at which one starts or finishes.
 
     Intervals are half-open: a finish and a start at one instant cancel out.
@@ -256,7 +259,7 @@ def peak_concurrency(runs: DataFrame, key: str = "chain_id") -> DataFrame:
     return concurrency_profile(runs, key).groupBy(key).agg(F.max("running").alias("peak"))
 
 
-def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "client_name", block_seconds: int = 86_400) -> DataFrame:
+def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "client_name", block_seconds: int = 3_600) -> DataFrame:
     """For each exclusive run, how many other runs of the same scheduler overlap it (0 = lock kept).
 
     Overlaps are counted, not paired up: runs that started before my finish,
@@ -316,7 +319,7 @@ def admission(
     limits: DataFrame,
     clear_all: bool = True,
     default_limit: int | None = None,
-    block_seconds: int = 86_400,
+    block_seconds: int | None = None,
     max_rounds: int = 10_000,
 ) -> DataFrame:
     """Which start attempts are admitted under ``max_instances`` (``admitted`` flag per run).
@@ -330,15 +333,18 @@ def admission(
     blocks whose true entry state turns out different are folded again, until
     nothing changes. That fixpoint is the sequential result; since states
     forget fast, it usually takes a few rounds, and only touched blocks rerun.
+    A block is folded in memory: unless given, its width is measured so that the
+    busiest day of the busiest chain splits into blocks of about ``BLOCK_ROWS``.
     """
     limit = F.coalesce(F.col("max_instances").cast("int"), F.lit(default_limit).cast("int"))
     base = cut_lineage(
         runs.join(limits.select("chain_id", limit.alias("cap")), "chain_id").select(
             "chain_id", "txid", F.coalesce("client_name", F.lit("")).alias("client_name"),
             micros(F.col("started")).alias("s"), micros(F.col("finished")).alias("f"), "cap",
-        ).withColumn("block", F.floor(F.col("s") / F.lit(block_seconds * 1_000_000)))
+        )
     )
-    capped = base.where(F.col("cap").isNotNull())
+    width = (block_seconds or _block_seconds(base)) * 1_000_000
+    capped = base.where(F.col("cap").isNotNull()).withColumn("block", F.floor(F.col("s") / F.lit(width)))
     state_type = "array<struct<f:bigint,c:string,h:boolean>>"
 
     def fold(rows: pa.Table, entry: pa.Table, want_flags: bool) -> pa.Table:
@@ -396,6 +402,13 @@ def admission(
     return flagged.unionByName(free)
 
 
+def _block_seconds(attempts: DataFrame) -> int:
+    """Width of a time block, from the largest number of attempts a chain has on one day."""
+    day = F.floor(F.col("s") / F.lit(86_400_000_000))
+    busiest = attempts.groupBy("chain_id", day.alias("day")).count().agg(F.max("count")).first()[0] or 0
+    return max(1, 86_400 // max(1, -(-busiest // BLOCK_ROWS)))
+
+
 def _settled(state: Column, now: Column, clear_all: bool) -> Column:
     """State after every finish up to ``now`` has been applied, in one canonical order."""
     left = F.filter(state, lambda e: e["f"] > now)

@@ -200,7 +200,7 @@ def every_ticks(schedules: DataFrame, anchor: Column, horizon: Column, key: str
     )
 
 
-def after_drift(runs: DataFrame, schedules: DataFrame, block_seconds: int = 86_400, key: str = "chain_id") -> DataFrame:
+def after_drift(runs: DataFrame, schedules: DataFrame, block_seconds: int = 3_600, key: str = "chain_id") -> DataFrame:
     """Actual against expected start of @after schedules: previous *finish* plus the interval.
 
     ``runs`` has one row per run: key, run id ``txid``, ``started``, ``finished``.
