@@ -5,7 +5,6 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tickloom.functions import jsoncheck
 from tickloom.operators import conform

@@ -35,8 +35,6 @@ ITEM = (
 _PIECE = r"((\d+,)+\d+|(\d+(/|-)\d+)|(\*(/|-)\d+)|\d+|\*)"
 STORED = rf"^({_PIECE} +){{4}}({_PIECE} ?)\z"
 
-EVERY_MINUTE = "* * * * *"
-
 
 # Numbers one item of field f stands for; NULL when it is malformed or out of range.
 # The last number really reached decides the range check, and bounds the array.

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the message that starts a chain.
+START_FORMAT = '{"ConfigID": %s, "Command": "START", "Ts": %s, "Delay": %s}'
+
+
 def member(doc: Column, path: str, as_type: str = "string") -> Column:
     """Value at ``path`` ('$.a.b[0]'); NULL when absent, of another type, or the text is no JSON."""
     return F.try_variant_get(F.try_parse_json(doc), path, as_type)
@@ -49,6 +53,6 @@ def encoded(text: Column) -> Column:
 def start_signal(chain_id: Column, ts: Column, delay_seconds: Column) -> Column:
     """START message for a chain, as JSON text."""
     return F.format_string(
-        '{"ConfigID": %s, "Command": "START", "Ts": %s, "Delay": %s}',
+        START_FORMAT,
         chain_id, F.unix_seconds(ts.cast("timestamp")), F.coalesce(delay_seconds, F.lit(0)),
     )

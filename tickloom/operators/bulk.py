@@ -11,6 +11,13 @@ from tickloom.functions.cron import flags_to_cron
 from tickloom.operators.jobs import ORDER_STEP, order_from_parents, rank_by, with_ids
 
 
+# Text that imports write.
+CONNECTION_FORMAT = "host=%s port=%s dbname=%s user=%s"
+DATABASE_PREFIX = "dbname="
+UNNAMED_JOB_PREFIX = "cronjob"
+JOB_AND_SCHEDULE_FORMAT = "%s @ %s"
+
+
 @dataclass
 class JobTables:
     """The three definition tables, one of them always the parent of the next."""
@@ -222,7 +229,7 @@ def connection_string(host: Column, port: Column, database: Column, user: Column
     differs = (
         (database != here["database"]) | (host != here["host"]) | (user != here["user"]) | (port != here["port"])
     )
-    return F.when(differs, F.format_string("host=%s port=%s dbname=%s user=%s", host, port, database, user))
+    return F.when(differs, F.format_string(CONNECTION_FORMAT, host, port, database, user))
 
 
 def import_cron_table(jobs: DataFrame, here: dict, chain: DataFrame, task: DataFrame) -> JobTables:
@@ -233,7 +240,7 @@ def import_cron_table(jobs: DataFrame, here: dict, chain: DataFrame, task: DataF
     d = numbered.withColumn("chain_id", F.col("n") + top_chain).withColumn("task_id", F.col("n") + top_task)
     chains = d.select(
         "chain_id",
-        F.coalesce("jobname", F.concat(F.lit("cronjob"), F.col("chain_id").cast("string"))).alias("chain_name"),
+        F.coalesce("jobname", F.concat(F.lit(UNNAMED_JOB_PREFIX), F.col("chain_id").cast("string"))).alias("chain_name"),
         F.col("schedule").alias("run_at"),
         F.col("active").alias("live"),
     )
@@ -274,14 +281,14 @@ def import_flag_schedules(
         ).alias("run_at"),
     )
     pairs = jobs.join(valid, "job_id").select(
-        "job_id", "schedule_id", F.format_string("%s @ %s", "job_name", "schedule_name").alias("chain_name"),
+        "job_id", "schedule_id", F.format_string(JOB_AND_SCHEDULE_FORMAT, "job_name", "schedule_name").alias("chain_name"),
         F.col("host").alias("client_name"), F.col("enabled").alias("live"), "run_at",
     )
     chains = with_ids(pairs, ["job_id", "schedule_id"], "chain_id", taken=chain)
     batch = F.col("step_kind") == "b"
     connection = F.coalesce(
         F.nullif(F.col("connection"), F.lit("")),
-        F.when(F.col("database") == here_database, None).when(F.col("database") > "", F.concat(F.lit("dbname="), F.col("database"))),
+        F.when(F.col("database") == here_database, None).when(F.col("database") > "", F.concat(F.lit(DATABASE_PREFIX), F.col("database"))),
     )
     expanded = chains.select("chain_id", "job_id").join(steps, "job_id").select(
         "chain_id", "step_id", "step_name", F.when(batch, "PROGRAM").otherwise("SQL").alias("kind"),

@@ -13,6 +13,7 @@ would raise on a value of the wrong kind, the value breaks the rule.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import count
 
@@ -64,16 +65,23 @@ class _Compiler:
             f" WHEN {w}.y = 'VOID' THEN 'null' ELSE 'number' END"
         )
         number = f"NOT ({w}.y IN ('STRING', 'BOOLEAN', 'VOID') OR startswith({w}.y, 'OBJECT') OR startswith({w}.y, 'ARRAY'))"
-        fields = (
-            f"'v', {w}.v, 't', {kind},"
-            f" 'o', try_variant_get({w}.v, '$', 'map<string,variant>'), 'a', try_variant_get({w}.v, '$', 'array<variant>'),"
-            f" 's', CASE WHEN {w}.y = 'STRING' THEN try_variant_get({w}.v, '$', 'string') END,"
-            f" 'd', CASE WHEN {number} THEN try_variant_get({w}.v, '$', 'decimal(38,18)') END,"
-            f" 'f', CASE WHEN {number} THEN try_variant_get({w}.v, '$', 'double') END"
-        )
+        views = {
+            "v": f"{w}.v",
+            "t": kind,
+            "o": f"try_variant_get({w}.v, '$', 'map<string,variant>')",
+            "a": f"try_variant_get({w}.v, '$', 'array<variant>')",
+            "s": f"CASE WHEN {w}.y = 'STRING' THEN try_variant_get({w}.v, '$', 'string') END",
+            "d": f"CASE WHEN {number} THEN try_variant_get({w}.v, '$', 'decimal(38,18)') END",
+            "f": f"CASE WHEN {number} THEN try_variant_get({w}.v, '$', 'double') END",
+        }
+        test = body(n)
+        # Only the views of the value that the rules look at are worked out.
+        used = [f"'{x}', {how}" for x, how in views.items() if re.search(rf"\b{n}\.{x}\b", test)]
+        if not used:
+            return test
         return (
             f"transform(transform(array(named_struct('v', {value}, 'y', schema_of_variant({value}))),"
-            f" {w} -> named_struct({fields})), {n} -> {body(n)})[0]"
+            f" {w} -> named_struct({', '.join(used)})), {n} -> {test})[0]"
         )
 
     def check(self, schema, value: str, seen: tuple = ()) -> str:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import blocked
 from tickloom.session import cut_and_count, cut_lineage
 
+# Limit of a chain without one, distance of steps, kinds of step, schedules that are not cron text.
 DEFAULT_MAX_INSTANCES = 16
 ORDER_STEP = 10
 KINDS = ("SQL", "PROGRAM", "BUILTIN")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# States that close a start.
 FINISHED_STATES = ("CHAIN_FAILED", "CHAIN_DONE", "DEAD")
 
 

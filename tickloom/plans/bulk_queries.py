@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import bulk, jobs, runlog
+from tickloom.operators import bulk, runlog
 from tickloom.operators.bulk import JobTables
 from tickloom.plans.jobs_queries import HERE, LINKS, parent_links
 from tickloom.plans.registry import at, query

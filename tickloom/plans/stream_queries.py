@@ -64,8 +64,8 @@ def t04(t):
 
 @query("t05_active_runs", admission_oracle("run_id"))
 def t05(t):
-    """Admission on the stream; its decisions equal those of the batch form."""
-    edges = runs.run_edges(exec_log_of(t.stream("events")), t.chain)
+    """Admission on the stream; its decisions equal those of the batch form. One file per trigger bounds a chain's rows."""
+    edges = runs.run_edges(exec_log_of(t.stream("events", files_per_trigger=1)), t.chain)
     return runs.with_rocksdb(t.spark, lambda: runs.drain(runs.live_admission(edges), "t05"))
 
 

@@ -144,10 +144,12 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def stream(self, name: str) -> DataFrame:
+    def stream(self, name: str, files_per_trigger: int | None = None) -> DataFrame:
         """The table as a file stream. The glob matches a single file and a directory alike."""
-        schema = self.raw(name).schema
-        return self.spark.readStream.schema(schema).parquet(self.path(name) + "*")
+        reader = self.spark.readStream.schema(self.raw(name).schema)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        return reader.parquet(self.path(name) + "*")
 
     @property
     def chain(self) -> DataFrame:
