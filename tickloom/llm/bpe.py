@@ -8,10 +8,11 @@ array of small maps, chosen by a hash of the pair, as a lookup in one map of all
 ranks would read through half of it.
 
 The folded words are a table of proven size (``CACHED_WORDS`` rows of at most
-``CACHED_BYTES`` bytes), so they are broadcast. Tasks take them from there and
-fold by the same rule what is rarer or longer, remembering up to
-``REMEMBERED_WORDS`` more; long words go through a heap, so they take time near
-their length. Ids thus never depend on what is in the cache, and no text moves.
+``CACHED_BYTES`` bytes), so they are broadcast: all words that occur at least so
+often that no more have. Tasks take them from there and fold by the same rule
+what is rarer or longer, remembering up to ``REMEMBERED_WORDS`` more; words of
+over ``SCANNED_BYTES`` go through a heap, so they take time near their length.
+Ids thus never depend on what is in the cache, and no text moves.
 
 Decoding looks up each id's piece in a literal array and concatenates the pieces.
 
@@ -24,21 +25,24 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bound_once, whole_text
+from tickloom.llm.common import bound_once, id_back, id_text, whole_text, written
 from tickloom.session import ship_by_value
 
-CACHED_WORDS, CACHED_BYTES, REMEMBERED_WORDS = 100_000, 32, 400_000
+CACHED_WORDS, CACHED_BYTES, REMEMBERED_WORDS = 100_000, 32, 100_000
+#: Words up to this length are folded by scanning their pairs. Characters encoded at once: what bounds a task's memory.
+SCANNED_BYTES, SLICE_CHARS = 128, 2_000_000
 BUCKETS = 16_384
-ENCODED = "doc_id bigint, ids array<int>, ids_le binary"
+ENCODED = "doc_id string, ids array<int>, ids_le binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,10 +103,13 @@ def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def frequent_words(docs: DataFrame, pattern: str, most: int = CACHED_WORDS) -> DataFrame:
-    """The ``most`` most frequent words of the table that are short enough to fold here."""
+    """The words short enough to fold here that occur at least so often that at most ``most`` do."""
     words = docs.select(F.explode(F.regexp_extract_all(whole_text(), F.lit("(?U)" + pattern), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").count().where(F.octet_length("word") <= CACHED_BYTES)
-    return counted.orderBy(F.col("count").desc(), "word").limit(most).select("word")
+    counted = written(words.where(F.octet_length("word") <= CACHED_BYTES).groupBy("word").count(), "word-counts")
+    often = counted.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    upto = often.withColumn("upto", F.sum("n").over(Window.orderBy(F.col("count").desc())))
+    least = upto.where(F.col("upto") <= most).agg(F.min("count")).first()[0]
+    return counted.where(F.col("count") >= least if least else F.lit(False)).select("word")
 
 
 def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -110,6 +117,19 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(word)) is not None:
         return [whole]
     n = len(word)
+    if n <= SCANNED_BYTES:
+        none = len(ranks) + (1 << 30)
+        parts = [word[i : i + 1] for i in range(n)]
+        pairs = [ranks.get(word[i : i + 2], none) for i in range(n - 1)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+        return [ranks[p] for p in parts]
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
     pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -129,23 +149,39 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about ``SLICE_CHARS`` characters each."""
+    upto = frame["text"].str.len().fillna(0).cumsum()
+    for _, part in frame.groupby((upto // SLICE_CHARS).to_numpy(), sort=True):
+        yield part
+
+
 def _encoder(pattern: str, path: str, shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks, folded, own, split = read_ranks(path), shared.value, {}, regex.compile(pattern)
-
-        def ids(word: str) -> bytes:
-            found = folded.get(word) or own.get(word)
-            if found is None:
-                found = np.array(encode_word(word.encode(), ranks), "<u4").tobytes()
-                if len(word) <= 4 * CACHED_BYTES:
-                    if len(own) >= REMEMBERED_WORDS:
-                        own.clear()
-                    own[word] = found
+        ranks, split = read_ranks(path), regex.compile(pattern)
+        known = dict(shared.value)
+        own: list[str] = []
+
+        def fold(word: str) -> bytes:
+            found = struct.pack(f"<{len(ids := encode_word(word.encode(), ranks))}I", *ids)
+            if len(word) <= SCANNED_BYTES:
+                if len(own) >= REMEMBERED_WORDS:
+                    for w in own:
+                        del known[w]
+                    own.clear()
+                known[word] = found
+                own.append(word)
             return found
 
+        def encoded(text: str) -> bytes:
+            # A list of all words is made of short texts only.
+            words = split.findall(text) if len(text) < SLICE_CHARS else (m[0] for m in split.finditer(text))
+            return b"".join([known.get(w) or fold(w) for w in words])
+
         for frame in frames:
-            out = [b"".join(ids(m[0]) for m in split.finditer(t or "")) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [np.frombuffer(x, "<i4") for x in out], "ids_le": out})
+            for part in _slices(frame):
+                out = [encoded(t or "") for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [np.frombuffer(x, "<i4") for x in out], "ids_le": out})
 
     return run
 
@@ -157,8 +193,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_
     table = words.select("word", folded_ids(F.col("word"), read_ranks(ranks_path)).alias("ids")).toArrow()
     folded = {w: np.array(i, "<u4").tobytes() for w, i in zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast(folded)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(_encoder(pattern, ranks_path, shared), ENCODED)
+    rows = docs.select(id_text(), "text").mapInPandas(_encoder(pattern, ranks_path, shared), ENCODED)
+    return rows.select(id_back(), "ids", "ids_le")
 
 
 def decoded(ids: Column, ranks_path: str) -> Column:

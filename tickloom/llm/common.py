@@ -36,5 +36,14 @@ def bound_once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def id_text(name: str = "doc_id") -> Column:
+    """The id as text: pandas would turn a column of integers with a null into floats."""
+    return F.col(name).cast("bigint").cast("string").alias(name)
+
+
+def id_back(name: str = "doc_id") -> Column:
+    return F.col(name).cast("bigint").alias(name)
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))

@@ -33,14 +33,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import DOCUMENT, small, whole_text, written
+from tickloom.llm.common import DOCUMENT, id_back, id_text, small, whole_text, written
 from tickloom.session import ship_by_value
 
 ORDER, TRAIN_OF = 5, 5
 QUANTILE, SLACK, LEAST_TRUSTED, PRIOR_BYTES = 0.995, 1.1, 100, 100
 #: Entropies are binned at this many bins per nat for the quantiles.
 BINS = 1000
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 2_000_000
 _PIECE_BYTES, _MERGE_ROWS = 1_000_000, 2_000_000
 
 
@@ -56,7 +56,7 @@ def with_role(docs: DataFrame, labels: DataFrame) -> DataFrame:
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % TRAIN_OF != 0
     role = F.when(F.col("__trusted").isNotNull(), F.when(train, F.lit("train")).otherwise(F.lit("calibrate")))
     joined = docs.select("doc_id", "lang", "text").join(small(trusted(labels)), F.col("doc_id") == F.col("__trusted"), "left")
-    return joined.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text", role.alias("role"))
+    return joined.select(docs["doc_id"].cast("bigint").alias("doc_id"), "lang", "text", role.alias("role"))
 
 
 def pieces(texts, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -180,9 +180,9 @@ def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
     n = max(1, -(-model.count() * 11 // (10 * shard_rows)))
     shard = F.pmod(F.xxhash64("g"), F.lit(n))
     texts = rows.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "lang", "role", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "text"
+        id_text(), F.xxhash64("text").alias("text_hash"), "lang", "role", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "text"
     )
-    kinds = "doc_id bigint, text_hash bigint, lang string, role string, n_bytes bigint, lp double"
+    kinds = "doc_id string, text_hash bigint, lang string, role string, n_bytes bigint, lp double"
     parts = []
     for k in range(n):
         part = model.where(shard == k).toArrow()
@@ -195,7 +195,7 @@ def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("doc_id", "text_hash", "lang", "role", "n_bytes").agg(F.sum("lp").alias("lp"))
+    return every.groupBy(id_back(), "text_hash", "lang", "role", "n_bytes").agg(F.sum("lp").alias("lp"))
 
 
 def limits(scored: DataFrame, quantile: float, slack: float, least: int) -> DataFrame:

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import id_back, id_text
 from tickloom.session import ship_by_value
 
 NGRAMS, BUCKETS, WIDTH = (2, 3, 4), 1 << 15, 16
@@ -160,8 +161,9 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, accepted."""
     ship_by_value(__name__)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out().alias("held_out"))
-    return rows.mapInPandas(_predictor(shared), "doc_id bigint, held_out boolean, lang_pred string, score double, accepted boolean")
+    rows = docs.select(id_text(), "text", held_out().alias("held_out"))
+    found = rows.mapInPandas(_predictor(shared), "doc_id string, held_out boolean, lang_pred string, score double, accepted boolean")
+    return found.select(id_back(), "held_out", "lang_pred", "score", "accepted")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -73,7 +73,9 @@ def _filters_of(rows: pd.DataFrame) -> list[Cuckoo]:
 
 def _step_rows(shard: int, keys: pd.DataFrame, known: np.ndarray, filters: list[Cuckoo]) -> pd.DataFrame:
     kept = pd.DataFrame({"shard": shard, "part": range(len(filters)), "filter": [f.dumps() for f in filters]})
-    out = pd.concat([keys.assign(known=known), kept], ignore_index=True)
+    # Nullable integers from the start: a 64-bit hash must not pass through a float.
+    keys = keys.assign(known=known).astype({c: "Int64" for c in ("h", "n_docs", "keep_doc")})
+    out = pd.concat([keys, kept], ignore_index=True)
     out = out.reindex(columns=[c.split()[0] for c in _STEP.split(", ")])
     for c in ("h", "n_docs", "keep_doc", "part"):
         out[c] = out[c].astype("Int64")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import DOCUMENT, small, written
+from tickloom.llm.common import DOCUMENT, id_back, id_text, small, written
 from tickloom.session import ship_by_value
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 3
@@ -71,8 +71,8 @@ def _fingerprints(words_in_shingle: int):
 def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed number."""
     ship_by_value(__name__)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(_fingerprints(words_in_shingle), "doc_id bigint, fp bigint")
+    rows = docs.select(id_text(), "text")
+    return rows.mapInPandas(_fingerprints(words_in_shingle), "doc_id string, fp bigint").select(id_back(), "fp")
 
 
 def _levels(n: int, leaf: int) -> int:
