@@ -89,12 +89,13 @@ def train(sample: pd.DataFrame) -> dict:
     for _ in range(epochs):
         for i in draw.permutation(fit):
             at, w = sample["buckets"].iat[i], sample["weights"].iat[i]
-            rate, step = RATE * (1 - step / total) * min(each[i], 3.0), step + 1
+            # Texts with few subwords have large weights; their steps are bounded, or they would overshoot.
+            rate, step = min(RATE * min(each[i], 3.0), 0.1 / float(w @ w)) * (1 - step / total), step + 1
             hidden = w @ embed[at]
             error = _softmax(hidden @ out)
             error[want[i]] -= 1
             back = out @ error
-            out -= (rate * 0.1) * np.outer(hidden, error)
+            out -= min(rate * 0.1, 0.5 / (float(hidden @ hidden) + 1e-6)) * np.outer(hidden, error)
             embed[at] -= rate * w[:, None] * back[None, :]
     matrix = embed @ out
     by = np.flatnonzero(held) if held.any() else fit
