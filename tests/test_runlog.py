@@ -89,7 +89,7 @@ def test_admission_against_brute_force(spark, seed, clear_all):
         "chain_id bigint, txid bigint, client_name string, started timestamp, finished timestamp",
     )
     limits = spark.createDataFrame(list(caps.items()), "chain_id bigint, max_instances int")
-    got = {r.txid: r.admitted for r in runlog.admission(runs, limits, clear_all, block_seconds=2_000).collect()}
+    got = {r.txid: r.admitted for r in runlog.admission(runs, limits, clear_all, None, block_seconds=2_000).collect()}
     assert got == brute_admission(data, caps, clear_all)
 
 

@@ -192,32 +192,22 @@ def finish_chains(active: DataFrame, finished: DataFrame) -> DataFrame:
     return active.join(finished.select(*keys).distinct(), keys, "left_anti").select(*active.columns)
 
 
-def collect_and_log(parameter: DataFrame, sent: Column, log_task: Column, field: str, lead: str, page: int = 10_000) -> DataFrame:
+def collect_and_log(parameter: DataFrame, sent: Column, log_task: Column, field: str, lead: str, most: int = 1_000_000) -> DataFrame:
     """Delete parameter rows, gather one JSON field of them into a log message, upsert the message.
 
     ``sent`` marks the rows to delete and ``log_task`` gives the task whose
-    first parameter becomes the message. The list is cut every ``page`` rows
-    and goes on in the next parameter row, so no message grows without bound.
+    first parameter becomes the message; its other parameters stay. A message
+    of over ``most`` items fails the query.
     """
-    from tickloom.operators import blocked
-
     gone = parameter.where(sent).select(
-        log_task.alias("task_id"), "order_id", F.get_json_object("value", f"$.{field}").alias("item")
-    )
-    numbered = blocked.row_number(
-        gone.where(F.col("item").isNotNull()), ["task_id"], F.floor(F.col("order_id") / page), [F.col("order_id")], "rn"
-    )
-    messages = (
-        numbered.withColumn("page", F.floor((F.col("rn") - 1) / page) + 1)
-        .groupBy("task_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "item"))).alias("items"))
-        .select(
-            "task_id",
-            F.col("page").alias("order_id"),
-            F.to_json(F.struct(F.concat(F.lit(lead), F.array_join("items.item", ";")).alias("v"))).alias("j"),
-        )
-        .select("task_id", "order_id", F.regexp_extract("j", r'^\{"v":(.*)\}$', 1).alias("value"))
+        log_task.alias("task_id"), F.struct(F.col("task_id").alias("of"), "order_id", F.get_json_object("value", f"$.{field}").alias("item")).alias("s")
     )
+    listed = gone.where(F.col("s.item").isNotNull()).groupBy("task_id").agg(F.array_sort(F.collect_list("s")).alias("items"))
+    too_long = F.raise_error(F.format_string("the message of task %s has over %d items", F.col("task_id").cast("string"), F.lit(most)))
+    text = F.when(F.size("items") > most, too_long).otherwise(F.array_join("items.item", ";"))
+    # As a JSON text: the element of a one-element array.
+    value = F.regexp_extract(F.to_json(F.array(F.concat(F.lit(lead), text))), r"^\[(.*)\]$", 1)
+    messages = listed.select("task_id", F.lit(1).cast(parameter.schema["order_id"].dataType).alias("order_id"), value.alias("value"))
     return upsert(parameter.where(~sent), messages, ["task_id", "order_id"], ["value"])
 
 

@@ -10,6 +10,8 @@ from tickloom.session import cut_and_count, cut_lineage
 
 # Limit of a chain without one, distance of steps, kinds of step, schedules that are not cron text.
 DEFAULT_MAX_INSTANCES = 16
+#: More steps than a chain may have for its list to be one value.
+MOST_STEPS = 1_000_000
 ORDER_STEP = 10
 KINDS = ("SQL", "PROGRAM", "BUILTIN")
 SPECIAL_SCHEDULES = ("@reboot", "@after", "@every")
@@ -361,22 +363,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "chain_id") -> Data
     )
 
 
-def step_ids(tasks: DataFrame, page: int = 10_000) -> DataFrame:
-    """Step ids of each chain by order, as arrays of at most ``page`` ids.
-
-    A chain of up to ``page`` steps is one row; a longer one goes on in rows
-    1, 2, ... so that no row or task has to hold an unbounded chain.
-    """
-    numbered = blocked.row_number(
-        tasks.select("chain_id", "task_order", "task_id"),
-        ["chain_id"],
-        F.floor(F.col("task_order") / (ORDER_STEP * page)),
-        [F.col("task_order"), F.col("task_id")],
-        "rn",
-    )
-    return (
-        numbered.withColumn("page", F.floor((F.col("rn") - 1) / page))
-        .groupBy("chain_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "task_id"))).alias("s"))
-        .select("chain_id", "page", F.col("s.task_id").alias("task_ids"))
-    )
+def step_ids(tasks: DataFrame, most: int = MOST_STEPS) -> DataFrame:
+    """Step ids of each chain by order, one array per chain. A chain of over ``most`` steps fails the query."""
+    listed = tasks.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("task_order", "task_id"))).alias("s"))
+    too_long = F.raise_error(F.format_string("chain %s has over %d steps", F.col("chain_id").cast("string"), F.lit(most)))
+    return listed.select("chain_id", F.when(F.size("s") > most, too_long).otherwise(F.col("s.task_id")).alias("task_ids"))

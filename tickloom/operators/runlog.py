@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.binding import micros
 from tickloom.operators import blocked
+from tickloom.operators.jobs import DEFAULT_MAX_INSTANCES
 from tickloom.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
@@ -139,7 +140,7 @@ def chain_runs(log: DataFrame) -> DataFrame:
 
 def step_status(log: DataFrame) -> DataFrame:
     """ok / ignored / failed / skipped for each step of each run."""
-    runs = chain_runs(log).select("chain_id", "txid", "failed_order")
+    runs = chain_runs(log).select("chain_id", "txid", F.col("client_name").alias("__client"), "failed_order")
     order, failed = F.col("task_order"), F.col("failed_order")
     status = (
         F.when(order > failed, "skipped")
@@ -147,7 +148,8 @@ def step_status(log: DataFrame) -> DataFrame:
         .when(F.col("returncode") != 0, "ignored")
         .otherwise("ok")
     )
-    return log.join(runs, ["chain_id", "txid"]).select("chain_id", "txid", "task_order", "exec_id", status.alias("status"))
+    return log.join(runs.withColumnsRenamed({"chain_id": "__chain", "txid": "__txid"}), F.expr(
+        "chain_id = __chain AND txid = __txid AND client_name <=> __client")).select("chain_id", "txid", "task_order", "exec_id", status.alias("status"))
 
 
 def started_by_client(runs: DataFrame) -> DataFrame:
@@ -318,15 +320,14 @@ def admission(
     runs: DataFrame,
     limits: DataFrame,
     clear_all: bool = True,
-    default_limit: int | None = None,
+    default_limit: int | None = DEFAULT_MAX_INSTANCES,
     block_seconds: int | None = None,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Which start attempts are admitted under ``max_instances`` (``admitted`` flag per run).
 
     Admission is greedy in start order, and a refused run takes no slot. With
     ``clear_all`` the first finish of a chain on a client frees every slot of
-    that chain and client. A missing limit admits all unless ``default_limit``.
+    that chain and client. A missing limit is ``default_limit``; None as that admits all.
 
     The fold is sequential per chain, yet no chain is put into one task: time
     blocks are folded in parallel, each from an assumed entry state, and the
@@ -374,7 +375,8 @@ def admission(
         .withColumn("exit", empty).withColumn("dirty", F.lit(True))
     )
     chain_order = Window.partitionBy("chain_id").orderBy("block")
-    for _ in range(max_rounds):
+    # Each round settles at least the first block that has not settled, so this ends.
+    while True:
         todo = blocks.where("dirty").select("chain_id", "block", "entry")
         exits = folded(
             capped.join(todo, ["chain_id", "block"], "left_semi"), todo, False,
@@ -393,8 +395,6 @@ def admission(
         )
         if blocks.where("dirty").isEmpty():
             break
-    else:
-        raise RuntimeError("admission did not settle; use wider blocks")
     flagged = folded(
         capped, blocks.select("chain_id", "block", "entry"), True, "chain_id bigint, txid bigint, admitted boolean"
     )

@@ -353,14 +353,31 @@ def d13(t):
     "d14_collect_and_log",
     ctes(
         "parameter",
-        g="""SELECT task_id + 1000000 AS task_id, order_id, json_extract_string(value, '$.k') AS item,
-        row_number() OVER (PARTITION BY task_id ORDER BY order_id) AS rn FROM parameter WHERE value IS NOT NULL""",
+        g="SELECT task_id + 1000000 AS task_id, order_id, json_extract_string(value, '$.k') AS item FROM parameter WHERE value IS NOT NULL",
     )
-    + """SELECT task_id, CAST((rn - 1) // 100 + 1 AS BIGINT) AS order_id, concat('"Sent: ', string_agg(item, ';' ORDER BY rn), '"') AS value FROM g GROUP BY 1, 2
+    + """SELECT task_id, CAST(1 AS BIGINT) AS order_id, concat('"Sent: ', string_agg(item, ';' ORDER BY order_id), '"') AS value FROM g GROUP BY 1
     UNION ALL SELECT task_id, order_id, value FROM parameter WHERE value IS NULL""",
 )
 def d14(t):
-    """Non-null parameters are consumed; their numbers go into a log task's message, a hundred per row."""
-    return bulk.collect_and_log(
-        t.parameter, F.col("value").isNotNull(), F.col("task_id") + 1_000_000, "k", "Sent: ", page=100
+    """Non-null parameters are consumed; their numbers go into a log task's message."""
+    sent = bulk.collect_and_log(t.parameter, F.col("value").isNotNull(), F.col("task_id") + 1_000_000, "k", "Sent: ")
+    return sent.withColumn("order_id", F.col("order_id").cast("bigint"))
+
+
+@query(
+    "d14_keeps_parameters",
+    ctes(
+        "parameter",
+        g="SELECT task_id, order_id, json_extract_string(value, '$.k') AS item FROM parameter WHERE value IS NOT NULL AND order_id % 2 = 0",
+        m="""SELECT task_id, CAST(1 AS BIGINT) AS order_id, concat('"Sent: ', string_agg(item, ';' ORDER BY order_id), '"') AS value
+        FROM g WHERE item IS NOT NULL GROUP BY 1""",
     )
+    + """SELECT task_id, order_id, value FROM m UNION ALL
+    SELECT task_id, order_id, value FROM parameter p WHERE NOT (value IS NOT NULL AND order_id % 2 = 0)
+      AND NOT EXISTS (SELECT 1 FROM m WHERE m.task_id = p.task_id AND m.order_id = p.order_id)""",
+)
+def d14_keeps(t):
+    """A task logs about itself: its first parameter becomes the message, and those not sent stay."""
+    sent = F.col("value").isNotNull() & (F.col("order_id") % 2 == 0)
+    out = bulk.collect_and_log(t.parameter, sent, F.col("task_id"), "k", "Sent: ")
+    return out.withColumn("order_id", F.col("order_id").cast("bigint"))

@@ -53,7 +53,7 @@ def n03(t):
     "n04_keys_and_kinds",
     TURNS_SQL
     + """SELECT conv_id, turn, 'conv,turn,role,tags,text' AS key_list, 'object' AS doc_kind, 'number' AS turn_kind, 2 AS n_tags,
-    concat('["', role, '",', CAST(turn AS VARCHAR), ']') AS pair FROM d""",
+    CAST(to_json([role, CAST(turn AS VARCHAR)]) AS VARCHAR) AS pair FROM d""",
 )
 def n04(t):
     doc = F.col("doc")
@@ -61,9 +61,7 @@ def n04(t):
     return turns(t).select(
         "conv_id", "turn", F.array_join(jsonfn.keys(doc), ",").alias("key_list"), jsonfn.kind(doc).alias("doc_kind"),
         jsonfn.kind(F.get_json_object(doc, "$.turn")).alias("turn_kind"), jsonfn.length(tags).alias("n_tags"),
-        F.concat(
-            F.lit('["'), jsonfn.member(doc, "$.role"), F.lit('",'), jsonfn.member(doc, "$.turn"), F.lit("]")
-        ).alias("pair"),
+        F.to_json(F.array(jsonfn.member(doc, "$.role"), jsonfn.member(doc, "$.turn"))).alias("pair"),
     )
 
 

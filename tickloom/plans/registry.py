@@ -13,20 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _fit_local_session(spark: SparkSession) -> None:
-    """A local session left at 200 shuffle partitions gets as many as it has cores; a cluster keeps its own."""
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
-
-
 def query(name: str, oracle: str | None = None):
     """Register ``fn(tables)`` under ``name``, with DuckDB SQL for the same rows if there is one."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            _fit_local_session(spark)
             return fn(Tables(spark, sf_dir))
 
         run.__name__ = name

@@ -308,9 +308,9 @@ def w04(t):
 @query(
     "w04_step_status",
     ctes("exec_log", **RUNS)
-    + """SELECT chain_id, txid, task_order, exec_id, CASE WHEN task_order > failed_order THEN 'skipped'
+    + """SELECT e.chain_id, e.txid, task_order, exec_id, CASE WHEN task_order > failed_order THEN 'skipped'
     WHEN returncode <> 0 AND NOT coalesce(ignore_error, false) THEN 'failed' WHEN returncode <> 0 THEN 'ignored' ELSE 'ok' END AS status
-    FROM exec_log JOIN r USING (chain_id, txid)""",
+    FROM exec_log e JOIN r ON r.chain_id = e.chain_id AND r.txid = e.txid AND r.client_name IS NOT DISTINCT FROM e.client_name""",
 )
 def w04_steps(t):
     return runlog.step_status(t.exec_log)
@@ -341,7 +341,7 @@ def w05_peak(t):
 
 # The sequential fold itself, one attempt per chain and step; the state is a list of unfinished admitted runs.
 ADMISSION_SQL = """WITH RECURSIVE attempt AS (
-    SELECT e.chain_id, exec_id, e.client_name AS c, epoch_us(last_run) AS s, epoch_us(finished) AS f, max_instances AS cap,
+    SELECT e.chain_id, exec_id, e.client_name AS c, epoch_us(last_run) AS s, epoch_us(finished) AS f, coalesce(max_instances, 16) AS cap,
      row_number() OVER (PARTITION BY e.chain_id ORDER BY last_run, exec_id) AS rn
     FROM ({exec_log}) e JOIN ({chain}) k ON k.chain_id = e.chain_id),
   fold AS (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions import text
+from tickloom.operators.jobs import DEFAULT_MAX_INSTANCES
 from tickloom.operators import runlog
 from tickloom.session import ship_by_value, work_dir
 
@@ -59,14 +60,14 @@ def dead_starts(starts: DataFrame, finishes: DataFrame, patience: str) -> DataFr
 
 
 def run_edges(log: DataFrame, limits: DataFrame) -> DataFrame:
-    """Start and finish of each log row, with the limit of its chain (NULL = none)."""
+    """Start and finish of each log row, with the limit of its chain (NULL = the default)."""
     edge = F.explode(
         F.array(
             F.struct(F.col("last_run").alias("moment"), F.lit(1).alias("is_start")),
             F.struct(F.col("finished").alias("moment"), F.lit(0).alias("is_start")),
         )
     )
-    caps = limits.select("chain_id", F.col("max_instances").cast("int").alias("cap"))
+    caps = limits.select("chain_id", F.coalesce("max_instances", F.lit(DEFAULT_MAX_INSTANCES)).cast("int").alias("cap"))
     return log.select("chain_id", F.col("exec_id").alias("run_id"), "client_name", edge.alias("e")).select(
         "chain_id", "run_id", "client_name", F.col("e.moment").alias("moment"), F.col("e.is_start").alias("is_start")
     ).join(caps, "chain_id")
