@@ -2,6 +2,8 @@
 
 import json
 import tempfile
+import time
+from datetime import timedelta
 
 import pytest
 from conftest import rows
@@ -14,33 +16,58 @@ from tickloom.sources import transfer
 from tickloom.streaming import runs, signals
 
 MESSAGES = [
-    ('{"ConfigID": 1, "Command": "STOP", "Ts": 1}', None),
-    ('{"ConfigID": 2, "Command": "START", "Ts": 1}', None),
-    ('{"ConfigID": 3, "Command": "START", "Ts": 2, "Delay": 1}', None),
-    ('{"ConfigID": 2, "Command": "START", "Ts": 1, "Delay": 0}', None),  # equal to the second
-    ('{"ConfigID": 0, "Command": "START", "Ts": 3}', "chain"),
-    ('{"ConfigID": 4, "Command": "DRIVE", "Ts": 3}', "command"),
-    ("foo bazz", "json"),
-    ('{"ConfigID": "4", "Command": "START", "Ts": 3}', "json"),
-    ("[1]", "json"),
-    ("null", "json"),
+    ('{"ConfigID": 71, "Command": "START", "Ts": 5002, "Delay": 45}', None),
+    ('{"ConfigID": 70, "Command": "STOP", "Ts": 5000}', None),
+    ('{"ConfigID": 70, "Command": "STOP", "Ts": 5000, "Delay": 0}', None),  # equal to the second
+    ('{"ConfigID": 71, "Command": "START", "Ts": 5002}', None),  # the first without its delay
+    ('{"ConfigID": 72, "Command": "START", "Ts": 1500}', None),  # nearly an hour late
+    ('{"ConfigID": -9, "Command": "STOP", "Ts": 5003}', "chain"),
+    ('{"ConfigID": 73, "Command": "PAUSE", "Ts": 5003}', "command"),
+    ('{"ConfigID": 73, "Ts": 5003}', "command"),
+    ("{unquoted", "json"),
+    ('{"ConfigID": 73, "Command": "STOP", "Ts": "noon"}', "json"),
+    ('"STOP"', "json"),
+    ("7", "json"),
 ]
+HANDLED = [(70, "STOP", 5000, 0), (71, "START", 5002, 0), (71, "START", 5002, 45), (72, "START", 1500, 0)]
 
 
 def test_signals_batch(spark):
     parsed = signals.parse_signals(spark.createDataFrame([(m,) for m, _ in MESSAGES], "payload string").coalesce(1))
     assert [r.reason for r in parsed.collect()] == [reason for _, reason in MESSAGES]
-    assert signals.dedup_signals(signals.accepted(parsed)).count() == 3
-    assert signals.rejected(parsed).count() == 6
+    assert rows(signals.dedup_signals(signals.accepted(parsed)), *signals.SIGNAL_KEY) == HANDLED
+    assert signals.rejected(parsed).count() == 7
 
 
-def test_signals_over_several_triggers(spark):
+@pytest.mark.parametrize("order", [range(len(MESSAGES)), [4, 8, 2, 0, 10, 3, 1, 11, 5, 9, 6, 7]])
+def test_signals_over_several_triggers(spark, order):
+    """However files fall into triggers, each signal comes out once, late ones too: what the batch gives."""
     folder = work_dir(spark, "test-signals")
-    for i, (m, _) in enumerate(MESSAGES):
-        spark.createDataFrame([(i, m)], "i int, payload string").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("i int, payload string").option("maxFilesPerTrigger", 2).parquet(folder)
-    fresh = signals.dedup_signals(signals.accepted(signals.parse_signals(stream))).select(*signals.SIGNAL_KEY)
-    assert rows(runs.drain(fresh, "test-dedup"), *signals.SIGNAL_KEY) == [(1, "STOP", 1, 0), (2, "START", 1, 0), (3, "START", 2, 1)]
+    for i in order:
+        spark.createDataFrame([(i, MESSAGES[i][0])], "i int, payload string").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("i int, payload string").option("maxFilesPerTrigger", 3).parquet(folder)
+    fresh = signals.dedup_signals(signals.accepted(signals.parse_signals(stream)))
+    got = runs.with_rocksdb(spark, lambda: runs.drain(fresh, "test-dedup"))
+    assert rows(got, *signals.SIGNAL_KEY) == HANDLED
+
+
+def test_signals_are_forgotten(spark):
+    """A signal that comes once more is handled again only when it is no longer remembered."""
+    def handled(remembered, pause):
+        folder, base = work_dir(spark, "test-signals"), work_dir(spark, "test-forget")
+        for _ in range(2):
+            spark.createDataFrame([(MESSAGES[1][0],)], "payload string").coalesce(1).write.mode("append").parquet(folder)
+            stream = signals.parse_signals(spark.readStream.schema("payload string").parquet(folder))
+            query = (
+                signals.dedup_signals(signals.accepted(stream), remembered).writeStream.format("parquet")
+                .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+            time.sleep(pause)
+        return spark.read.parquet(f"{base}/rows").count()
+
+    assert runs.with_rocksdb(spark, lambda: handled(timedelta(milliseconds=500), 2)) == 2
+    assert runs.with_rocksdb(spark, lambda: handled(timedelta(hours=1), 0)) == 1
 
 
 def test_resolve_commands(spark):
@@ -51,14 +78,14 @@ def test_resolve_commands(spark):
 def test_csv_round_trip(spark):
     folder = tempfile.mkdtemp(prefix="tickloom-test-")
     with open(f"{folder}/in.csv", "w") as f:
-        f.write("1,foo\n2,bar\n")
-    assert transfer.load_csv(spark, f"{folder}/in.csv", "id int, val string", f"{folder}/table") == 2
-    assert rows(spark.read.parquet(f"{folder}/table"), "id", "val") == [(1, "foo"), (2, "bar")]
+        f.write("40,pear\n41,fig\n")
+    assert transfer.load_csv(spark, f"{folder}/in.csv", "id int, fruit string", f"{folder}/table") == 2
+    assert rows(spark.read.parquet(f"{folder}/table"), "id", "fruit") == [(40, "pear"), (41, "fig")]
     assert transfer.export_csv(transfer.series(spark, 1, 5), f"{folder}/out") == 5
     with pytest.raises(Exception):
         transfer.load_csv(spark, f"{folder}/none.csv", "id int", f"{folder}/table2")
     with pytest.raises(Exception):
-        transfer.read_csv(spark, f"{folder}/in.csv", "id int, val int").collect()
+        transfer.read_csv(spark, f"{folder}/in.csv", "id int, fruit int").collect()
 
 
 def test_programs(spark):
@@ -75,10 +102,10 @@ def test_log_policy(spark):
 
 
 def test_json_values(spark):
-    doc = '{"kvs":[{"key":"Zm9v","value":"YmFy"}]}'
-    df = spark.createDataFrame([(doc,)], "d string").select(F.explode(jsonfn.elements(F.col("d"), "$.kvs")).alias("e"))
-    pair = df.select(*[jsonfn.decoded(F.try_variant_get("e", f"$.{k}", "string")).alias(k) for k in ("key", "value")])
-    assert rows(pair, "key", "value") == [("foo", "bar")]
+    doc = '{"pairs":[{"name":"cGVhcg==","colour":"Z3JlZW4="}]}'
+    df = spark.createDataFrame([(doc,)], "d string").select(F.explode(jsonfn.elements(F.col("d"), "$.pairs")).alias("e"))
+    pair = df.select(*[jsonfn.decoded(F.try_variant_get("e", f"$.{k}", "string")).alias(k) for k in ("name", "colour")])
+    assert rows(pair, "name", "colour") == [("pear", "green")]
     kinds = spark.createDataFrame([(x,) for x in ('{"a":1}', "[1]", '"s"', "1.5", "true", "null", "oops")], "d string").coalesce(1)
     assert [r[0] for r in kinds.select(jsonfn.kind(F.col("d"))).collect()] == ["object", "array", "string", "number", "boolean", "null", None]
     signal = spark.range(1).select(jsonfn.start_signal(F.lit(3), F.lit("1970-01-01 00:00:09").cast("timestamp"), F.lit(None).cast("int")))

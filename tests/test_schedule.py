@@ -12,9 +12,10 @@ from tickloom.functions import cron as C
 from tickloom.functions.intervals import interval_seconds
 from tickloom.operators import schedule
 
+# One text per branch of a field: star, star and step, number, list, range, number and step; then the '@' kinds.
 ACCEPTED = [
-    "0 1 1 * 1", "0 1 1 * 1,2", "0 1 1 * 1,2,3", "0 1 * * 1/4", "0 * * 7 1-4", "0 * * * 2/4", "* * * * *",
-    "*/2 */2 * * *", "@reboot", "@every 1 sec", "@after 1 sec",
+    "* * * * *", "*/7 * * * *", "12 5 * * *", "3,33 * 2,20 * *", "* 8-17 * 4-9 *", "5/11 * * * 3/2",
+    "@reboot", "@every 90 minutes", "@after 2 hours",
 ]
 # text, parses, may be stored
 EDGES = [

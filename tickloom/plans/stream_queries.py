@@ -13,7 +13,7 @@ from tickloom.sources.fixtures import FINISHED, RUN_FINISH, RUN_START, SIGNAL, c
 from tickloom.streaming import runs, signals
 
 PARSED = {
-    "p": """SELECT event_id, CASE WHEN payload = 'foo bazz' THEN NULL ELSE payload END AS j FROM signal""",
+    "p": """SELECT event_id, CASE WHEN payload = 'no json at all' THEN NULL ELSE payload END AS j FROM signal""",
     "f": """SELECT event_id, coalesce(CAST(json_extract_string(j, '$.ConfigID') AS BIGINT), 0) AS config_id,
         coalesce(json_extract_string(j, '$.Command'), '') AS command, coalesce(CAST(json_extract_string(j, '$.Ts') AS BIGINT), 0) AS signal_ts,
         coalesce(CAST(json_extract_string(j, '$.Delay') AS BIGINT), 0) AS delay, j IS NULL AS bad FROM p""",
@@ -36,7 +36,7 @@ def t01(t):
 @query("t02_dedup_signals", ctes("signal", **PARSED) + "SELECT * FROM u")
 def t02(t):
     fresh = signals.dedup_signals(signals.accepted(parsed(t)))
-    return runs.drain(fresh.select(*signals.SIGNAL_KEY), "t02")
+    return runs.with_rocksdb(t.spark, lambda: runs.drain(fresh, "t02"))
 
 
 @query(
@@ -46,8 +46,8 @@ def t02(t):
 )
 def t03(t):
     """Deduplicated signals from the stream; the last command per chain decides."""
-    fresh = signals.dedup_signals(signals.accepted(parsed(t))).select(*signals.SIGNAL_KEY)
-    return signals.resolve_commands(runs.drain(fresh, "t03"))
+    fresh = signals.dedup_signals(signals.accepted(parsed(t)))
+    return signals.resolve_commands(runs.with_rocksdb(t.spark, lambda: runs.drain(fresh, "t03")))
 
 
 @query(

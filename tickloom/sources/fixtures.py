@@ -77,7 +77,7 @@ FINISHED = "event_id % 10 <> 0"
 SIGNAL = (
     "event_id",
     "ts",
-    """CASE event_type WHEN 'signup' THEN 'foo bazz' ELSE concat('{"ConfigID": ', CAST(user_id % 20 AS STRING), ', "Command": "',"""
+    """CASE event_type WHEN 'signup' THEN 'no json at all' ELSE concat('{"ConfigID": ', CAST(user_id % 20 AS STRING), ', "Command": "',"""
     """ CASE event_type WHEN 'view' THEN 'DRIVE' WHEN 'error' THEN 'STOP' ELSE 'START' END, '", "Ts": ',"""
     """ CAST(CAST(floor(event_id / 5) AS BIGINT) AS STRING), ', "Delay": ', CAST(user_id % 3 AS STRING), '}') END AS payload""",
 )

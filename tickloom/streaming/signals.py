@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tickloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 # How long a handled signal is remembered, and the commands there are.
-SIGNAL_TTL = "60 seconds"
+SIGNAL_TTL = timedelta(seconds=60)
 COMMANDS = ("START", "STOP")
 SIGNAL_KEY = ["config_id", "command", "signal_ts", "delay"]
 
@@ -55,17 +64,43 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull())
 
 
-def dedup_signals(signals: DataFrame) -> DataFrame:
-    """A signal equal in all four members is handled once; it is forgotten a minute later.
+class _Unseen(StatefulProcessor):
+    """State of one signal: a mark that it has been handled, which expires by itself."""
+
+    def __init__(self, remembered: timedelta) -> None:
+        self.remembered_ms = int(remembered.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handled = handle.getValueState("handled", "yes boolean", self.remembered_ms)
 
-    On a stream the state holds a minute of signals, keyed by the whole signal,
-    so even a chain that gets a third of all signals spreads out.
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for _ in rows:
+            pass
+        if not self.handled.exists():
+            self.handled.update((True,))
+            yield pd.DataFrame([key], columns=SIGNAL_KEY)
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_signals(signals: DataFrame, remembered: timedelta = SIGNAL_TTL) -> DataFrame:
+    """The four members of each signal, once for all that are equal in them while it is remembered.
+
+    What counts is when a signal comes in, not the time it bears: none is ever too
+    late. A handled signal is forgotten after ``remembered``, and handled again if
+    it comes once more. A batch comes in at one moment. On a stream the state is a
+    mark per signal, so a chain that gets a third of all signals spreads out; it
+    needs the RocksDB state store.
     """
     if not signals.isStreaming:
-        return signals.dropDuplicates(SIGNAL_KEY)
-    # The first watermark is the epoch itself, and would make a signal of second 0 late.
-    timed = signals.withColumn("signal_time", F.timestamp_seconds(F.col("signal_ts") + 1))
-    return timed.withWatermark("signal_time", SIGNAL_TTL).dropDuplicatesWithinWatermark(SIGNAL_KEY)
+        return signals.select(*SIGNAL_KEY).distinct()
+    return signals.select(*SIGNAL_KEY).groupBy(*SIGNAL_KEY).transformWithStateInPandas(
+        statefulProcessor=_Unseen(remembered),
+        outputStructType="config_id bigint, command string, signal_ts bigint, delay bigint",
+        outputMode="append",
+        timeMode="processingTime",
+    )
 
 
 def effective_start(signals: DataFrame) -> DataFrame:
