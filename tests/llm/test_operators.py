@@ -17,7 +17,7 @@ from odd_rows import edge, edge_rows, empty  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, chunkdedup, kneserney, langid, lines, mixing, sharding, simhash, tokencounts, topk
+from tickloom.llm import bpe, chunkdedup, kneserney, langid, lines, mixing, sharding, similar, simhash, tokencounts, topk
 from tickloom.llm.cuckoo import Cuckoo
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -35,7 +35,7 @@ def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     vectors = topk.quantised(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     for out in (
-        mixing.mix_plan(empty), mixing.mixed_documents(empty), simhash.near_groups(empty), simhash.deduped_documents(empty, 5),
+        mixing.mix_plan(empty), mixing.mixed_documents(empty), simhash.near_groups(empty), similar.deduped_documents(empty),
         chunkdedup.exact_groups(empty), kneserney.classify(empty, labels), kneserney.kept_documents(empty, labels),
         topk.top_k(vectors, vectors), tokencounts.token_counts(empty, P.path("byte_bpe_50k.json")), langid.identify(empty),
         bpe.round_trip(empty, RANKS, P.PATTERN), sharding.shard_documents(empty), lines.line_digests(empty), lines.deduped_documents(empty),
@@ -159,10 +159,55 @@ def test_links_of_crowded_and_chained_fingerprints(spark, leaf, most):
 
 
 def test_near_dedup_keeps_one_of_each_group(edge):
-    kept = simhash.deduped_documents(edge, 5).where("doc_id IS NOT NULL")
+    kept = similar.deduped_documents(edge).where("doc_id IS NOT NULL")
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = [r.doc_id for r in kept.collect()]
-    assert 3 in ids and not set(range(200, 240)) & set(ids)
+    assert 3 in ids and 5 in ids and not set(range(200, 240)) & set(ids)
+
+
+def wide_components(fps):
+    """Components of links over all 256 bits, by comparing all pairs."""
+    fps, numbers = sorted(fps), [int.from_bytes(f, "big") for f in sorted(fps)]
+    root = {f: f for f in fps}
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (numbers[i] ^ numbers[j]).bit_count() <= similar.LINK_BITS and root[a] != root[fps[j]]:
+                old, new = max(root[a], root[fps[j]]), min(root[a], root[fps[j]])
+                root = {f: new if r == old else r for f, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("leaf, most", [(10_000, 10_000), (40, 10_000), (40, 30)])
+def test_similar_groups_equal_all_pairs(spark, leaf, most):
+    draw, texts = random.Random(leaf + most), []
+    for i in range(60):
+        base = [f"{draw.choice('abcdefgh')}{draw.randint(0, 400)}" for _ in range(draw.randint(150, 300))]
+        texts.append(" ".join(base))
+        for _ in range(draw.randint(0, 4)):  # two changes in 150 words or more: a similarity of 0.87 or more
+            copy = list(base)
+            for k in draw.sample(range(len(copy)), 2):
+                copy[k] = "other"
+            texts.append(" ".join(copy))
+    texts += ["", "", " \n", "one two", "ONE two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got, want, first = {r.doc_id: r.component_id for r in similar.similar_groups(df, leaf, most).collect()}, {}, {}
+    root = wide_components({similar.fingerprint(t) for t in texts})
+    for i, t in enumerate(texts):
+        want[i] = first.setdefault(root[similar.fingerprint(t)], i)
+    assert got == want
+    assert len(set(got.values())) == 60 + 2
+
+
+def test_wide_fingerprints_follow_similarity():
+    draw = random.Random(3)
+    for n_changes, low, high in ((0, 0, 0), (2, 5, 40), (60, 90, 166)):
+        base = [f"w{draw.randint(0, 9999)}" for _ in range(200)]
+        copy = list(base)
+        for k in draw.sample(range(200), n_changes):
+            copy[k] = "x"
+        a, b = (np.frombuffer(similar.fingerprint(" ".join(t)), np.uint64) for t in (base, copy))
+        assert low <= np.bitwise_count(a ^ b).sum() <= high
+    assert similar.fingerprint(None) == similar.fingerprint(" \t") == bytes(32)
 
 
 # 3: exact dedup

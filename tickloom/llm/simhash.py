@@ -23,7 +23,7 @@ unless all ids are null. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import DOCUMENT, id_back, id_text, small, written
+from tickloom.llm.common import id_back, id_text, small, written
 from tickloom.session import ship_by_value
 
 SHINGLE, SEED, LINK_BITS = 3, 42, 3
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInPandas(_fingerprints(words_in_shingle), "doc_id string, fp bigint").select(id_back(), "fp")
 
 
-def _levels(n: int, leaf: int) -> int:
+def levels_for(n: int, leaf: int) -> int:
     """Levels that bring a leaf to ``leaf`` halves; about one half in seven also visits the other side."""
     return max(0, math.ceil(math.log(max(1.0, n / leaf)) / math.log(2 / 1.14)))
 
@@ -141,8 +141,13 @@ def _leaf_stars(frame: pd.DataFrame) -> pd.DataFrame:
 def near_links(fps: DataFrame, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
     """(a, b): edges that connect exactly the distinct fingerprints that chains of links connect."""
     ship_by_value(__name__)
-    trees = vantage_points(fps, _levels(fps.count(), leaf))
+    trees = vantage_points(fps, levels_for(fps.count(), leaf))
     placed = fps.select("fp").mapInPandas(_placer(trees), "tree int, leaf bigint, fp bigint")
+    return sliced(placed, leaf_most).groupBy("tree", "leaf", "task").applyInPandas(_leaf_stars, "a bigint, b bigint")
+
+
+def sliced(placed: DataFrame, leaf_most: int) -> DataFrame:
+    """(tree, leaf, fp, task): each pair of a leaf meets in a task; one task does unless the leaf is beyond ``leaf_most``."""
     crowded = placed.groupBy("tree", "leaf").count().where(F.col("count") > leaf_most).select(
         "tree", "leaf", F.ceil(F.col("count") / leaf_most).cast("int").alias("slices")
     )
@@ -150,8 +155,7 @@ def near_links(fps: DataFrame, leaf: int = LEAF, leaf_most: int = LEAF_MOST) ->
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.least(j, F.col("own")) * F.col("slices") + F.greatest(j, F.col("own")))
     tasks = placed.join(small(crowded), ["tree", "leaf"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    tasks = tasks.withColumn("own", own).select("tree", "leaf", "fp", F.explode(other).alias("task"))
-    return tasks.groupBy("tree", "leaf", "task").applyInPandas(_leaf_stars, "a bigint, b bigint")
+    return tasks.withColumn("own", own).select("tree", "leaf", "fp", F.explode(other).alias("task"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,21 +185,19 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, words_in_shingle: int = SHINGLE, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest id of all it is linked to)."""
-    table = written(fingerprints(docs, words_in_shingle), "fingerprints")
+def grouped(table: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``table`` (doc_id, fp) with component_id, by the edges that ``links`` finds between distinct fingerprints."""
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = written(components(near_links(distinct, leaf, leaf_most)), "roots")
+    roots = written(components(links(distinct)), "roots")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return table.join(label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return table.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduped_documents(docs: DataFrame, words_in_shingle: int) -> DataFrame:
-    """One document of each group: the one whose id names the component. Rows of a null id all stay."""
-    rows = docs.select(*DOCUMENT)
-    keep = near_groups(rows, words_in_shingle).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return rows.join(keep.withColumnRenamed("doc_id", "__kept"), F.expr("doc_id <=> __kept"), "left_semi")
+def near_groups(docs: DataFrame, words_in_shingle: int = SHINGLE, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest id of all it is linked to)."""
+    table = written(fingerprints(docs, words_in_shingle), "fingerprints")
+    return grouped(table, lambda distinct: near_links(distinct, leaf, leaf_most)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
