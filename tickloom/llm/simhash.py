@@ -158,13 +158,23 @@ def sliced(placed: DataFrame, leaf_most: int) -> DataFrame:
     return tasks.withColumn("own", own).select("tree", "leaf", "fp", F.explode(other).alias("task"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether no node is both a root and a member, and no member has two roots."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("member"), F.lit(0).alias("root")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("member"), F.lit(1).alias("root")),
+    )).alias("end")).select("end.*")
+    seen = ends.groupBy("node").agg(F.sum("member").alias("member"), F.max("root").alias("root"))
+    return seen.where("member > 1 OR member = 1 AND root = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge: root is its component's smallest node.
 
     Large and small stars take turns until every edge leads to a root.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+    while not _settled(now):
         # Large star: whatever is larger than a node hangs on the smallest of the node and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
@@ -176,11 +186,6 @@ def components(edges: DataFrame) -> DataFrame:
             small_star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
         now = written(after, "edges")
-        # Done when no node is both a root and a member, and no member has two roots.
-        members = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        roots = now.select(F.col("v").alias("u")).distinct()
-        if members.where("n > 1").isEmpty() and members.join(roots, "u", "left_semi").isEmpty():
-            break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
