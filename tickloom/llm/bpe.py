@@ -191,7 +191,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_
     ship_by_value(__name__)
     words = frequent_words(docs, pattern, cached)
     table = words.select("word", folded_ids(F.col("word"), read_ranks(ranks_path)).alias("ids")).toArrow()
-    folded = {w: np.array(i, "<u4").tobytes() for w, i in zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True)}
+    folded = {}
+    for batch in table.to_batches():
+        folded.update((w.as_py(), np.array(i.as_py(), "<u4").tobytes()) for w, i in zip(batch["word"], batch["ids"], strict=True))
+    del table
     shared = docs.sparkSession.sparkContext.broadcast(folded)
     rows = docs.select(id_text(), "text").mapInPandas(_encoder(pattern, ranks_path, shared), ENCODED)
     return rows.select(id_back(), "ids", "ids_le")

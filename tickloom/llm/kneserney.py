@@ -40,7 +40,7 @@ ORDER, TRAIN_OF = 5, 5
 QUANTILE, SLACK, LEAST_TRUSTED, PRIOR_BYTES = 0.995, 1.1, 100, 100
 #: Entropies are binned at this many bins per nat for the quantiles.
 BINS = 1000
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1_000_000
 _PIECE_BYTES, _MERGE_ROWS = 1_000_000, 2_000_000
 
 
@@ -172,6 +172,16 @@ def _scorer(shared, order: int):
     return run
 
 
+def _sorted_shard(part: DataFrame) -> tuple[bytes, bytes]:
+    """The n-grams in order, and their log probabilities; at least one n-gram."""
+    table = part.toArrow()
+    g, lp = table["g"].to_numpy(), table["lp"].to_numpy()
+    if not len(g):
+        g, lp = np.array([-1]), np.array([0.0])
+    by = np.argsort(g)
+    return g[by].astype(np.int64).tobytes(), lp[by].astype(np.float32).tobytes()
+
+
 def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, text_hash, lang, role, n_bytes, lp): the summed log probability of each text's bytes."""
     ship_by_value(__name__)
@@ -185,12 +195,7 @@ def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
     kinds = "doc_id string, text_hash bigint, lang string, role string, n_bytes bigint, lp double"
     parts = []
     for k in range(n):
-        part = model.where(shard == k).toArrow()
-        g, lp = part["g"].to_numpy(), part["lp"].to_numpy()
-        by = np.argsort(g)
-        if not len(g):
-            g, lp, by = np.array([-1]), np.array([0.0]), np.array([0])
-        shared = spark.sparkContext.broadcast((g[by].astype(np.int64).tobytes(), lp[by].astype(np.float32).tobytes()))
+        shared = spark.sparkContext.broadcast(_sorted_shard(model.where(shard == k)))
         parts.append(texts.mapInPandas(_scorer(shared, order), kinds).dropDuplicates(["doc_id", "text_hash", "lang"]))
     every = parts[0]
     for part in parts[1:]:
