@@ -194,9 +194,13 @@ def grouped(table: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFr
     """``table`` (doc_id, fp) with component_id, by the edges that ``links`` finds between distinct fingerprints."""
     distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = written(components(links(distinct)), "roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    linked, single = named.where("root IS NOT NULL"), named.where("root IS NULL")
+    # A root may have most rows: its ids meet them by a broadcast if their measured size allows it.
+    ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    label = linked.join(small(ids), "root").select("fp", "component_id").unionByName(
+        single.select("fp", F.col("first_id").alias("component_id"))
+    )
     return table.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
