@@ -15,6 +15,7 @@ from tickloom.operators.jobs import ORDER_STEP, order_from_parents, rank_by, wit
 CONNECTION_FORMAT = "host=%s port=%s dbname=%s user=%s"
 DATABASE_PREFIX = "dbname="
 UNNAMED_JOB_PREFIX = "cronjob"
+COMMAND_NAME_PREFIX = "job: "
 JOB_AND_SCHEDULE_FORMAT = "%s @ %s"
 
 
@@ -242,6 +243,18 @@ def import_cron_table(jobs: DataFrame, here: dict, chain: DataFrame, task: DataF
     return JobTables(chains, tasks, d.sparkSession.createDataFrame([], "task_id bigint, order_id bigint, value string"))
 
 
+def cron_table_requests(jobs: DataFrame) -> DataFrame:
+    """A plain cron job table as requests for ``add_jobs``: a job without a name is called by its command.
+
+    As there, names must be unique, so nameless jobs must differ in their commands.
+    """
+    return jobs.select(
+        F.coalesce("jobname", F.concat(F.lit(COMMAND_NAME_PREFIX), F.col("command"))).alias("job_name"),
+        F.col("schedule").alias("job_schedule"), F.col("command").alias("job_command"),
+        F.lit("SQL").alias("job_kind"), F.col("active").alias("job_live"),
+    )
+
+
 def import_flag_schedules(
     jobs: DataFrame,
     schedules: DataFrame,

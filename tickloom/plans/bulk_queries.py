@@ -255,6 +255,26 @@ def d11(t):
     return new.chain.join(new.task, "chain_id")
 
 
+@query(
+    "d11_add_cron_table",
+    ctes(
+        "chain", "task",
+        c="""SELECT CASE WHEN c_acctbal > 0 THEN c_name ELSE concat('job: CALL p(', CAST(c_custkey AS VARCHAR), ')') END AS chain_name,
+        concat('CALL p(', CAST(c_custkey AS VARCHAR), ')') AS command, c_acctbal > 100 AS live FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        j="SELECT *, row_number() OVER (ORDER BY chain_name) AS n FROM c",
+        m="SELECT (SELECT max(chain_id) FROM chain) AS mc, (SELECT max(task_id) FROM task) AS mt",
+    )
+    + """SELECT n + mc AS chain_id, n + mt AS task_id, chain_name, '5 4 * * *' AS run_at, live, 'SQL' AS kind, command,
+    true AS ignore_error, true AS autonomous FROM j, m""",
+)
+def d11_added(t):
+    """The same job table through the job interface, nameless jobs called by their commands."""
+    new = bulk.expand_jobs(bulk.cron_table_requests(cron_jobs(t)), t.chain, t.task)
+    return new.chain.select("chain_id", "chain_name", "run_at", "live").join(
+        new.task.select("task_id", "chain_id", "kind", "command", "ignore_error", "autonomous"), "chain_id"
+    )
+
+
 def flag_tables(t):
     """Flag-array scheduler tables: nations own jobs' hosts, suppliers are jobs, parts their steps."""
     job = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
