@@ -297,6 +297,32 @@ def test_quality_keeps_clean_text_and_rejects_junk(spark):
     assert share[1] == 1 and share[0] < 0.1
 
 
+def test_quality_shares_of_clean_junk_and_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kind = F.when(F.col("toxic") == 1, F.concat(F.lit("toxic "), F.col("quality"))).when(F.col("quality") == 1, "clean").otherwise("junk")
+    seen = kneserney.classify(docs, labels).join(labels, "doc_id").groupBy(kind.alias("kind")).agg(F.avg(F.col("kept").cast("int")).alias("k"))
+    share = {r.kind: r.k for r in seen.collect()}
+    assert share["clean"] > 0.995 and share["junk"] < 0.07 and share["toxic 0"] < 0.07 and share["toxic 1"] < 0.95
+
+
+def test_limits_are_quantiles_of_own_and_pooled_documents(spark):
+    draw = random.Random(5)
+    entropy = {None: [0.001 * draw.randint(1500, 1700) for _ in range(900)], "b": [0.001 * draw.randint(1400, 1500) for _ in range(30)], "c": [2.5]}
+    data = [(lang, "calibrate", e) for lang, es in entropy.items() for e in es] + [("b", "train", 9.0), ("d", None, 9.0), ("b", "calibrate", None)]
+    for quantile, pooled in ((0.995, kneserney.POOLED), (0.9, 10), (0.5, 1)):
+        got = kneserney.limits(spark.createDataFrame(data, "lang string, role string, entropy double"), quantile, pooled).collect()
+        every = sorted(e for es in entropy.values() for e in es)
+
+        def limit(own):
+            least = (len(own) + pooled) * quantile - 1e-6
+            return next(x for x in every if sum(e <= x for e in own) + pooled / len(every) * sum(e <= x for e in every) >= least)
+
+        want = {(False, lang): limit(es) for lang, es in entropy.items()} | {(True, None): limit([])}
+        assert {(r["any"], r.of_lang) for r in got} == set(want)
+        assert all(abs(r.limit - want[r["any"], r.of_lang]) < 0.0011 for r in got)
+        assert quantile != 0.995 or want[False, "c"] < 2
+
+
 # 5: top-k
 
 def test_top_k_equals_brute_force(spark):

@@ -16,8 +16,9 @@ toxic 0; four fifths of them train, the rest sets the thresholds.
 4. A document's entropy (nats per byte, drawn towards the trusted mean by
    ``PRIOR_BYTES`` bytes, so that short texts aren't judged by chance) is held
    against its language's limit: the ``QUANTILE`` of the trusted documents kept
-   for that, times ``SLACK``. A language with fewer than ``LEAST_TRUSTED`` of
-   them takes the limit of all languages. Perplexity is exp(entropy).
+   for that, to which those of all languages are added with the weight of
+   ``POOLED`` documents. That weight is small beside a large language and decides
+   for a small one, which no single document of its own sets. Perplexity is exp(entropy).
 
 Null or empty text has no perplexity and is rejected. With nothing to train on
 everything else is kept. A null language is a language of its own. Rows that
@@ -37,7 +38,9 @@ from tickloom.llm.common import DOCUMENT, id_back, id_text, small, whole_text, w
 from tickloom.session import ship_by_value
 
 ORDER, TRAIN_OF = 5, 5
-QUANTILE, SLACK, LEAST_TRUSTED, PRIOR_BYTES = 0.995, 1.1, 100, 100
+QUANTILE, PRIOR_BYTES = 0.995, 100
+#: So many documents that two of them lie beyond the quantile.
+POOLED = 400
 #: Entropies are binned at this many bins per nat for the quantiles.
 BINS = 1000
 SHARD_ROWS = 1_000_000
@@ -203,32 +206,35 @@ def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
     return every.groupBy(id_back(), "text_hash", "lang", "role", "n_bytes").agg(F.sum("lp").alias("lp"))
 
 
-def limits(scored: DataFrame, quantile: float, slack: float, least: int) -> DataFrame:
-    """(lang, limit): the entropy beyond which a language's documents are rejected; lang '*' of ``any`` is all languages."""
+def limits(scored: DataFrame, quantile: float = QUANTILE, pooled: float = POOLED) -> DataFrame:
+    """(any, of_lang, limit): the entropy beyond which a language's documents are rejected; ``any`` is for languages without trusted ones."""
     bins = scored.where("role = 'calibrate' AND entropy IS NOT NULL").groupBy(
         "lang", F.ceil(F.col("entropy") * BINS).alias("bin")
-    ).count()
-    each = bins.select(F.struct(F.lit(False).alias("any"), "lang").alias("of"), "bin", "count")
-    both = each.unionByName(bins.select(F.struct(F.lit(True).alias("any"), F.lit(None).cast("string").alias("lang")).alias("of"), "bin", "count"))
+    ).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     # One row per language and bin; an entropy over bytes lies below log 256 / e^-..., so bins are some thousands at most.
-    counted = both.groupBy("of").agg(
-        F.sum("count").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "count"))).alias("bins")
+    gathered = (F.sum("weight").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "weight"))).alias("bins"))
+    each = bins.groupBy("lang").agg(*gathered).select(F.lit(False).alias("any"), F.col("lang").alias("of_lang"), "n", "bins")
+    every = written(bins.groupBy("bin").agg(F.sum("weight").alias("weight")).agg(*gathered).select("n", "bins"), "pooled-bins")
+    alone = every.select(
+        F.lit(True).alias("any"), F.lit(None).cast("string").alias("of_lang"), F.lit(0.0).alias("n"), F.slice("bins", 1, 0).alias("bins")
     )
+    both = each.unionByName(alone).crossJoin(F.broadcast(every.select(F.col("n").alias("all_n"), F.col("bins").alias("all_bins"))))
+    shared = F.transform("all_bins", lambda b: F.struct(b["bin"].alias("bin"), (b["weight"] * pooled / F.col("all_n")).alias("weight")))
+    # The last term takes up what rounding leaves of sums of weights.
+    enough = (F.col("n") + pooled) * quantile - 1e-6
     reach = F.aggregate(
-        "bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin")),
+        F.sort_array(F.concat("bins", shared)), F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("long").alias("bin")),
         lambda s, b: F.when(s["bin"].isNotNull(), s).otherwise(F.struct(
-            (s["seen"] + b["count"]).alias("seen"),
-            F.when(s["seen"] + b["count"] >= F.col("n") * quantile, b["bin"]).alias("bin"),
+            (s["seen"] + b["weight"]).alias("seen"),
+            F.when(s["seen"] + b["weight"] >= enough, b["bin"]).alias("bin"),
         )),
     )["bin"]
-    return counted.where(F.col("of.any") | (F.col("n") >= least)).select(
-        F.col("of.any").alias("any"), F.col("of.lang").alias("of_lang"), (reach / BINS * slack).alias("limit")
-    )
+    return both.select("any", "of_lang", (reach / BINS).alias("limit"))
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK,
-    least: int = LEAST_TRUSTED, shard_rows: int = SHARD_ROWS,
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, pooled: float = POOLED,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """Per document: doc_id, text_hash, lang, n_bytes, perplexity, limit (a perplexity), kept."""
     rows = with_role(docs, labels)
@@ -238,7 +244,7 @@ def classify(
     mean = scored.where("role = 'calibrate' AND n_bytes > 0").agg((-F.sum("lp") / F.sum("n_bytes")).alias("m")).first()["m"]
     drawn = (-F.col("lp") + PRIOR_BYTES * (mean or 0.0)) / (F.col("n_bytes") + (PRIOR_BYTES if mean else 0))
     scored = scored.withColumn("entropy", F.when(F.col("n_bytes") > 0, drawn))
-    found = small(limits(scored, quantile, slack, least))
+    found = small(limits(scored, quantile, pooled))
     own, every = found.where("NOT any").select("of_lang", F.col("limit").alias("own_limit")), found.where("any").select("limit").first()
     fallback = F.lit(every["limit"] if every else None).cast("double")
     limit = F.coalesce("own_limit", fallback)
