@@ -198,6 +198,31 @@ def test_similar_groups_equal_all_pairs(spark, leaf, most):
     assert len(set(got.values())) == 60 + 2
 
 
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_similar_groups_equal_shingle_sets(spark, block):
+    draw, texts = random.Random(11), []
+    for _ in range(40):
+        base = [f"w{draw.randint(0, 9999)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for n in draw.sample((2, 3, 4, 5, 6, 8, 10), 4):  # similarities of about 0.6 to 0.9
+            copy = list(base)
+            for k in range(n):
+                copy[10 + k * 190 // n] = f"x{draw.randint(0, 9999)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    root, seen = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i - i % 5, i):
+            seen.append(len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
+            if seen[-1] >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert sum(0.6 < x < 0.8 for x in seen) > 50 and sum(0.8 <= x < 0.9 for x in seen) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(df, block=block).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_wide_fingerprints_follow_similarity():
     draw = random.Random(3)
     for n_changes, low, high in ((0, 0, 0), (2, 5, 40), (60, 90, 166)):
