@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import (
-    bpe, chunkdedup, kneserney, langid, lines, mixing, sharding, simhash, tokencounts, topk,
+    bpe, chunkdedup, kneserney, langid, lines, mixing, sharding, simhash, spelling, tokencounts, topk, urlfilter, vectorcodes,
 )
 from tickloom.llm.common import written
 
@@ -161,3 +161,92 @@ FROM m GROUP BY rn, doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the long lines that later documents share."""
     return lines.line_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_url_filter")
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's URL, by the rules or by the model."""
+    labelled = spark.createDataFrame(urlfilter.LABELLED, "url string, verdict string")
+    return urlfilter.judged(_table(spark, sf_dir, "pages"), labelled).drop("score")
+
+
+@_query("op12_spelling", """
+WITH RECURSIVE r AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+  ) WHERE length(run) >= 7 GROUP BY ALL
+), b AS (
+  SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes FROM r
+), c AS MATERIALIZED (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten([[(('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT >> k) & 1 for k in range(8)] for i in range(length(bytes) // 2)])),
+    lambda s, bit: xor(s >> 1, 3988292384 * (xor(s, bit) & 1)))) AS h FROM b
+), w AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word FROM c
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), d AS MATERIALIZED (
+  SELECT word, n, pos, word[:pos - 1] || word[pos + 1:] AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS pos FROM w)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.pos = b.pos AND a.less = b.less AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.less = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.less = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := near)) AS best FROM near GROUP BY word
+), f AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 10 * n THEN best.near END AS form,
+         CASE WHEN -best.less >= 10 * n THEN -best.less END::BIGINT AS form_n FROM w LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, form AS root FROM f WHERE form IS NOT NULL
+  UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL
+), ends AS (SELECT way.word, root FROM way JOIN f ON f.word = way.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)
+""")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, the far more frequent word each is a variant of, and where following those ends."""
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def _codes_oracle(rounds: int = vectorcodes.ROUNDS) -> str:
+    """The codebook rounds written out one after the other."""
+    distance = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x, c)])"
+    steps = ["""v AS MATERIALIZED (
+  SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+)""", """p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS x FROM v, range(8) t(part)
+)""", """b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, any_value(x) AS x, min(struct_pack(d := d, entry := entry)) AS best
+  FROM (SELECT p.*, entry, {distance} AS d FROM p JOIN b{i} USING (part)) GROUP BY vec_id, label, part
+)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, c) AS c FROM b{i} LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS m FROM (
+      SELECT part, entry, place, sum(y)::BIGINT AS s, count(*) AS n
+      FROM (SELECT part, best.entry AS entry, unnest(x) AS y, unnest(range(len(x))) AS place FROM a{i}) GROUP BY part, entry, place
+    ) GROUP BY part, entry
+  ) USING (part, entry)
+)""")
+    last = f"b{rounds}", f"a{rounds}"
+    return "WITH " + ",\n".join(steps) + f""",
+k AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM {last[1]} GROUP BY vec_id, label
+), h AS (
+  SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(c) AS y, unnest(range(len(c))) AS place FROM {last[0]})
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k, h
+"""
+
+
+@_query("op13_vector_codes", _codes_oracle())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code of eight codebook indexes per vector."""
+    return vectorcodes.compressed(_table(spark, sf_dir, "embeddings"))
