@@ -21,6 +21,8 @@ MESSAGES = [
     ('{"ConfigID": 70, "Command": "STOP", "Ts": 5000, "Delay": 0}', None),  # equal to the second
     ('{"ConfigID": 71, "Command": "START", "Ts": 5002}', None),  # the first without its delay
     ('{"ConfigID": 72, "Command": "START", "Ts": 1500}', None),  # nearly an hour late
+    ('{"configid": 74, "COMMAND": "STOP", "ts": 1600, "dElAy": null}', None),
+    ('{"ConfigID": 5, "configid": "x", "Command": "STOP"}', "json"),  # one spelling of the wrong type
     ('{"ConfigID": -9, "Command": "STOP", "Ts": 5003}', "chain"),
     ('{"ConfigID": 73, "Command": "PAUSE", "Ts": 5003}', "command"),
     ('{"ConfigID": 73, "Ts": 5003}', "command"),
@@ -29,17 +31,17 @@ MESSAGES = [
     ('"STOP"', "json"),
     ("7", "json"),
 ]
-HANDLED = [(70, "STOP", 5000, 0), (71, "START", 5002, 0), (71, "START", 5002, 45), (72, "START", 1500, 0)]
+HANDLED = [(70, "STOP", 5000, 0), (71, "START", 5002, 0), (71, "START", 5002, 45), (72, "START", 1500, 0), (74, "STOP", 1600, 0)]
 
 
 def test_signals_batch(spark):
     parsed = signals.parse_signals(spark.createDataFrame([(m,) for m, _ in MESSAGES], "payload string").coalesce(1))
     assert [r.reason for r in parsed.collect()] == [reason for _, reason in MESSAGES]
     assert rows(signals.dedup_signals(signals.accepted(parsed)), *signals.SIGNAL_KEY) == HANDLED
-    assert signals.rejected(parsed).count() == 7
+    assert signals.rejected(parsed).count() == 8
 
 
-@pytest.mark.parametrize("order", [range(len(MESSAGES)), [4, 8, 2, 0, 10, 3, 1, 11, 5, 9, 6, 7]])
+@pytest.mark.parametrize("order", [range(len(MESSAGES)), [4, 8, 2, 12, 0, 10, 3, 13, 1, 11, 5, 9, 6, 7]])
 def test_signals_over_several_triggers(spark, order):
     """However files fall into triggers, each signal comes out once, late ones too: what the batch gives."""
     folder = work_dir(spark, "test-signals")
@@ -70,6 +72,30 @@ def test_signals_are_forgotten(spark):
     assert runs.with_rocksdb(spark, lambda: handled(timedelta(hours=1), 0)) == 1
 
 
+def test_starts_wait_for_their_time_and_are_cancelled(spark):
+    """Over three triggers of one query: due at once, cancelled before, while waiting and after, and fired by the clock."""
+    folder, base = work_dir(spark, "test-delay"), work_dir(spark, "test-delay-state")
+    schema, now = "config_id long, command string, signal_ts long, delay long", int(time.time())
+    stream = lambda: signals.delayed_starts(spark.readStream.schema(schema).parquet(folder))
+
+    def trigger(*came):
+        spark.createDataFrame(list(came), schema).coalesce(1).write.mode("append").parquet(folder)
+        runs.with_rocksdb(spark, lambda: stream().writeStream.format("parquet").option("path", f"{base}/rows").option(
+            "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination())
+        return set(rows(spark.read.schema("config_id long, signal_ts long, effective_ts long").parquet(f"{base}/rows"), "config_id", "signal_ts", "effective_ts"))
+
+    first = trigger(
+        (1, "START", 100, 5), (1, "STOP", 106, 0), (2, "START", 100, 5), (2, "STOP", 105, 0), (3, "START", 100, 0), (3, "STOP", 100, 0),
+        (4, "START", now, 3_600), (5, "START", now, 12), (5, "START", now, 3_600), (6, "STOP", 200, 0), (8, "STOP", 90, 0),
+    )
+    assert first == {(1, 100, 105)}
+    # The STOP of 4 comes while it waits, that of 6 came before; 7 has no STOP of its own.
+    second = trigger((4, "STOP", now + 5, 0), (6, "START", 195, 9), (7, "START", 195, 9), (8, "START", 100, 0))
+    assert second - first == {(7, 195, 204), (8, 100, 100)}
+    time.sleep(max(0, now + 13 - time.time()))
+    assert trigger((9, "START", 1, 0)) - second == {(9, 1, 1), (5, now, now + 12)}
+
+
 def test_resolve_commands(spark):
     df = spark.createDataFrame([(1, "START", 5, 2), (1, "STOP", 9, 0), (2, "STOP", 1, 0), (2, "START", 3, 4)], "config_id long, command string, signal_ts long, delay long")
     assert rows(signals.resolve_commands(df), "config_id", "command", "effective_ts") == [(1, "STOP", 9), (2, "START", 7)]

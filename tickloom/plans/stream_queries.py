@@ -10,7 +10,7 @@ from tickloom.plans.schedule_queries import _HIT, CRON
 from tickloom.plans.runlog_queries import BAD, admission_oracle
 from tickloom.session import work_dir
 from tickloom.sources.fixtures import FINISHED, RUN_FINISH, RUN_START, SIGNAL, ctes, exec_log_of
-from tickloom.streaming import runs, signals
+from tickloom.streaming import admission, ledger, runs, signals
 
 PARSED = {
     "p": """SELECT event_id, CASE WHEN payload = 'no json at all' THEN NULL ELSE payload END AS j FROM signal""",
@@ -50,36 +50,58 @@ def t03(t):
     return signals.resolve_commands(runs.with_rocksdb(t.spark, lambda: runs.drain(fresh, "t03")))
 
 
+@query(
+    "t03_fired_starts",
+    ctes("signal", **PARSED)
+    + """SELECT DISTINCT config_id, signal_ts, signal_ts + delay AS effective_ts FROM u s WHERE command = 'START' AND NOT EXISTS (
+    SELECT 1 FROM u z WHERE z.command = 'STOP' AND z.config_id = s.config_id AND z.signal_ts BETWEEN s.signal_ts AND s.signal_ts + s.delay)""",
+)
+def t03_fired(t):
+    """Deduplicated signals; each START when its time has come, unless a STOP came during its delay."""
+    started = signals.delayed_starts(signals.dedup_signals(signals.accepted(parsed(t))))
+    return runs.with_rocksdb(t.spark, lambda: runs.drain(started, "t03-fired"))
+
+
+# Rows of any time in any trigger; and parts of six days each, in an order that is not that of time.
+SCATTERED = ("CAST(pmod(xxhash64(event_id), 4) AS INT)", (2, 0, 3, 1))
+SWAPPED = ("CAST(floor((day(ts) - 1) / 6) AS INT)", (1, 0, 3, 5, 2, 4))
+
+
 @query(
     "t04_minute_counts",
     ctes("exec_log")
     + f"""SELECT date_trunc('minute', finished) AS minute, count(*) AS total, count(*) FILTER ({BAD}) AS errors,
-    count(*) FILTER (returncode <> 0 AND ignore_error) AS ignored_errors FROM exec_log GROUP BY 1
-    HAVING date_trunc('minute', finished) + INTERVAL 1 MINUTE <= (SELECT max(finished) - INTERVAL 60 SECOND FROM exec_log)""",
+    count(*) FILTER (returncode <> 0 AND ignore_error) AS ignored_errors FROM exec_log GROUP BY 1""",
 )
 def t04(t):
-    """Minutes that the watermark has closed."""
-    return runs.drain(runs.live_minute_counts(exec_log_of(t.stream("events"))), "t04")
+    """All minutes, counted from files whose rows come in any order."""
+    base = work_dir(t.spark, "t04")
+    ledger.count_minutes(exec_log_of(t.arrivals("events", *SCATTERED)), base).awaitTermination()
+    return ledger.minutes(t.spark, base).drop("late")
 
 
 @query("t05_active_runs", admission_oracle("run_id"))
 def t05(t):
-    """Admission on the stream; its decisions equal those of the batch form. One file per trigger bounds a chain's rows."""
-    edges = runs.run_edges(exec_log_of(t.stream("events", files_per_trigger=1)), t.chain)
-    return runs.with_rocksdb(t.spark, lambda: runs.drain(runs.live_admission(edges), "t05"))
+    """Admission on the stream, from parts that come in another order than that of time; its decisions equal the batch form's."""
+    edges = admission.run_edges(exec_log_of(t.arrivals("events", *SWAPPED)), t.chain)
+    return admission.decided_to_the_end(edges, "t05", lateness_s=20 * 86_400, slot_s=21_600)
 
 
 @query(
     "t06_dead_starts",
     ctes("run_status")
     + """SELECT run_status_id AS start_status_id, chain_id, client_name, 'DEAD' AS execution_status FROM run_status s
-    WHERE execution_status = 'CHAIN_STARTED' AND NOT EXISTS (SELECT 1 FROM run_status f WHERE f.start_status_id = s.run_status_id)
-    AND created_at + INTERVAL 10 MINUTE < (SELECT max(ts) - INTERVAL 60 SECOND FROM events)""",
+    WHERE execution_status = 'CHAIN_STARTED' AND NOT EXISTS (SELECT 1 FROM run_status f
+     WHERE f.start_status_id = s.run_status_id AND f.created_at BETWEEN s.created_at AND s.created_at + INTERVAL 10 MINUTE)""",
 )
 def t06(t):
-    starts = t.stream("events").selectExpr(*RUN_START)
-    finishes = t.stream("events").where(FINISHED).selectExpr(*RUN_FINISH)
-    return runs.drain(runs.dead_starts(starts, finishes, "10 MINUTES"), "t06")
+    """Starts that are open at the end, finishes coming before or after them."""
+    base = work_dir(t.spark, "t06")
+    starts = t.arrivals("events", *SCATTERED).selectExpr(*RUN_START)
+    finishes = t.arrivals("events", SCATTERED[0], SCATTERED[1][::-1]).where(FINISHED).selectExpr(*RUN_FINISH)
+    query = ledger.track_starts(ledger.start_edges(starts.unionByName(finishes)), base, 600)
+    query.awaitTermination()
+    return ledger.dead_starts(t.spark, base, ledger.last_batch(query), 600)
 
 
 _ENTRY = """SELECT event_id AS pid, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'DEBUG' WHEN 'view' THEN 'INFO'

@@ -14,10 +14,13 @@ order id. Neither needs a whole order or user in one task.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import work_dir
+
 ANCHOR = "2024-01-15 00:00:00"
 
 CHAIN = (
@@ -151,6 +154,21 @@ class Tables:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         return reader.parquet(self.path(name) + "*")
 
+    def arrivals(self, name: str, slice_of: str, order: Sequence[int]) -> DataFrame:
+        """The table as a stream whose rows come slice by slice: those of ``order[0]`` in the first trigger, and so on.
+
+        ``slice_of`` is an SQL expression for the number of a row's slice.
+        """
+        path = work_dir(self.spark, f"{name}-arrivals")
+        rows = self.raw(name).withColumn("__slice", F.expr(slice_of))
+        files = []
+        for number in order:
+            part = rows.where(F.col("__slice") == number).drop("__slice")
+            part.write.mode("append").parquet(path)
+            files.append(len(self.spark.read.schema(part.schema).parquet(path).inputFiles()))
+        per_trigger = max(1, -(-files[-1] // len(order)))
+        return self.spark.readStream.schema(self.raw(name).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
     @property
     def chain(self) -> DataFrame:
         return self.raw("customer").selectExpr(*CHAIN)

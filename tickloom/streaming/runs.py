@@ -1,22 +1,15 @@
-"""Runs as a stream: run a query to the end of its input, live counts, admission state, dead starts, log ingest."""
+"""Streams: run a query to the end of its input, settings for state, log ingest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions import text
-from tickloom.operators.jobs import DEFAULT_MAX_INSTANCES
-from tickloom.operators import runlog
-from tickloom.session import ship_by_value, work_dir
+from tickloom.session import work_dir
 
-ship_by_value(__name__)
-
-LATENESS = "60 seconds"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,103 +28,51 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def live_minute_counts(log: DataFrame) -> DataFrame:
-    """Per-minute counts that are emitted once the minute is closed."""
-    timed = log.withColumn("finished", F.col("finished").cast("timestamp")).withWatermark("finished", LATENESS)
-    return runlog.minute_counts(timed)
-
-
-def dead_starts(starts: DataFrame, finishes: DataFrame, patience: str) -> DataFrame:
-    """Starts without a finish within ``patience``: emitted as DEAD when the watermark has passed it.
+def drain_to_end(
+    rows: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], label: str, beyond_s: int
+) -> DataFrame:
+    """Run ``build(rows)`` over all input there is, then close what waits for a later time; the results as a batch.
 
-    Keyed by the start, so state is two rows per run at most, kept for ``patience``.
+    Beside its own input the query reads a folder for closing rows: empty at first,
+    then with one row that has a time ``beyond_s`` past the newest one, and nothing
+    else. Both runs share a checkpoint, so state and output are those of one query.
+    Needs event-time state, and runs with the RocksDB state store.
     """
-    s = starts.select(
-        F.col("run_status_id").alias("start_id"), "chain_id", "client_name", F.col("created_at").cast("timestamp").alias("started_at")
-    ).withWatermark("started_at", LATENESS)
-    f = finishes.select(
-        F.col("start_status_id").alias("finish_of"), F.col("created_at").cast("timestamp").alias("finished_at")
-    ).withWatermark("finished_at", LATENESS)
-    in_time = F.expr(
-        f"start_id = finish_of AND finished_at >= started_at AND finished_at <= started_at + INTERVAL {patience}"
-    )
-    return s.join(f, in_time, "left_outer").where(F.col("finish_of").isNull()).select(
-        F.col("start_id").alias("start_status_id"), "chain_id", "client_name", F.lit("DEAD").alias("execution_status")
-    )
+    spark = rows.sparkSession
+    base = work_dir(spark, label)
+    closing = f"{base}/closing"
+    spark.createDataFrame([], rows.schema).write.parquet(closing)
+
+    def run() -> list[str]:
+        """Run to the end; the newest time and the watermark that were reached."""
+        both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(closing))
+        query = (
+            build(both).writeStream.format("parquet").outputMode("append")
+            .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        times = [p["eventTime"] for p in query.recentProgress]
+        return [t[k] for t in times for k in ("max", "watermark") if k in t]
 
+    def both_runs() -> None:
+        reached = max(run(), default=None)
+        if reached:
+            at = F.lit(reached).cast("timestamp") + F.make_dt_interval(secs=F.lit(beyond_s))
+            last = [(at if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]
+            spark.range(1).select(*last).write.mode("append").parquet(closing)
+            run()
 
-def run_edges(log: DataFrame, limits: DataFrame) -> DataFrame:
-    """Start and finish of each log row, with the limit of its chain (NULL = the default)."""
-    edge = F.explode(
-        F.array(
-            F.struct(F.col("last_run").alias("moment"), F.lit(1).alias("is_start")),
-            F.struct(F.col("finished").alias("moment"), F.lit(0).alias("is_start")),
-        )
-    )
-    caps = limits.select("chain_id", F.coalesce("max_instances", F.lit(DEFAULT_MAX_INSTANCES)).cast("int").alias("cap"))
-    return log.select("chain_id", F.col("exec_id").alias("run_id"), "client_name", edge.alias("e")).select(
-        "chain_id", "run_id", "client_name", F.col("e.moment").alias("moment"), F.col("e.is_start").alias("is_start")
-    ).join(caps, "chain_id")
-
-
-class _ActiveRuns(StatefulProcessor):
-    """State of one chain: admitted runs that have not finished, and whether they still hold a slot."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getMapState("active", "run_id bigint", "client string, holds boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Finishes come before starts of the same instant. One trigger's rows of one
-        # chain are ordered here; the source's rate limit bounds them.
-        batch = pd.concat(list(rows)).sort_values(["moment", "is_start", "run_id"], kind="stable")
-        active = {k[0]: (v[0], bool(v[1])) for k, v in self.active.iterator()}
-        before = dict(active)
-        decided = []
-        for run, client, is_start, cap in zip(batch["run_id"], batch["client_name"], batch["is_start"], batch["cap"]):
-            run = int(run)
-            if not is_start:
-                if run in active:
-                    del active[run]
-                    for other, (owner, holds) in list(active.items()):
-                        if owner == client and holds:
-                            active[other] = (owner, False)
-                continue
-            used = sum(holds for _, holds in active.values())
-            admitted = pd.isna(cap) or used < cap
-            if admitted:
-                active[run] = (client, True)
-            decided.append((int(key[0]), run, bool(admitted)))
-        for run in before.keys() - active.keys():
-            self.active.removeKey((run,))
-        for run, value in active.items():
-            if before.get(run) != value:
-                self.active.updateValue((run,), value)
-        yield pd.DataFrame(decided, columns=["chain_id", "run_id", "admitted"])
-
-    def close(self) -> None:
-        pass
-
-
-def live_admission(edges: DataFrame) -> DataFrame:
-    """Admission decision per start, with the active runs of each chain as keyed state.
-
-    The first finish of a chain on a client frees all slots of that pair. Needs
-    the RocksDB state store; ``with_rocksdb`` sets it for one query.
-    """
-    return edges.groupBy("chain_id").transformWithStateInPandas(
-        statefulProcessor=_ActiveRuns(),
-        outputStructType="chain_id bigint, run_id bigint, admitted boolean",
-        outputMode="append",
-        timeMode="none",
-    )
+    with_rocksdb(spark, both_runs, no_data_batches=True)
+    return spark.read.schema(build(rows).schema).parquet(f"{base}/rows")
 
 
-def with_rocksdb(spark, run):
-    """Call ``run`` with the RocksDB state store and without batches that have no data, and put the settings back afterwards.
+def with_rocksdb(spark, run, no_data_batches: bool = False):
+    """Call ``run`` with the RocksDB state store, and put the settings back afterwards.
 
-    State that expires by the clock asks for one more batch for ever, so a query that ends with its input would never end.
+    State that expires by the clock asks for one more batch for ever, so a query that ends with its input would never end:
+    it runs without batches that have no data. Event-time timers need those batches to fire at the end.
     """
-    settings = {_PROVIDER: _ROCKSDB, _NO_DATA_BATCHES: "false"}
+    settings = {_PROVIDER: _ROCKSDB, _NO_DATA_BATCHES: str(no_data_batches).lower()}
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -24,25 +25,32 @@ def parse_signals(messages: DataFrame, payload: str = "payload") -> DataFrame:
     """Add config_id, command, signal_ts, delay and ``reason`` (NULL = accepted).
 
     'json': no JSON object, or a member of the wrong type. 'command': not a known
-    command. 'chain': no positive chain id. Absent members are 0 or ''.
+    command. 'chain': no positive chain id. Absent members are 0 or ''. Member names
+    are taken in any case; of several spellings the last in code-point order counts,
+    but all must have the right type.
     """
-    doc = F.try_parse_json(F.col(payload))
+    doc = F.try_variant_get(F.try_parse_json(F.col(payload)), "$", "map<string,variant>")
 
-    def member(name: str) -> Column:
-        return F.try_variant_get(F.col("__doc"), f"$.{name}", "variant")
-
-    def whole(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(F.col("__doc"), f"$.{name}", "bigint"), F.lit(0).cast("bigint"))
+    def spelled(name: str) -> Column:
+        """Kinds and values of the members of that name that are not null."""
+        entries = F.filter(F.map_entries("__doc"), lambda e: F.lower(e["key"]) == name.lower())
+        kinds = F.transform(entries, lambda e: F.struct(F.schema_of_variant(e["value"]).alias("kind"), e["value"].alias("value")))
+        return F.filter(kinds, lambda m: m["kind"] != "VOID")
 
     def wrong(name: str, kind: str) -> Column:
-        return F.coalesce(~F.schema_of_variant(member(name)).isin(kind, "VOID"), F.lit(False))
+        return F.coalesce(F.exists(spelled(name), lambda m: m["kind"] != kind), F.lit(False))
+
+    def last(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.try_element_at(spelled(name), F.lit(-1))["value"], "$", kind)
+
+    def whole(name: str) -> Column:
+        return F.coalesce(last(name, "bigint"), F.lit(0).cast("bigint"))
 
-    is_object = F.coalesce(F.schema_of_variant(F.col("__doc")).startswith("OBJECT"), F.lit(False))
     parsed = messages.withColumn("__doc", doc)
-    bad = ~is_object | wrong("Command", "STRING")
+    bad = F.col("__doc").isNull() | wrong("Command", "STRING")
     for name in ("ConfigID", "Ts", "Delay"):
         bad = bad | wrong(name, "BIGINT")
-    command = F.coalesce(F.try_variant_get(F.col("__doc"), "$.Command", "string"), F.lit(""))
+    command = F.coalesce(last("Command", "string"), F.lit(""))
     return parsed.withColumns(
         {
             "config_id": whole("ConfigID"),
@@ -103,6 +111,77 @@ def dedup_signals(signals: DataFrame, remembered: timedelta = SIGNAL_TTL) -> Dat
     )
 
 
+class _DelayedStarts(StatefulProcessor):
+    """State of one chain: starts that wait for their time, and the STOP times that are still remembered."""
+
+    def __init__(self, remembered: timedelta) -> None:
+        self.remembered_ms = int(remembered.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "signal_ts bigint, effective_ts bigint", "n int")
+        self.stops = handle.getMapState("stops", "signal_ts bigint", "yes boolean", self.remembered_ms)
+
+    def _started(self, key, starts) -> pd.DataFrame:
+        return pd.DataFrame([(int(key[0]), ts, at) for ts, at in sorted(starts)], columns=["config_id", "signal_ts", "effective_ts"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        signals = pd.concat(list(rows))
+        for ts in signals.loc[signals["command"] == "STOP", "signal_ts"]:
+            self.stops.updateValue((int(ts),), (True,))
+        stops = sorted(k[0] for k in self.stops.keys())
+        came = signals.loc[signals["command"] == "START", ["signal_ts", "delay"]]
+        fresh = {(int(ts), int(ts) + int(delay)) for ts, delay in came.itertuples(index=False)}
+        waiting = {(k[0], k[1]) for k in self.waiting.keys()}
+
+        def stopped(start: tuple[int, int]) -> bool:
+            after = bisect.bisect_left(stops, start[0])
+            return after < len(stops) and stops[after] <= start[1]
+
+        for start in waiting:
+            if stopped(start):
+                self.waiting.removeKey(start)
+        now_ms, due = timerValues.getCurrentProcessingTimeInMs(), []
+        for start in fresh - waiting:
+            if stopped(start):
+                continue
+            if start[1] * 1000 <= now_ms:
+                due.append(start)
+            else:
+                self.waiting.updateValue(start, (1,))
+                self.handle.registerTimer(start[1] * 1000)
+        if due:
+            yield self._started(key, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = [(k[0], k[1]) for k in self.waiting.keys() if k[1] * 1000 <= expiredTimerInfo.getExpiryTimeInMs()]
+        for start in due:
+            self.waiting.removeKey(start)
+        if due:
+            yield self._started(key, due)
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_starts(signals: DataFrame, remembered: timedelta = SIGNAL_TTL) -> DataFrame:
+    """The starts that take place: (config_id, signal_ts, effective_ts) of each START when its time has come.
+
+    A START waits as state, with a timer of the clock, for ``delay`` seconds after
+    the time it bears; one whose time is past starts at once. A STOP of the chain
+    that bears a time from the START's to its effective one cancels it if it comes
+    in before the start: in the same trigger, in a later one while the START waits, or
+    in an earlier one that is not longer ago than ``remembered``. Equal STARTs are one.
+    Needs the RocksDB state store.
+    """
+    return signals.groupBy("config_id").transformWithStateInPandas(
+        statefulProcessor=_DelayedStarts(remembered),
+        outputStructType="config_id bigint, signal_ts bigint, effective_ts bigint",
+        outputMode="append",
+        timeMode="processingTime",
+    )
+
+
 def effective_start(signals: DataFrame) -> DataFrame:
     return signals.withColumn("effective_ts", F.col("signal_ts") + F.col("delay"))
 
