@@ -8,8 +8,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tickloom.operators import blocked, runlog
-from tickloom.sources.fixtures import Tables, exec_log_of
-from tickloom.streaming import runs as live
 
 T0 = datetime(2024, 1, 1)
 
@@ -89,19 +87,25 @@ def test_admission_against_brute_force(spark, seed, clear_all):
         "chain_id bigint, txid bigint, client_name string, started timestamp, finished timestamp",
     )
     limits = spark.createDataFrame(list(caps.items()), "chain_id bigint, max_instances int")
-    got = {r.txid: r.admitted for r in runlog.admission(runs, limits, clear_all, None, block_seconds=2_000).collect()}
+    got = {r.txid: r.admitted for r in runlog.admission(runs, limits, clear_all, None, block_rows=9).collect()}
     assert got == brute_admission(data, caps, clear_all)
 
 
-def test_live_admission_equals_batch(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    edges = live.run_edges(exec_log_of(t.stream("events")), t.chain)
-    streamed = live.with_rocksdb(spark, lambda: live.drain(live.live_admission(edges), "test-t05"))
-    attempts = t.exec_log.select(
-        "chain_id", F.col("exec_id").alias("txid"), "client_name", F.col("last_run").alias("started"), "finished"
+@pytest.mark.parametrize("blocks", [64, 256])
+def test_admission_rounds_grow_with_the_logarithm_of_the_blocks(spark, monkeypatch, blocks):
+    """Two clients by turns keep both places: what the first block leaves decides all others."""
+    data = [(i, 1, f"w{i % 2}", 60 * i, 60 * i + 125 + 7 * (i % 3)) for i in range(4 * blocks)]
+    runs = spark.createDataFrame(
+        [(c, i, w, T0 + timedelta(seconds=s), T0 + timedelta(seconds=f)) for i, c, w, s, f in data],
+        "chain_id bigint, txid bigint, client_name string, started timestamp, finished timestamp",
     )
-    batch = runlog.admission(attempts, t.chain)
-    assert rows(streamed, "run_id", "admitted") == rows(batch, "txid", "admitted")
+    limits = spark.createDataFrame([(1, 2)], "chain_id bigint, max_instances int")
+    rounds = []
+    count = runlog.cut_and_count
+    monkeypatch.setattr(runlog, "cut_and_count", lambda *a: rounds.append(1) or count(*a))
+    got = {r.txid: r.admitted for r in runlog.admission(runs, limits, False, None, block_rows=4).collect()}
+    assert got == brute_admission(data, {1: 2}, False)
+    assert len(rounds) <= blocks.bit_length()
 
 
 def test_concurrency_and_overlaps_against_brute_force(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -12,14 +13,14 @@ from pyspark.sql import functions as F
 from tickloom.functions.binding import micros
 from tickloom.operators import blocked
 from tickloom.operators.jobs import DEFAULT_MAX_INSTANCES
-from tickloom.session import cut_lineage, ship_by_value
+from tickloom.session import cut_and_count, cut_lineage, fits_broadcast, ship_by_value
 
 ship_by_value(__name__)
 
 # Upper bounds of the duration histogram in seconds (inclusive).
 DURATION_BOUNDS = (0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 
-# Start attempts folded in one piece of memory.
+# Start attempts that are folded one after the other before any state is compared.
 BLOCK_ROWS = 500_000
 
 
@@ -299,21 +300,105 @@ def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "clien
 # --- admission ---------------------------------------------------------------
 
 
-def _admit(rows: Iterable[tuple], active: list, limit: int | None, clear_all: bool):
-    """Greedy admission in start order. ``active`` is a heap of (finish, client, holds_slot)."""
-    flags = []
-    for start, finish, client in rows:
-        while active and active[0][0] <= start:
-            _, done_by, _ = heapq.heappop(active)
-            if clear_all:
-                active = [(f, c, h and c != done_by) for f, c, h in active]
-                heapq.heapify(active)
-        used = sum(1 for _, _, holds in active if holds)
-        ok = limit is None or used < limit
-        if ok:
-            heapq.heappush(active, (finish, client, True))
-        flags.append(ok)
-    return flags, active
+_STATE = "array<struct<f:bigint,c:string,h:boolean>>"
+_FOLDED = f"chain_id bigint, block bigint, entry {_STATE}, exit {_STATE}"
+_ARROW_STATE = pa.list_(pa.struct([("f", pa.int64()), ("c", pa.string()), ("h", pa.bool_())]))
+
+
+class _Places:
+    """Places of one chain: runs that have been admitted and not finished, and how many places each client holds."""
+
+    def __init__(self, state: Iterable[dict], limit: int, clear_all: bool):
+        self.limit, self.clear_all = limit, clear_all
+        self.held = Counter(e["c"] for e in state if e["h"])
+        self.used = self.held.total()
+        # A run holds its place while its client has not been cleared since.
+        self.cleared = Counter()
+        self.running = [(e["f"], e["c"], 0 if e["h"] else -1) for e in state]
+        heapq.heapify(self.running)
+
+    def finish_upto(self, now: int) -> None:
+        while self.running and self.running[0][0] <= now:
+            _, client, since = heapq.heappop(self.running)
+            if self.clear_all:
+                self.used -= self.held.pop(client, 0)
+                self.cleared[client] += 1
+            elif since == self.cleared[client]:
+                self.held[client] -= 1
+                self.used -= 1
+
+    def attempt(self, start: int, finish: int, client: str) -> bool:
+        self.finish_upto(start)
+        if self.used >= self.limit:
+            return False
+        heapq.heappush(self.running, (finish, client, self.cleared[client]))
+        self.held[client] += 1
+        self.used += 1
+        return True
+
+    def state(self) -> list[dict]:
+        return [{"f": f, "c": c, "h": since == self.cleared[c]} for f, c, since in sorted(self.running, key=lambda r: (r[0], r[1], r[2] != self.cleared[r[1]]))]
+
+
+def _fold(batches: Iterable[pa.RecordBatch], clear_all: bool, want_flags: bool):
+    """Fold sorted block headers and attempts, block after block, in the memory of one batch.
+
+    A block marked ``first`` starts from its ``carried`` state. Another one goes on
+    from the state that the block before it leaves; if that is the entry it was
+    folded from before, it and those after it need nothing, up to one marked
+    ``dirty``. Yields flags, or entry and exit of what was folded.
+    """
+    block, places, skipping = None, None, False
+
+    def ended() -> list[tuple]:
+        if block is None or skipping:
+            return []
+        if block["next_s"] is not None:
+            places.finish_upto(block["next_s"])
+        return [(block["chain_id"], block["block"], block["from"], places.state())]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * (3 if want_flags else 4)
+        last = [pa.bool_()] if want_flags else [_ARROW_STATE, _ARROW_STATE]
+        names = ["chain_id", "txid", "admitted"] if want_flags else ["chain_id", "block", "entry", "exit"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *last])], names=names)
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if r["header"]:
+                done = ended()
+                if not want_flags:
+                    out += done
+                state = done[0][3] if done else None
+                if r["first"] or (r["dirty"] and state is None):
+                    state = r["carried"]
+                skipping = state is None or (not r["first"] and not (r["dirty"] and not done) and state == r["entry"])
+                block = r
+                if not skipping:
+                    block["from"], places = state, _Places(state, r["cap"], clear_all)
+            elif not skipping:
+                admitted = places.attempt(r["s"], r["f"], r["client_name"])
+                if want_flags:
+                    out.append((r["chain_id"], r["txid"], admitted))
+        yield table(out)
+    if not want_flags:
+        yield table(ended())
+
+
+def _in_row_blocks(attempts: DataFrame, block_rows: int) -> tuple[DataFrame, bool]:
+    """``attempts`` with a ``block`` that grows along a chain, cut after about ``block_rows`` rows; and whether any chain has two.
+
+    Rows are counted by minute, so a block is larger only if one minute is.
+    """
+    minute = F.floor(F.col("s") / F.lit(60_000_000))
+    along = Window.partitionBy("chain_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = attempts.groupBy("chain_id", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    upto = cut_lineage(counted.select("chain_id", "minute", F.floor((F.sum("n").over(along) - F.col("n")) / block_rows).alias("block")))
+    if not (upto.agg(F.max("block")).first()[0] or 0):
+        return attempts.withColumn("block", F.lit(0).cast("bigint")), False
+    places = F.broadcast(upto) if fits_broadcast(upto) else upto
+    return attempts.withColumn("minute", minute).join(places, ["chain_id", "minute"]).drop("minute"), True
 
 
 def admission(
@@ -321,7 +406,7 @@ def admission(
     limits: DataFrame,
     clear_all: bool = True,
     default_limit: int | None = DEFAULT_MAX_INSTANCES,
-    block_seconds: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Which start attempts are admitted under ``max_instances`` (``admitted`` flag per run).
 
@@ -329,102 +414,69 @@ def admission(
     ``clear_all`` the first finish of a chain on a client frees every slot of
     that chain and client. A missing limit is ``default_limit``; None as that admits all.
 
-    The fold is sequential per chain, yet no chain is put into one task: time
-    blocks are folded in parallel, each from an assumed entry state, and the
-    blocks whose true entry state turns out different are folded again, until
-    nothing changes. That fixpoint is the sequential result; since states
-    forget fast, it usually takes a few rounds, and only touched blocks rerun.
-    A block is folded in memory: unless given, its width is measured so that the
-    busiest day of the busiest chain splits into blocks of about ``BLOCK_ROWS``.
+    The fold is sequential per chain, yet no chain is put into one task at first:
+    its blocks, cut by row count, are folded in parallel from an assumed entry
+    state. Then come rounds of windows of 2, 4, 8 ... blocks. Within a window the
+    blocks are folded on from the first whose entry is not what the block before
+    leaves, as far as states differ from those assumed before; after that the
+    window is right given its entry. Rounds end when every block follows from the
+    one before: after a few, as states forget fast, and at the latest when a window
+    spans the chain, so their number is the logarithm of the blocks. Only windows
+    with something to mend are read. Blocks are streamed, never held in memory.
     """
     limit = F.coalesce(F.col("max_instances").cast("int"), F.lit(default_limit).cast("int"))
     base = cut_lineage(
         runs.join(limits.select("chain_id", limit.alias("cap")), "chain_id").select(
-            "chain_id", "txid", F.coalesce("client_name", F.lit("")).alias("client_name"),
+            F.col("chain_id").cast("bigint"), F.col("txid").cast("bigint"), F.coalesce("client_name", F.lit("")).alias("client_name"),
             micros(F.col("started")).alias("s"), micros(F.col("finished")).alias("f"), "cap",
         )
     )
-    width = (block_seconds or _block_seconds(base)) * 1_000_000
-    capped = base.where(F.col("cap").isNotNull()).withColumn("block", F.floor(F.col("s") / F.lit(width)))
-    state_type = "array<struct<f:bigint,c:string,h:boolean>>"
-
-    def fold(rows: pa.Table, entry: pa.Table, want_flags: bool) -> pa.Table:
-        rows = rows.sort_by([("s", "ascending"), ("txid", "ascending")])
-        held = [(e["f"], e["c"], e["h"]) for e in entry["entry"][0].as_py()]
-        heapq.heapify(held)
-        attempts = zip(rows["s"].to_pylist(), rows["f"].to_pylist(), rows["client_name"].to_pylist())
-        flags, left = _admit(attempts, held, rows["cap"][0].as_py(), clear_all)
-        if want_flags:
-            return pa.table({"chain_id": rows["chain_id"], "txid": rows["txid"], "admitted": pa.array(flags, pa.bool_())})
-        state = [{"f": f, "c": c, "h": h} for f, c, h in sorted(left)]
-        kind = pa.list_(pa.struct([("f", pa.int64()), ("c", pa.string()), ("h", pa.bool_())]))
-        return pa.table({"chain_id": rows["chain_id"][:1], "block": rows["block"][:1], "exit": pa.array([state], kind)})
-
-    def folded(rows: DataFrame, entries: DataFrame, want_flags: bool, schema: str) -> DataFrame:
-        """Fold each block of ``rows`` from its one entry state."""
-        keys = ["chain_id", "block"]
-        # Both sides come from the same table: fresh column identities keep the two apart.
-        entries = entries.select(*[F.col(c).alias(c) for c in (*keys, "entry")])
-        return rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(
-            lambda left, right: fold(left, right, want_flags), schema
-        )
-
-    empty = F.array().cast(state_type)
-    blocks = cut_lineage(
-        capped.groupBy("chain_id", "block").agg(F.min("s").alias("first_s")).withColumn("entry", empty)
-        .withColumn("exit", empty).withColumn("dirty", F.lit(True))
-    )
+    capped, several = _in_row_blocks(base.where(F.col("cap").isNotNull()), block_rows)
+    if several:
+        capped = cut_lineage(capped)
     chain_order = Window.partitionBy("chain_id").orderBy("block")
-    # Each round settles at least the first block that has not settled, so this ends.
-    while True:
-        todo = blocks.where("dirty").select("chain_id", "block", "entry")
-        exits = folded(
-            capped.join(todo, ["chain_id", "block"], "left_semi"), todo, False,
-            f"chain_id bigint, block bigint, exit {state_type}",
+    empty, keys = F.array().cast(_STATE), ["chain_id", "block"]
+    blocks = (
+        capped.groupBy(*keys).agg(F.min("s").alias("first_s"), F.first("cap").alias("cap"))
+        .withColumns({"next_s": F.lead("first_s").over(chain_order), "at": F.row_number().over(chain_order) - 1})
+        .drop("first_s").withColumns({"entry": empty, "exit": empty, "carried": empty, "dirty": F.lit(True)})
+    )
+
+    def folded(headers: DataFrame, want_flags: bool) -> DataFrame:
+        """Fold the blocks of ``headers``, those of one ``window`` in order."""
+        # Both sides come from the same table: fresh column identities keep the two apart.
+        heads = headers.select(*[F.col(c).alias(c) for c in headers.columns])
+        rows = capped if want_flags and not several else capped.join(heads.select(*keys, "window"), keys)
+        if "window" not in rows.columns:
+            rows = rows.withColumn("window", F.col("block"))
+        both = heads.withColumn("header", F.lit(True)).unionByName(
+            rows.drop("cap").withColumn("header", F.lit(False)), allowMissingColumns=True
         )
-        known = blocks.join(exits.withColumnRenamed("exit", "new_exit"), ["chain_id", "block"], "left").withColumn(
-            "exit", F.coalesce("new_exit", "exit")
+        placed = both.repartition("chain_id", "window").sortWithinPartitions("chain_id", "block", F.desc("header"), "s", "txid")
+        schema = "chain_id bigint, txid bigint, admitted boolean" if want_flags else _FOLDED
+        return placed.mapInArrow(lambda batches: _fold(batches, clear_all, want_flags), schema)
+
+    width = 1
+    while several:
+        window = F.floor(F.col("at") / width)
+        first_dirty = F.min(F.when(F.col("dirty"), F.col("at"))).over(Window.partitionBy("chain_id", "window"))
+        todo = blocks.withColumn("window", window).withColumn("from_at", first_dirty).where("at >= from_at")
+        new = folded(todo.withColumn("first", F.col("at") == F.col("from_at")).drop("from_at", "exit"), False)
+        known = blocks.drop("carried", "dirty").join(new.select(*keys, F.col("entry").alias("e"), F.col("exit").alias("x")), keys, "left").select(
+            *keys, "cap", "next_s", "at", F.coalesce("e", "entry").alias("entry"), F.coalesce("x", "exit").alias("exit")
         )
-        # A finish before the first start of the next block is applied here, so equal
-        # situations compare equal and a gap in time resets the state.
         carried = F.coalesce(F.lag("exit").over(chain_order), empty)
-        blocks = cut_lineage(
-            known.withColumn("new_entry", _settled(carried, F.col("first_s"), clear_all))
-            .withColumn("dirty", ~(F.col("new_entry") == F.col("entry")))
-            .select("chain_id", "block", "first_s", F.col("new_entry").alias("entry"), "exit", "dirty")
+        blocks, left = cut_and_count(
+            known.withColumn("carried", carried).withColumn("dirty", F.col("carried") != F.col("entry")), F.col("dirty")
         )
-        if blocks.where("dirty").isEmpty():
+        if not left:
             break
-    flagged = folded(
-        capped, blocks.select("chain_id", "block", "entry"), True, "chain_id bigint, txid bigint, admitted boolean"
-    )
+        width *= 2
+    flagged = folded(blocks.withColumns({"window": F.col("block"), "first": F.lit(True)}).drop("exit"), True)
     free = base.where(F.col("cap").isNull()).select("chain_id", "txid", F.lit(True).alias("admitted"))
     return flagged.unionByName(free)
 
 
-def _block_seconds(attempts: DataFrame) -> int:
-    """Width of a time block, from the largest number of attempts a chain has on one day."""
-    day = F.floor(F.col("s") / F.lit(86_400_000_000))
-    busiest = attempts.groupBy("chain_id", day.alias("day")).count().agg(F.max("count")).first()[0] or 0
-    return max(1, 86_400 // max(1, -(-busiest // BLOCK_ROWS)))
-
-
-def _settled(state: Column, now: Column, clear_all: bool) -> Column:
-    """State after every finish up to ``now`` has been applied, in one canonical order."""
-    left = F.filter(state, lambda e: e["f"] > now)
-    if not clear_all:
-        return F.array_sort(left)
-    done = F.transform(F.filter(state, lambda e: e["f"] <= now), lambda e: e["c"])
-    return F.array_sort(
-        F.transform(
-            left,
-            lambda e: F.struct(
-                e["f"].alias("f"), e["c"].alias("c"), (e["h"] & ~F.array_contains(done, e["c"])).alias("h")
-            ),
-        )
-    )
-
-
 def run_spans(log: DataFrame) -> DataFrame:
     """Runs by their wall-clock span, whatever their outcome."""
     return log.groupBy("chain_id", "txid", "client_name").agg(
