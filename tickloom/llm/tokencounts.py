@@ -19,7 +19,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +50,13 @@ def _encoder(path: str):
     words = Tokenizer.from_file(path)
     words.no_truncation()
     words.no_padding()
-    return lambda texts: [len(x.ids) for x in words.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(x) for x in words.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _batches(texts: pd.Series) -> Iterator[list[str]]:
+def _batches(texts: pa.Array) -> Iterator[list[str]]:
     batch, size = [], 0
-    for t in texts:
+    for value in texts:
+        t = value.as_py()
         batch.append(t)
         size += len(t)
         if size >= BATCH_CHARS:
@@ -66,10 +67,11 @@ def _batches(texts: pd.Series) -> Iterator[list[str]]:
 
 
 def _counter(path: str):
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for frame in frames:
-            yield pd.DataFrame({"content": frame["content"], "n_tokens": [n for b in _batches(frame["text"]) for n in encode(b)]})
+        for batch in batches:
+            n_tokens = [n for b in _batches(batch.column("text")) for n in encode(b)]
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(n_tokens, pa.int64())], names=["content", "n_tokens"])
 
     return count
 
@@ -95,7 +97,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     if stored is not None:
         lacking = lacking.join(stored.select("content"), "content", "left_anti").select("content", "text")
     misses = lacking.groupBy("content").agg(F.first("text").alias("text"))
-    counted = misses.mapInPandas(_counter(tokenizer), "content binary, n_tokens bigint")
+    counted = misses.mapInArrow(_counter(tokenizer), "content binary, n_tokens bigint")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     stored = read_cache(spark, cache, version)
     if stored is None:
