@@ -13,6 +13,7 @@ from tickloom.functions import jsonfn
 from tickloom.functions.cron import flags_to_cron
 from tickloom.session import work_dir
 from tickloom.sources import transfer
+from tickloom.sources.entries import read_entries
 from tickloom.streaming import runs, signals
 
 MESSAGES = [
@@ -120,6 +121,66 @@ def test_programs(spark):
         transfer.pipe_out(transfer.series(spark, 1, 5), "false").collect()
 
 
+def test_programs_as_a_source(spark):
+    """One process and one partition for each command; a bad exit code or a bad line fails the read."""
+    rows_of = transfer.run_program(spark, ["seq 1 5000", "printf '7000\\n'", "true"], "n int")
+    assert rows_of.rdd.getNumPartitions() == 3
+    assert rows(rows_of, "n") == sorted([(i,) for i in [*range(1, 5001), 7000]], key=repr)
+    for bad in (["seq 1 3", "exit 3"], ["echo word"]):
+        with pytest.raises(Exception):
+            transfer.run_program(spark, bad, "n int").collect()
+
+
+@pytest.mark.parametrize("command", ["cat", "sort -n", "awk '{print; print; print}'", "head -n 1", "cat >/dev/null", "yes | head -n 300000"])
+def test_pipes_do_not_block(spark, command):
+    """Programs that write before, while and after they read, much more or less than they read, or stop reading."""
+    out = transfer.pipe_out(transfer.series(spark, 1, 60_000).coalesce(1), command).agg(F.count("*"), F.min("line")).first()
+    want = {"cat": 60_000, "sort -n": 60_000, "awk '{print; print; print}'": 180_000, "head -n 1": 1, "cat >/dev/null": 0}
+    assert out[0] == want.get(command, 300_000)
+
+
+def test_log_is_compacted_by_measured_rows(spark):
+    """A hot day gets several files of about the same size, small days one each, and no row is lost."""
+    log = spark.range(9_000).selectExpr("id AS exec_id", "IF(id < 8000, DATE'2024-01-01', DATE'2024-01-02' + CAST(id % 4 AS INT)) AS run_date").repartition(20)
+    target = work_dir(spark, "test-compact")
+    assert transfer.compact(log, target, "run_date", ["exec_id"], rows_per_file=2_000) == 9_000
+    sizes = spark.read.parquet(target).groupBy("run_date", F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in sizes) == 9_000
+    hot = [r["count"] for r in sizes if r.run_date.day == 1]
+    assert 2 <= len(hot) <= 4 and max(hot) <= 4_500 and len(sizes) - len(hot) == 4
+
+
+def test_entries_flush_by_size_or_time_and_go_on(spark):
+    """A backlog goes by size, a rest after the time; a second run takes what has been added, nothing twice."""
+    folder, base = work_dir(spark, "test-entries"), work_dir(spark, "test-entries-out")
+    schema = spark.range(0).schema
+
+    def add(first, n, name):
+        spark.range(first, first + n).coalesce(1).write.parquet(f"{folder}-{name}")
+        import glob
+        import os
+        import shutil
+        os.makedirs(folder, exist_ok=True)
+        shutil.copy(glob.glob(f"{folder}-{name}/*.parquet")[0], f"{folder}/{name}.parquet")
+
+    def run():
+        sizes = []
+        stream = read_entries(spark, folder, schema, rows=40, seconds=0.3)
+        query = stream.writeStream.foreachBatch(lambda b, i: (sizes.append(b.count()), b.write.mode("overwrite").parquet(f"{base}/batch={i}"))).option("checkpointLocation", f"{base}-state").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sizes
+
+    add(0, 90, "a")
+    assert run() == [40, 40, 10]
+    add(90, 25, "b")
+    add(115, 50, "c")
+    assert run() == [40, 35]
+    assert sorted(r.id for r in spark.read.parquet(base).collect()) == list(range(165))
+
+
 def test_log_policy(spark):
     log = spark.createDataFrame([(0, False, " x "), (-1, True, ""), (-1, False, "  "), (-1, None, "y")], "returncode int, ignore_error boolean, output string")
     assert transfer.keep_by_policy(log, "none").count() == 0

@@ -43,6 +43,18 @@ def s04(t):
     return transfer.pipe_in(lines, "o_orderkey bigint, o_orderstatus string, o_custkey bigint")
 
 
+@query(
+    "s04_program_rows",
+    "SELECT n AS l_orderkey FROM (SELECT unnest(range(1, (SELECT max(o_orderkey) FROM orders) + 1)) AS n) WHERE n NOT IN (SELECT l_orderkey FROM lineitem)",
+)
+def s04_program(t):
+    """Rows that programs write, each counting a part of the order keys: those without a line."""
+    top, parts = t.raw("orders").agg(F.max("o_orderkey")).first()[0] or 0, t.spark.sparkContext.defaultParallelism
+    step = max(1, -(-top // parts))
+    counted = transfer.run_program(t.spark, [f"seq {i} {min(i + step - 1, top)}" for i in range(1, top + 1, step)], "l_orderkey bigint")
+    return counted.join(t.raw("lineitem"), "l_orderkey", "left_anti")
+
+
 @query(
     "s05_run_log_append",
     ctes("exec_log")
@@ -56,6 +68,21 @@ def s05(t):
     return t.spark.read.parquet(target).select("exec_id", "chain_id", "returncode", "output")
 
 
+@query(
+    "s05_compacted_log",
+    ctes("exec_log") + "SELECT exec_id, chain_id, CAST(last_run AS DATE) AS run_date, 1 AS files_of_day FROM exec_log",
+)
+def s05_compacted(t):
+    """The run log, appended in four parts and compacted: all rows, one file for a day of up to a million."""
+    target, compacted = work_dir(t.spark, "s05-parts"), work_dir(t.spark, "s05-compacted")
+    for part in range(4):
+        transfer.append_run_log(t.exec_log.where(F.col("exec_id") % 4 == part), target)
+    transfer.compact(t.spark.read.parquet(target), compacted, "run_date", ["chain_id", "finished"])
+    rows = t.spark.read.parquet(compacted).withColumn("file", F.input_file_name())
+    files = rows.groupBy("run_date").agg(F.count_distinct("file").cast("int").alias("files_of_day"))
+    return rows.join(files, "run_date").select("exec_id", "chain_id", "run_date", "files_of_day")
+
+
 @query(
     "s07_series",
     "SELECT n AS l_orderkey FROM (SELECT unnest(range(1, (SELECT max(l_orderkey) FROM lineitem) + 1)) AS n) WHERE n NOT IN (SELECT l_orderkey FROM lineitem)",

@@ -9,6 +9,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.schedule_queries import _HIT, CRON
 from tickloom.plans.runlog_queries import BAD, admission_oracle
 from tickloom.session import work_dir
+from tickloom.sources.entries import read_entries
 from tickloom.sources.fixtures import FINISHED, RUN_FINISH, RUN_START, SIGNAL, ctes, exec_log_of
 from tickloom.streaming import admission, ledger, runs, signals
 
@@ -108,8 +109,8 @@ _ENTRY = """SELECT event_id AS pid, CASE event_type WHEN 'error' THEN 'ERROR' WH
     WHEN 'signup' THEN 'PANIC' ELSE 'UNKNOWN' END AS log_level, props AS message_data FROM events"""
 
 
-def entries(t):
-    return t.stream("events").selectExpr(
+def log_entries(events):
+    return events.selectExpr(
         "ts", "concat('worker_', CAST(user_id % 4 AS STRING)) AS client_name", "event_id AS pid",
         """CASE event_type WHEN 'click' THEN 'debug' WHEN 'view' THEN 'warning' WHEN 'signup' THEN 'fatal'
            WHEN 'error' THEN 'error' ELSE '42' END AS level""",
@@ -120,7 +121,7 @@ def entries(t):
 @query("t07_log_ingest", f"SELECT * FROM ({_ENTRY}) WHERE log_level IN ('ERROR', 'INFO', 'PANIC')")
 def t07(t):
     target, state = work_dir(t.spark, "t07-log"), work_dir(t.spark, "t07-state")
-    runs.ingest_log(entries(t), target, state, trigger={"availableNow": True}).awaitTermination()
+    runs.ingest_log(log_entries(t.stream("events")), target, state, trigger={"availableNow": True}).awaitTermination()
     return t.spark.read.option("basePath", target).parquet(target).select("pid", "log_level", "message_data")
 
 
@@ -128,10 +129,27 @@ def t07(t):
 def s06(t):
     """The same sink with the default threshold, which keeps errors only."""
     target, state = work_dir(t.spark, "s06-log"), work_dir(t.spark, "s06-state")
-    runs.ingest_log(entries(t), target, state, threshold="error", trigger={"availableNow": True}).awaitTermination()
+    runs.ingest_log(log_entries(t.stream("events")), target, state, threshold="error", trigger={"availableNow": True}).awaitTermination()
     return t.spark.read.option("basePath", target).parquet(target).groupBy("log_level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "s06_log_flushes",
+    f"""SELECT batch, log_level FROM (SELECT CAST(floor((row_number() OVER () - 1) / 500) AS BIGINT) AS batch, log_level FROM ({_ENTRY}))
+    WHERE log_level <> 'UNKNOWN'""",
+)
+def s06_flushes(t):
+    """The flush that each entry went with: every 500 entries, as they are all there at once."""
+    target, state = work_dir(t.spark, "s06-flushes"), work_dir(t.spark, "s06-flushes-state")
+    flushed = log_entries(read_entries(t.spark, t.path("events"), t.raw("events").schema))
+    query = runs.ingest_log(flushed, target, state, threshold="debug", trigger={"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return t.spark.read.parquet(target).select(F.col("batch").cast("bigint").alias("batch"), "log_level")
+
+
 @query("t08_cron_match_stream", ctes("chain", **CRON, hit=_HIT) + "SELECT event_id, run_at AS schedule FROM hit")
 def t08(t):
     """Schedules joined to the event stream as a static side."""

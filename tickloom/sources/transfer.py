@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import fits_broadcast
+from tickloom.sources import programs
+
+#: Rows that a file of a table partitioned by day is to hold.
+ROWS_PER_FILE = 1_000_000
+
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     """Count rows as they pass by, instead of reading them a second time."""
@@ -35,8 +44,7 @@ def export_csv(df: DataFrame, path: str, header: bool = False) -> int:
 def pipe_out(df: DataFrame, command: str) -> DataFrame:
     """Feed rows as CSV lines to a program, one process per partition; its output lines come back as ``line``."""
     lines = df.select(F.to_csv(F.struct(*df.columns)).alias("line"))
-    out = lines.rdd.map(lambda row: row[0]).pipe(command, checkCode=True)
-    return out.map(lambda line: (line,)).toDF("line string")
+    return lines.mapInArrow(programs.piped(command), "line string")
 
 
 def pipe_in(lines: DataFrame, schema: str) -> DataFrame:
@@ -45,10 +53,11 @@ def pipe_in(lines: DataFrame, schema: str) -> DataFrame:
     return lines.where(F.col("line") != "").select(parsed.alias("r")).select("r.*")
 
 
-def run_program(spark: SparkSession, command: str, schema: str) -> DataFrame:
-    """Rows from the standard output of one program run on an executor."""
-    started = spark.sparkContext.parallelize([""], 1).pipe(command, checkCode=True)
-    return pipe_in(started.map(lambda line: (line,)).toDF("line string"), schema)
+def run_program(spark: SparkSession, commands: str | Sequence[str], schema: str) -> DataFrame:
+    """Rows from the standard output of programs: one process, and one partition, for each command."""
+    programs.register(spark)
+    listed = [commands] if isinstance(commands, str) else list(commands)
+    return pipe_in(spark.read.format("program").option("commands", json.dumps(listed)).load(), schema)
 
 
 def keep_by_policy(log: DataFrame, policy: str) -> DataFrame:
@@ -63,14 +72,33 @@ def keep_by_policy(log: DataFrame, policy: str) -> DataFrame:
     return kept
 
 
-def append_run_log(log: DataFrame, target: str, policy: str = "all") -> int:
+def by_day(df: DataFrame, day: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """``df`` placed so that a write partitioned by ``day`` makes files of about ``rows_per_file`` rows.
+
+    Rows of a day are counted first: a large day is dealt over as many tasks as it
+    needs files, and small days share tasks.
+    """
+    files = df.groupBy(day).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__files"))
+    known = files.select(F.col(day).alias("__day"), "__files")
+    known = F.broadcast(known) if fits_broadcast(known) else known
+    dealt = df.join(known, F.col(day).eqNullSafe(F.col("__day")))
+    salt = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]), F.col("__files"))
+    return dealt.withColumn("__salt", salt).repartition(day, "__salt").drop("__day", "__files", "__salt")
+
+
+def append_run_log(log: DataFrame, target: str, policy: str = "all", rows_per_file: int = ROWS_PER_FILE) -> int:
     """Append to the run log, partitioned by day and sorted for the (chain, finish) access path."""
-    kept, seen = _counted(keep_by_policy(log, policy))
-    (
-        kept.withColumn("run_date", F.to_date("last_run"))
-        .sortWithinPartitions("run_date", "chain_id", "finished")
-        .write.mode("append").partitionBy("run_date").parquet(target)
-    )
+    placed = by_day(keep_by_policy(log, policy).withColumn("run_date", F.to_date("last_run")), "run_date", rows_per_file)
+    kept, seen = _counted(placed)
+    ordered = kept.sortWithinPartitions("run_date", "chain_id", "finished")
+    ordered.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("run_date").parquet(target)
+    return seen.get["rows"]
+
+
+def compact(rows: DataFrame, target: str, day: str, order: Sequence[str] = (), rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Rewrite rows that lie in many small files as few per day, into a new folder; returns the number of rows."""
+    placed, seen = _counted(by_day(rows, day, rows_per_file))
+    placed.sortWithinPartitions(day, *order).write.option("maxRecordsPerFile", rows_per_file).partitionBy(day).parquet(target)
     return seen.get["rows"]
 
 
