@@ -31,6 +31,8 @@ CASES = [
     ({"oneOf": [{"type": "number"}, {"minimum": 5}]}, "3", "7"),
     ({"uniqueItems": True}, '[1,"1",true,{"a":1}]', "[1,2,1.0]"),
     ({"uniqueItems": True}, '[{"a":1},{"a":2}]', '[{"a":1,"b":2},{"b":2,"a":1}]'),
+    ({"uniqueItems": True}, '[[1e2],[101]]', "[[1e2],[100]]"),
+    ({"uniqueItems": True}, '[{"a":["1.0"]},{"a":["1"]},{"a":"\\\\"},{"a":"\\""}]', '[{"a":[-0.50,{"b":1E1}]},{"a":[-0.5,{"b":10}]}]'),
     ({"additionalProperties": False, "properties": {"a": {}}}, '{"a":1}', '{"b":1}'),
     ({"additionalProperties": {"type": "string"}, "patternProperties": {"^n": {}}}, '{"n1":1,"x":"s"}', '{"x":1}'),
     ({"definitions": {"a/b": {"type": "string"}}, "$ref": "#/definitions/a~1b"}, '"x"', "1"),
@@ -74,14 +76,50 @@ def test_key_test_reaches_into_arrays_and_strings(spark):
     assert got == [jsoncheck.broken_rules(tree, jsoncheck.parse(d)) for d in docs]
 
 
-def test_self_reference_falls_back(spark):
-    schema = {"properties": {"next": {"$ref": "#"}, "n": {"minimum": 1}}}
-    df = spark.createDataFrame([('{"n":1,"next":{"n":2}}',), ('{"n":1,"next":{"n":2,"next":{"n":0}}}',)], "doc string").coalesce(1)
-    assert [r.conforms for r in conform.conformance(df, "doc", schema).collect()] == [True, False]
-
-
 LEAF = st.one_of(st.none(), st.booleans(), st.integers(-3, 12), st.sampled_from([0.5, 1.0, 2.25]), st.sampled_from(["", "a", "ab", "abc", "b"]))
 VALUE = st.recursive(LEAF, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from("abc"), x, max_size=3)), max_leaves=6)
+
+RECURSIVE = [
+    {"properties": {"a": {"$ref": "#"}, "b": {"minimum": 1}}},
+    {"items": {"$ref": "#"}, "properties": {"b": {"$ref": "#"}}, "not": {"enum": [2, "ab"]}},
+    {"anyOf": [{"type": ["number", "null"]}, {"type": "array", "items": {"$ref": "#"}}, {"type": "object", "additionalProperties": {"$ref": "#"}, "minProperties": 1}]},
+    {
+        "definitions": {
+            "odd": {"type": "object", "properties": {"a": {"$ref": "#/definitions/even"}}, "patternProperties": {"^[bc]": {"not": {"$ref": "#/definitions/odd"}}}},
+            "even": {"oneOf": [{"$ref": "#/definitions/odd"}, {"items": [{}, {"$ref": "#/definitions/odd"}], "additionalItems": {"$ref": "#/definitions/even"}, "type": "array"}]},
+        },
+        "allOf": [{"$ref": "#/definitions/even"}], "maxProperties": 2,
+    },
+]
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+@pytest.mark.parametrize("schema", RECURSIVE, ids=range(len(RECURSIVE)))
+def test_self_references_equal_the_plain_checker(spark, schema, data):
+    """Equal documents, equal values at several depths, absent and unparsable text; rows and other columns stay."""
+    texts = [json.dumps(v) for v in data.draw(st.lists(VALUE, min_size=12, max_size=12))]
+    texts += [texts[0], '{"a":{"a":{"a":[[],[[{"b":1}]]]}}}', '[[[[2]]]]', '{"a":{"a":{"b":1}},"b":{"a":{"b":1}}}', "{oops", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, doc string").repartition(3)
+    got = {r.id: r.broken for r in conform.conformance(df, "doc", schema).collect()}
+    tree = conform.load_schema(schema)
+
+    def plain(text):
+        if text is None:
+            return jsoncheck.broken_rules(tree, jsoncheck.ABSENT)
+        return ["json"] if text == "{oops" else jsoncheck.broken_rules(tree, jsoncheck.parse(text))
+
+    assert got == {i: plain(x) for i, x in enumerate(texts)}
+
+
+def test_self_reference_at_one_value_has_no_verdict(spark):
+    df = spark.createDataFrame([("1",)], "doc string")
+    for schema in ({"anyOf": [{"$ref": "#"}]}, {"definitions": {"a": {"not": {"$ref": "#/definitions/b"}}, "b": {"$ref": "#/definitions/a"}}, "$ref": "#/definitions/a"}):
+        with pytest.raises(ValueError):
+            conform.conformance(df, "doc", schema)
+    assert conform.violation_summary(df, "doc", RECURSIVE[0]).first().conforming == 1
+
+
 NAMES = st.sampled_from(["null", "boolean", "number", "integer", "string", "array", "object"])
 
 

@@ -2,8 +2,14 @@
 
 The schema is read on the driver and becomes one boolean expression per
 top-level keyword over the parsed VARIANT value, so checking is a projection:
-no shuffle and no Python worker. Only a schema that refers back to itself
-needs a vectorised Python UDF, on the JSON column alone.
+no shuffle and no Python worker.
+
+A schema that refers back to itself is as deep as the data. It is cut at those
+references, and a work list holds which part of a value meets which part of the
+schema. The list is expanded level by level, from the documents inwards, until
+nothing is reached; equal pairs of value and part are one row. Then verdicts are
+folded back from the innermost level: each row's expression looks up those of the
+rows that it reaches. Levels are as many as values are nested.
 
 Notes: patterns are Java regular expressions. Text with repeated object keys
 parses only if ``spark.sql.variant.allowDuplicateKeys`` is set. Where a rule
@@ -14,24 +20,23 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import jsoncheck
-from tickloom.session import ship_by_value
-
-ship_by_value("tickloom.functions.jsoncheck")
-ship_by_value(__name__)
+from tickloom.session import cut_lineage
 
 UNPARSABLE = "json"
+_REACHED = "ARRAY<STRUCT<part: INT, v: VARIANT>>"
+_NONE_REACHED = f"CAST(array() AS {_REACHED})"
+# Strings, numbers and what lies between, in JSON text whose escaped quotes have been replaced.
+_TOKENS = r'"[^"]*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
 
 
 class RecursiveSchema(Exception):
-    """The schema refers back to itself."""
+    """The schema refers back to itself through this reference."""
 
 
 def _text(value: str) -> str:
@@ -49,9 +54,11 @@ def _any(parts: list[str]) -> str:
 class _Compiler:
     """Schema to SQL text. A node is a lambda variable with v (value), t (kind), o, a, s, d, f."""
 
-    def __init__(self, root):
+    def __init__(self, root, cuts: tuple[str, ...] = ()):
         self.root = root
         self.names = count(1)
+        # References whose verdicts are looked up in a column ``known`` in place of being worked out.
+        self.cuts = cuts
 
     def name(self, prefix: str) -> str:
         return f"{prefix}{next(self.names)}"
@@ -222,13 +229,17 @@ class _Compiler:
         if not s["uniqueItems"]:
             return "true"
         e = self.name("e")
-        plain = f"schema_of_variant({e}) IN ('STRING', 'BOOLEAN', 'VOID')"
-        # Numbers are compared by value, everything else by its canonical text.
-        canon = (
-            f"CASE WHEN {plain} THEN to_json({e})"
-            f" ELSE coalesce(CAST(try_variant_get({e}, '$', 'decimal(38,18)') AS STRING), to_json({e})) END"
+        return self.must(n, "array", f"size(array_distinct(transform({n}.a, {e} -> {self.canonical(e)}))) = size({n}.a)")
+
+    def canonical(self, value: str) -> str:
+        """Text that equal values share: keys come sorted, and numbers, however nested, are written by their value."""
+        k = self.name("k")
+        plain = f"replace(replace(to_json({value}), {_text(chr(92) * 2)}, {_text(chr(1))}), {_text(chr(92) + chr(34))}, {_text(chr(2))})"
+        number = f"coalesce(CAST(try_cast({k} AS DECIMAL(38,18)) AS STRING), CAST(try_cast({k} AS DOUBLE) AS STRING))"
+        return (
+            f"array_join(transform(regexp_extract_all({plain}, {_text(_TOKENS)}, 0),"
+            f" {k} -> CASE WHEN {k} RLIKE '^-?[0-9]' THEN {number} ELSE {k} END), '')"
         )
-        return self.must(n, "array", f"size(array_distinct(transform({n}.a, {e} -> {canon}))) = size({n}.a)")
 
     def _additionalProperties(self, s, n, seen):
         rule, e = s["additionalProperties"], self.name("e")
@@ -241,6 +252,8 @@ class _Compiler:
 
     def _ref(self, s, n, seen):
         pointer = s["$ref"]
+        if pointer in self.cuts:
+            return f"coalesce(try_element_at(known, {self.pair(self.cuts.index(pointer), f'{n}.v')}), false)"
         if pointer in seen:
             raise RecursiveSchema(pointer)
         target = jsoncheck.resolve(self.root, pointer)
@@ -300,6 +313,62 @@ class _Compiler:
         as_decimal = f"{n}.d % try_cast({_text(str(m))} AS DECIMAL(38,18)) = 0"
         return self.only(n, "number", f"coalesce({as_decimal}, {n}.f % CAST({_text(str(m))} AS DOUBLE) = 0)")
 
+    # --- what a value's rules reach through the cut references
+
+    def pair(self, part: int | str, value: str) -> str:
+        """Key of a value that meets a part of the schema."""
+        return f"concat(CAST({part} AS STRING), ':', sha2(to_json({value}), 256))"
+
+    def reach(self, schema, value: str, seen: tuple = ()) -> str | None:
+        """Array of (part, value) that checking ``value`` may look up; None if there is none. It may hold some too many."""
+        if not isinstance(schema, dict):
+            return None
+        members = f"try_variant_get({value}, '$', 'map<string,variant>')"
+        elements = f"try_variant_get({value}, '$', 'array<variant>')"
+        found: list[str] = []
+
+        def add(sub, at: str, test: str | None = None) -> None:
+            inside = self.reach(sub, at, seen)
+            if inside:
+                found.append(f"CASE WHEN {test} THEN {inside} END" if test else inside)
+
+        def each(sub, array: str) -> None:
+            e = self.name("e")
+            inside = self.reach(sub, e, seen)
+            if inside:
+                found.append(f"flatten(transform({array}, {e} -> {inside}))")
+
+        if "$ref" in schema:
+            pointer = schema["$ref"]
+            if pointer in self.cuts:
+                found.append(f"array(named_struct('part', {self.cuts.index(pointer)}, 'v', {value}))")
+            elif (target := jsoncheck.resolve(self.root, pointer)) is not jsoncheck.ABSENT:
+                add(target, value)
+        for k, sub in schema.get("properties", {}).items():
+            add(sub, f"try_element_at({members}, {_text(k)})", f"map_contains_key({members}, {_text(k)})")
+        for sub in (*schema.get("patternProperties", {}).values(), schema.get("additionalProperties")):
+            each(sub, f"map_values({members})")
+        items = schema.get("items")
+        for i, sub in enumerate(items if isinstance(items, list) else ()):
+            add(sub, f"get({elements}, {i})", f"size({elements}) > {i}")
+        for sub in (items, schema.get("additionalItems")):
+            each(sub, elements)
+        same = [schema.get("not"), *schema.get("dependencies", {}).values()]
+        for sub in (*same, *schema.get("anyOf", ()), *schema.get("allOf", ()), *schema.get("oneOf", ())):
+            add(sub, value)
+        return f"concat({', '.join(f'coalesce({f}, {_NONE_REACHED})' for f in found)})" if found else None
+
+    def same_value_parts(self, schema) -> set[int]:
+        """Parts that a schema sends the very same value to."""
+        if not isinstance(schema, dict):
+            return set()
+        pointer = schema.get("$ref")
+        out = {self.cuts.index(pointer)} if pointer in self.cuts else set()
+        subs = [schema.get("not"), *schema.get("dependencies", {}).values(), *schema.get("anyOf", ()), *schema.get("allOf", ()), *schema.get("oneOf", ())]
+        if pointer is not None and pointer not in self.cuts:
+            subs.append(jsoncheck.resolve(self.root, pointer))
+        return out.union(*(self.same_value_parts(x) for x in subs))
+
 
 def load_schema(schema: str | dict) -> dict:
     """Schema text or tree, with exact numbers."""
@@ -314,19 +383,19 @@ def broken(column: Column, schema: str | dict) -> Column:
     """Array of the top-level keywords the JSON text breaks; empty if it conforms.
 
     Text that is no JSON breaks the rule 'json'. A NULL is an absent value: most
-    rules have nothing to say about it.
+    rules have nothing to say about it. A schema that refers back to itself is no
+    single expression; use ``conformance``.
     """
     tree = load_schema(schema)
-    absent = F.array(*[F.lit(r) for r in jsoncheck.broken_rules(tree, jsoncheck.ABSENT)]).cast("array<string>")
-    try:
-        found = _compiled(column, tree)
-    except RecursiveSchema:
-        found = _walked(tree)(column)
-    return F.when(column.isNull(), absent).otherwise(found)
+    return F.when(column.isNull(), _absent(tree)).otherwise(_compiled(column, tree))
+
 
+def _absent(tree: dict) -> Column:
+    return F.array(*[F.lit(r) for r in jsoncheck.broken_rules(tree, jsoncheck.ABSENT)]).cast("array<string>")
 
-def _compiled(column: Column, tree: dict) -> Column:
-    c = _Compiler(tree)
+
+def _compiled(column: Column, tree: dict, cuts: tuple[str, ...] = ()) -> Column:
+    c = _Compiler(tree, cuts)
 
     def verdicts(n: str) -> str:
         flags = [f"CASE WHEN {c.rule(k, tree, n, ())} THEN NULL ELSE {_text(k)} END" for k in rules_of(tree)]
@@ -337,33 +406,82 @@ def _compiled(column: Column, tree: dict) -> Column:
     return F.call_function("transform", F.array(F.try_parse_json(column)), F.expr(expression))[0]
 
 
-def _walked(tree: dict):
-    @F.pandas_udf("array<string>")
-    def walk(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text):
-            if text is None:
-                return None
-            try:
-                value = jsoncheck.parse(text)
-            except ValueError:
-                return [UNPARSABLE]
-            return jsoncheck.broken_rules(tree, value)
-
-        for batch in texts:
-            yield batch.map(one)
-
-    return walk
+def _recursive_references(tree: dict) -> tuple[str, ...]:
+    """References that must be cut so that the rest of the schema is a finite expression."""
+    cuts: tuple[str, ...] = ()
+    while True:
+        c = _Compiler(tree, cuts)
+        parts = [tree, *(jsoncheck.resolve(tree, pointer) for pointer in cuts)]
+        try:
+            for part in parts:
+                c.check(part, "x")
+            break
+        except RecursiveSchema as e:
+            cuts = (*cuts, e.args[0])
+    # A part that sends a value on to itself, without going inwards, has no verdict.
+    onward = [c.same_value_parts(part) for part in parts[1:]]
+    for start in range(len(cuts)):
+        met, todo = set(), list(onward[start])
+        while todo:
+            if (i := todo.pop()) == start:
+                raise ValueError(f"{cuts[start]} refers to itself at the same value")
+            if i not in met:
+                met.add(i)
+                todo += onward[i]
+    return cuts
+
+
+def _by_levels(df: DataFrame, column: str, tree: dict, cuts: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``broken``, by a work list that follows the schema's references into the values."""
+    c = _Compiler(tree, cuts)
+    parts = [jsoncheck.resolve(tree, pointer) for pointer in cuts]
+    inwards = " ".join(f"WHEN {i} THEN {c.reach(p, 'v') or _NONE_REACHED}" for i, p in enumerate(parts))
+    verdict = " ".join(f"WHEN {i} THEN {c.check(p, 'x')}" for i, p in enumerate(parts))
+
+    def reached(values: DataFrame, found: str) -> DataFrame:
+        rows = values.select(F.col("id").alias("parent"), F.explode(F.expr(found)).alias("r")).select("parent", "r.part", "r.v")
+        return cut_lineage(rows.withColumn("id", F.expr(c.pair("part", "v"))))
+
+    def known_to(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
+        """Per parent, the verdicts of what it reaches, as a map."""
+        pairs = edges.select("parent", "id").distinct().join(verdicts, "id")
+        return pairs.groupBy(F.col("parent").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("id", "ok"))).alias("known"))
+
+    def with_known(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        nothing = F.expr("CAST(map() AS MAP<STRING, BOOLEAN>)")
+        if known is None:
+            return rows.withColumn("known", nothing)
+        return rows.join(known, "id", "left").withColumn("known", F.coalesce("known", nothing))
+
+    texts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+    documents = cut_lineage(texts.select(F.sha2("text", 256).alias("id"), "text"))
+    levels = [reached(documents.select("id", F.try_parse_json("text").alias("v")), c.reach(tree, "v") or _NONE_REACHED)]
+    while not levels[-1].isEmpty():
+        values = levels[-1].dropDuplicates(["id"]).select("id", "part", "v")
+        levels.append(reached(values, f"CASE part {inwards} END"))
+    known = None
+    for edges in levels[-2::-1]:
+        values = with_known(edges.dropDuplicates(["id"]).select("id", "part", "v"), known)
+        # The value is named x, as an expression looks at it several times.
+        held = F.call_function("transform", F.array("v"), F.expr(f"x -> CASE part {verdict} END"))[0]
+        known = cut_lineage(known_to(edges, values.select("id", held.alias("ok"))))
+    judged = with_known(documents, known).select("id", _compiled(F.col("text"), tree, cuts).alias("__broken"))
+    out = df.withColumn("__id", F.sha2(F.col(column), 256)).join(judged.withColumnRenamed("id", "__id"), "__id", "left")
+    return out.withColumn("broken", F.coalesce("__broken", _absent(tree))).drop("__id", "__broken")
 
 
 def conformance(df: DataFrame, column: str, schema: str | dict) -> DataFrame:
     """``df`` with ``broken`` (array of rules) and ``conforms``."""
-    return df.withColumn("broken", broken(F.col(column), schema)).withColumn("conforms", F.size("broken") == 0)
+    tree = load_schema(schema)
+    cuts = _recursive_references(tree)
+    judged = _by_levels(df, column, tree, cuts) if cuts else df.withColumn("broken", broken(F.col(column), schema))
+    return judged.withColumn("conforms", F.size("broken") == 0)
 
 
 def violation_summary(df: DataFrame, column: str, schema: str | dict) -> DataFrame:
     """One row: checked rows, conforming rows, and violations per rule of the schema."""
     rules = [UNPARSABLE, *rules_of(load_schema(schema))]
-    found = df.select(broken(F.col(column), schema).alias("b"))
+    found = conformance(df.select(column), column, schema).select(F.col("broken").alias("b"))
     return found.agg(
         F.count(F.lit(1)).alias("checked"),
         F.count_if(F.size("b") == 0).alias("conforming"),

@@ -52,7 +52,9 @@ def n03(t):
 @query(
     "n04_keys_and_kinds",
     TURNS_SQL
-    + """SELECT conv_id, turn, 'conv,turn,role,tags,text' AS key_list, 'object' AS doc_kind, 'number' AS turn_kind, 2 AS n_tags,
+    + """SELECT conv_id, turn, array_to_string(json_keys(doc), ',') AS key_list, lower(json_type(doc)) AS doc_kind,
+    CASE WHEN json_type(doc, '$.turn') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(json_type(doc, '$.turn')) END AS turn_kind,
+    CAST(json_array_length(doc, '$.tags') AS INT) AS n_tags,
     CAST(to_json([role, CAST(turn AS VARCHAR)]) AS VARCHAR) AS pair FROM d""",
 )
 def n04(t):
@@ -147,3 +149,63 @@ def n06_recursive(t):
     doc = F.concat(F.lit('{"n": '), k.cast("string"), F.lit(', "next": {"n": 2, "next": '), last, F.lit("}}"))
     docs = t.raw("events").select("event_id", doc.alias("doc"))
     return conform.conformance(docs, "doc", THREAD_SCHEMA).select("event_id", "conforms")
+
+
+# Events as values of four kinds: an object with two or three members, an array of two or three elements, a string, a number.
+KINDS_DOC = """CASE event_id % 4 WHEN 0 THEN concat('{"b":"', y, '","a":', k, CASE WHEN k % 2 = 0 THEN ',"c":true}' ELSE '}' END)
+    WHEN 1 THEN concat('[', k, ',', u, CASE WHEN k % 3 = 0 THEN concat(',"', y, '"]') ELSE ']' END)
+    WHEN 2 THEN concat('"', y, '"') ELSE CAST(CAST(k / 4 AS DECIMAL(10,2)) AS STRING) END"""
+_O, _A, _S, _N = (f"event_id % 4 = {i}" for i in range(4))
+# Every keyword: a schema for it, and which values break it.
+KEYWORDS = {
+    "type": ({"type": ["object", "integer"]}, f"{_A} OR {_S} OR {_N} AND k % 4 <> 0"),
+    "properties": ({"properties": {"a": {"maximum": 50}}}, f"{_O} AND k > 50"),
+    "required": ({"required": ["a", "c"]}, f"{_O} AND k % 2 <> 0"),
+    "items": ({"items": {"minimum": 2}}, f"{_A} AND (k < 2 OR u < 2)"),
+    "items_tuple": ({"items": [{"minimum": 20}, {"maximum": 3}]}, f"{_A} AND (k < 20 OR u > 3)"),
+    "additionalItems_false": ({"items": [{}, {}], "additionalItems": False}, f"NOT ({_A}) OR k % 3 = 0"),
+    "additionalItems": ({"items": [{}, {}], "additionalItems": {"enum": ["view", "click"]}}, f"NOT ({_A}) OR k % 3 = 0 AND y NOT IN ('view', 'click')"),
+    "minimum": ({"minimum": 10}, f"{_N} AND k < 40"),
+    "maximum": ({"maximum": 15}, f"{_N} AND k > 60"),
+    "exclusiveMinimum": ({"minimum": 10, "exclusiveMinimum": True}, f"NOT ({_N}) OR k <= 40"),
+    "exclusiveMaximum": ({"maximum": 15, "exclusiveMaximum": True}, f"NOT ({_N}) OR k >= 60"),
+    "anyOf": ({"anyOf": [{"type": "string"}, {"type": "number", "minimum": 5}]}, f"NOT ({_S}) AND NOT ({_N} AND k >= 20)"),
+    "allOf": ({"allOf": [{"type": "number"}, {"maximum": 20}]}, f"NOT ({_N}) OR k > 80"),
+    "oneOf": ({"oneOf": [{"type": "number"}, {"minimum": 12}]}, f"{_N} AND k >= 48"),
+    "uniqueItems": ({"uniqueItems": True}, f"NOT ({_A}) OR k = u"),
+    "additionalProperties_false": ({"properties": {"a": {}, "b": {}}, "additionalProperties": False}, f"{_O} AND k % 2 = 0"),
+    "additionalProperties": ({"properties": {"a": {}}, "additionalProperties": {"enum": ["view", "error"]}}, f"{_O} AND (k % 2 = 0 OR y NOT IN ('view', 'error'))"),
+    "ref": ({"definitions": {"word/short": {"maxLength": 4}}, "$ref": "#/definitions/word~1short"}, f"{_S} AND length(y) > 4"),
+    "enum": ({"enum": ["view", 2.5, [3, 3.0, "click"]]}, f"NOT ({_S} AND y = 'view' OR {_N} AND k = 10 OR {_A} AND k = 3 AND u = 3 AND y = 'click')"),
+    "minLength": ({"minLength": 5}, f"{_S} AND length(y) < 5"),
+    "maxLength": ({"maxLength": 5}, f"{_S} AND length(y) > 5"),
+    "not": ({"not": {"type": "array", "minItems": 3}}, f"{_A} AND k % 3 = 0"),
+    "maxProperties": ({"maxProperties": 2}, f"{_O} AND k % 2 = 0"),
+    "minProperties": ({"minProperties": 3}, f"{_O} AND k % 2 <> 0"),
+    "maxItems": ({"maxItems": 2}, f"{_A} AND k % 3 = 0"),
+    "minItems": ({"minItems": 3}, f"{_A} AND k % 3 <> 0"),
+    "dependencies": ({"dependencies": {"a": ["c"]}}, f"{_O} AND k % 2 <> 0"),
+    "dependencies_schema": ({"dependencies": {"c": {"properties": {"a": {"maximum": 30}}}}}, f"{_O} AND k % 2 = 0 AND k > 30"),
+    "pattern": ({"pattern": "^[cv]"}, f"{_S} AND y NOT LIKE 'c%' AND y NOT LIKE 'v%'"),
+    "patternProperties": ({"patternProperties": {"^[ax]$": {"multipleOf": 5}}}, f"{_O} AND k % 5 <> 0"),
+    "multipleOf": ({"multipleOf": 0.5}, f"{_N} AND k % 2 <> 0"),
+}
+
+
+@query(
+    "n06_all_keywords",
+    f"WITH e AS (SELECT event_id, event_type AS y, user_id % 5 AS u, {_K} AS k FROM events) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS keyword, count(*) AS checked, count(*) FILTER ({breaks}) AS broken FROM e" for name, (_, breaks) in KEYWORDS.items()
+    ),
+)
+def n06_keywords(t):
+    """Values of four kinds against a schema for each keyword: how many break it."""
+    e = t.raw("events").selectExpr("event_id", "event_type AS y", "user_id % 5 AS u", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    docs = e.select(F.expr(KINDS_DOC).alias("doc"))
+    counted = docs.agg(
+        F.count(F.lit(1)).alias("checked"),
+        *[F.count_if(F.size(conform.broken(F.col("doc"), schema)) > 0).alias(f"n_{name}") for name, (schema, _) in KEYWORDS.items()],
+    )
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("keyword"), F.col(f"n_{name}").alias("broken")) for name in KEYWORDS])).alias("r")
+    return counted.select("checked", one).select("r.keyword", "checked", "r.broken")
