@@ -87,6 +87,10 @@ def add_jobs(tables: JobTables, jobs: DataFrame) -> JobTables:
     )
 
 
+def append_jobs(tables: JobTables, new: JobTables) -> JobTables:
+    return JobTables(_append(tables.chain, new.chain), _append(tables.task, new.task), _append(tables.parameter, new.parameter))
+
+
 def add_tasks(task: DataFrame, requests: DataFrame) -> DataFrame:
     """Append a step after ``parent_id`` of each request, ``delta`` (default 10) further on.
 
@@ -321,3 +325,21 @@ def import_older_layout(links: DataFrame, base: DataFrame, connections: DataFram
     )
     placed = order_from_parents(steps.select("task_id", "parent_id"), heads)
     return steps.join(placed, "task_id", "left").drop("parent_id")
+
+
+def import_older_tables(links: DataFrame, base: DataFrame, connections: DataFrame, configs: DataFrame, parameters: DataFrame) -> JobTables:
+    """The whole older layout: headers that name the first step of their chain, linked steps, parameters by header and step.
+
+    links, base and connections as for ``import_older_layout``, links with run_as and autonomous too. configs: chain_id,
+    head_id, chain_name, run_at, max_instances, live, self_destruct, exclusive_execution, client_name. parameters:
+    chain_id, task_id, order_id, value. A header whose first step is not there is left out. Where several headers share
+    steps, these and their parameters go to the one of least id, as a step has one chain in the new layout.
+    """
+    chains = configs.join(links.select(F.col("task_id").alias("head_id")), "head_id", "left_semi").withColumns(
+        {"timeout": F.lit(0), "on_error": F.lit(None).cast("string")}
+    )
+    heads = chains.groupBy(F.col("head_id").alias("task_id")).agg(F.min("chain_id").alias("chain_id"))
+    steps = import_older_layout(links, base, connections, heads)
+    tasks = steps.join(links.select("task_id", "run_as", "autonomous"), "task_id").withColumn("live", F.lit(True))
+    of_chain = tasks.where(F.col("chain_id").isNotNull()).select("task_id", "chain_id")
+    return JobTables(chains.drop("head_id"), tasks, parameters.join(of_chain, ["task_id", "chain_id"]).select("task_id", "order_id", "value"))

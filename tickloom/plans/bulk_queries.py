@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import bulk, runlog
+from tickloom.operators import bulk, definitions, runlog
 from tickloom.operators.bulk import JobTables
 from tickloom.plans.jobs_queries import HERE, LINKS, parent_links
 from tickloom.plans.registry import at, query
@@ -162,6 +162,95 @@ def d06_conflicts(t):
     return bulk.name_conflicts(t.chain, replacement(t).chain)
 
 
+# A document per part: a chain with two steps, every third time another with one step; every tenth is named like a customer.
+DOCUMENTS = """concat('{"chains":[{"name":"', CASE WHEN z % 10 = 0 THEN concat('Customer#', lpad(CAST(k AS STRING), 9, '0')) ELSE concat('c', CAST(k AS STRING)) END, '"',
+    CASE z % 3 WHEN 1 THEN ',"schedule":"@every 1 hour"' WHEN 2 THEN ',"schedule":""' ELSE '' END,
+    CASE WHEN z % 2 = 0 THEN ',"live":true' ELSE '' END, CASE WHEN z % 4 = 0 THEN concat(',"max_instances":', z) ELSE '' END,
+    CASE WHEN z % 5 = 0 THEN ',"exclusive":true' ELSE ',"exclusive":null' END, ',"timeout":', z, ',"client_name":"', CASE WHEN z % 2 = 0 THEN '' ELSE br END, '"',
+    CASE WHEN z % 6 = 0 THEN ',"on_error":"SELECT 1","self_destruct":true' ELSE '' END,
+    ',"tasks":[{"command":"', ty, '","timeout":', z, CASE WHEN z % 2 = 0 THEN concat(',"parameters":[', k, ',"x",null,[', z, ',{"a":1.5}]]') ELSE '' END, '},',
+    '{"name":"second","kind":"program","command":"', CASE WHEN z % 13 = 0 THEN '' ELSE br END, '","run_as":"user', z,
+    '","connect_string":"","ignore_error":true,"autonomous":true,"live":false,"parameters":[]}]}',
+    CASE WHEN z % 3 = 0 THEN concat(',{"name":"d', k, '","tasks":[{"name":"","kind":"BUILTIN","command":"NoOp","connect_string":"host=h","live":',
+        CASE WHEN z % 9 = 0 THEN '"yes"' ELSE 'true' END, ',"parameters":[{"p":', z, '}]}]}') ELSE '' END, ']}')"""
+
+
+def loaded(t) -> definitions.Load:
+    parts = t.raw("part").selectExpr("p_partkey AS k", "p_size AS z", "p_brand AS br", "p_type AS ty")
+    documents = parts.select("k", F.expr(DOCUMENTS).alias("doc"))
+    return definitions.load_definitions(documents, "k", "doc", tables(t))
+
+
+LOADED = {
+    "pt": "SELECT p_partkey AS k, p_size AS z, p_brand AS br, p_type AS ty FROM part",
+    "both_c": """SELECT k, 0 AS position, CASE WHEN z % 10 = 0 THEN concat('Customer#', lpad(k::VARCHAR, 9, '0')) ELSE concat('c', k) END AS chain_name,
+        CASE WHEN z % 3 = 1 THEN '@every 1 hour' ELSE '* * * * *' END AS run_at, CASE WHEN z % 4 = 0 THEN z ELSE 0 END AS max_instances, z AS timeout,
+        z % 2 = 0 AS live, z % 6 = 0 AS self_destruct, z % 5 = 0 AS exclusive_execution, CASE WHEN z % 2 <> 0 THEN br END AS client_name,
+        CASE WHEN z % 6 = 0 THEN 'SELECT 1' END AS on_error FROM pt WHERE z % 13 <> 0
+        UNION ALL SELECT k, 1, concat('d', k), '* * * * *', 0, 0, false, false, false, NULL, NULL FROM pt WHERE z % 3 = 0 AND z % 9 <> 0""",
+    "new_c": "SELECT *, (SELECT max(chain_id) FROM chain) + row_number() OVER (ORDER BY k, position) AS chain_id FROM both_c",
+    "both_t": """SELECT chain_id, 0 AS pos, CAST(NULL AS VARCHAR) AS task_name, 'SQL' AS kind, ty AS command, CAST(NULL AS VARCHAR) AS run_as,
+        CAST(NULL AS VARCHAR) AS database_connection, false AS ignore_error, false AS autonomous, z AS timeout, true AS live, z, k FROM new_c JOIN pt USING (k) WHERE position = 0
+        UNION ALL SELECT chain_id, 1, 'second', 'PROGRAM', br, concat('user', z), NULL, true, true, 0, false, z, k FROM new_c JOIN pt USING (k) WHERE position = 0
+        UNION ALL SELECT chain_id, 0, NULL, 'BUILTIN', 'NoOp', NULL, 'host=h', false, false, 0, true, z, k FROM new_c JOIN pt USING (k) WHERE position = 1""",
+    "new_t": """SELECT *, (SELECT max(task_id) FROM task) + row_number() OVER (ORDER BY chain_id, pos) AS task_id,
+        CAST(10 * (pos + 1) AS DOUBLE) AS task_order FROM both_t""",
+    "new_p": """SELECT task_id, unnest([1, 2, 3, 4])::BIGINT AS order_id, unnest([k::VARCHAR, '"x"', 'null', concat('[', z, ',{"a":1.5}]')]) AS value
+        FROM new_t WHERE kind = 'SQL' AND z % 2 = 0 UNION ALL SELECT task_id, 1, concat('{"p":', z, '}') FROM new_t WHERE kind = 'BUILTIN'""",
+}
+
+
+@query(
+    "d06_load_definitions",
+    ctes("chain", "task", **LOADED)
+    + """SELECT task_id, chain_id, task_order, task_name, kind, command, run_as, database_connection, ignore_error, autonomous, timeout, live FROM new_t""",
+)
+def d06_load(t):
+    """Tasks of nested definition documents, with all their members."""
+    return loaded(t).new.task
+
+
+@query(
+    "d06_loaded_chains",
+    ctes("chain", **LOADED)
+    + """SELECT chain_id, chain_name, run_at, max_instances, timeout, live, self_destruct, exclusive_execution, client_name, on_error FROM new_c""",
+)
+def d06_chains(t):
+    return loaded(t).new.chain
+
+
+@query("d06_loaded_parameters", ctes("chain", "task", **LOADED) + "SELECT * FROM new_p")
+def d06_parameters(t):
+    return loaded(t).new.parameter
+
+
+@query(
+    "d06_refused_definitions",
+    ctes(**LOADED)
+    + """SELECT k, 0 AS position, false AS mistyped, true AS command_missing FROM pt WHERE z % 13 = 0
+    UNION ALL SELECT k, 1, true, false FROM pt WHERE z % 9 = 0""",
+)
+def d06_refused(t):
+    return loaded(t).refused.select("k", "position", "mistyped", "command_missing")
+
+
+@query(
+    "d06_load_and_replace",
+    ctes(
+        "chain", "task", "parameter", **LOADED,
+        gone="SELECT chain_id FROM chain WHERE chain_name IN (SELECT chain_name FROM new_c)",
+        c2="SELECT chain_id, chain_name FROM chain WHERE chain_id NOT IN (SELECT chain_id FROM gone) UNION ALL SELECT chain_id, chain_name FROM new_c",
+        t2="SELECT task_id, chain_id, command FROM task WHERE chain_id NOT IN (SELECT chain_id FROM gone) UNION ALL SELECT task_id, chain_id, command FROM new_t",
+        p2="""SELECT task_id, order_id, value FROM parameter WHERE task_id NOT IN (SELECT task_id FROM task WHERE chain_id IN (SELECT chain_id FROM gone))
+        UNION ALL SELECT task_id, order_id, value FROM new_p""",
+    )
+    + TAGGED.format(c="c2", t="t2", p="p2"),
+)
+def d06_load_replace(t):
+    """The job tables after the load, chains of names in use replaced."""
+    return tagged(definitions.store(loaded(t), tables(t), replace=True))
+
+
 @query(
     "d07_upsert",
     """WITH tgt AS (SELECT o_orderkey, o_custkey, o_totalprice AS amount, o_orderdate AS processed FROM orders WHERE o_orderstatus <> 'P'),
@@ -369,6 +458,69 @@ def d13(t):
     return bulk.import_older_layout(steps, base, connections, heads)
 
 
+def older_tables(t) -> JobTables:
+    n_parts = t.raw("part").agg(F.count(F.lit(1)).alias("n")).scalar()
+    links = parent_links(t)
+    steps = links.join(t.task.select("task_id", "ignore_error"), "task_id").select(
+        "task_id", "parent_id", (F.col("task_id") % n_parts).alias("base_id"), (F.col("task_id") % 1000 - 500).alias("connection_id"), "ignore_error",
+        F.when(F.col("task_id") % 5 == 0, F.lit("runner")).alias("run_as"), (F.col("task_id") % 4 == 0).alias("autonomous"),
+    )
+    base = t.raw("part").select(
+        F.col("p_partkey").alias("base_id"), F.col("p_name").alias("task_name"), F.lit("SQL").alias("kind"), F.col("p_type").alias("command")
+    )
+    connections = t.raw("supplier").select(F.col("s_suppkey").alias("connection_id"), F.col("s_name").alias("connect_string"))
+    # A second header for every seventh chain, and one that names a step which is not there.
+    configs = t.raw("orders").selectExpr(*OLDER_CONFIG)
+    heads = links.where("parent_id IS NULL").select("chain_id", F.col("task_id").alias("head_id"))
+    named = configs.join(heads, "chain_id")
+    again = named.where("chain_id % 7 = 0").withColumn("chain_id", F.col("chain_id") + 10_000_000)
+    lost = named.where("chain_id % 11 = 0").withColumns({"chain_id": F.col("chain_id") + 20_000_000, "head_id": F.lit(-1).cast("bigint")})
+    given = links.where("task_id % 3 = 0").select("chain_id", "task_id", F.lit(1).cast("bigint").alias("order_id"), F.format_string("[%d]", "task_id").alias("value"))
+    extra = given.where("chain_id % 7 = 0").withColumn("chain_id", F.col("chain_id") + 10_000_000)
+    return bulk.import_older_tables(steps, base, connections, named.unionByName(again).unionByName(lost), given.unionByName(extra))
+
+
+OLDER_CONFIG = (
+    "o_orderkey AS chain_id", "concat('order ', CAST(o_orderkey AS STRING)) AS chain_name", "CASE WHEN o_orderkey % 2 = 0 THEN '@reboot' ELSE '0 1 * * *' END AS run_at",
+    "CAST(o_orderkey % 3 AS INT) AS max_instances", "o_orderkey % 2 = 1 AS live", "o_orderkey % 5 = 0 AS self_destruct",
+    "o_orderkey % 13 = 0 AS exclusive_execution", "o_orderstatus AS client_name",
+)
+OLDER = {
+    "cfg": "SELECT " + ", ".join(OLDER_CONFIG) + " FROM orders",
+    "named": "SELECT cfg.* FROM cfg JOIN (SELECT DISTINCT chain_id FROM task) USING (chain_id)",
+}
+
+
+@query(
+    "d13_chains",
+    ctes("task", **OLDER)
+    + """SELECT *, 0 AS timeout, CAST(NULL AS VARCHAR) AS on_error FROM named
+    UNION ALL SELECT * REPLACE (chain_id + 10000000 AS chain_id), 0, NULL FROM named WHERE chain_id % 7 = 0""",
+)
+def d13_chains(t):
+    """Headers of the older layout; those whose first step is not there stay out."""
+    return older_tables(t).chain
+
+
+@query(
+    "d13_tasks",
+    ctes("task", **LINKS)
+    + """SELECT l.task_id, p.chain_id, p.task_order, CASE WHEN l.task_id % 5 = 0 THEN 'runner' END AS run_as, l.task_id % 4 = 0 AS autonomous, t.ignore_error
+    FROM link l JOIN task t USING (task_id) JOIN placed p USING (task_id) WHERE l.task_id % (SELECT count(*) FROM part) IN (SELECT p_partkey FROM part)""",
+)
+def d13_tasks(t):
+    return older_tables(t).task.select("task_id", "chain_id", "task_order", "run_as", "autonomous", "ignore_error")
+
+
+@query(
+    "d13_parameters",
+    ctes("task", **LINKS) + """SELECT task_id, CAST(1 AS BIGINT) AS order_id, format('[{}]', task_id) AS value FROM placed WHERE task_id % 3 = 0""",
+)
+def d13_parameters(t):
+    """Parameters by header and step; a step's are those of its one chain."""
+    return older_tables(t).parameter
+
+
 @query(
     "d14_collect_and_log",
     ctes(
