@@ -10,8 +10,9 @@ ranks would read through half of it.
 The folded words are a table of proven size (``CACHED_WORDS`` rows of at most
 ``CACHED_BYTES`` bytes), so they are broadcast: all words that occur at least so
 often that no more have. Tasks take them from there and fold by the same rule
-what is rarer or longer, remembering up to ``REMEMBERED_WORDS`` more; words of
-over ``SCANNED_BYTES`` go through a heap, so they take time near their length.
+what is rarer or longer; a worker remembers up to twice ``REMEMBERED_WORDS`` of
+these, from one task to the next. Words of over ``SCANNED_BYTES`` go through a
+heap, so they take time near their length.
 Ids thus never depend on what is in the cache, and no text moves.
 
 Decoding looks up each id's piece in a literal array and concatenates the pieces.
@@ -25,7 +26,10 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import os
 import struct
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,21 +160,45 @@ def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
+class _Remembered:
+    """Words folded in a worker, in two generations of at most ``REMEMBERED_WORDS``: the older one goes when the newer is full."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        found = self.new.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.keep(word, found)
+        return found
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(self.new) >= REMEMBERED_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
+
+
+def _of_worker(path: str) -> _Remembered:
+    """What this worker remembers for a rank file, from one task to the next."""
+    # This module comes anew with each task, so the words are kept under a name of their own.
+    kept = sys.modules.setdefault("_tickloom_folded_words", types.ModuleType("_tickloom_folded_words")).__dict__
+    version = f"{path} {os.stat(path).st_mtime_ns}"
+    if version not in kept:
+        kept[version] = _Remembered()
+    return kept[version]
+
+
 def _encoder(pattern: str, path: str, shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, split = read_ranks(path), regex.compile(pattern)
-        known = dict(shared.value)
-        own: list[str] = []
+        known, own = shared.value, _of_worker(path)
 
         def fold(word: str) -> bytes:
-            found = struct.pack(f"<{len(ids := encode_word(word.encode(), ranks))}I", *ids)
-            if len(word) <= SCANNED_BYTES:
-                if len(own) >= REMEMBERED_WORDS:
-                    for w in own:
-                        del known[w]
-                    own.clear()
-                known[word] = found
-                own.append(word)
+            if (found := own.get(word)) is None:
+                found = struct.pack(f"<{len(ids := encode_word(word.encode(), ranks))}I", *ids)
+                if len(word) <= SCANNED_BYTES:
+                    own.keep(word, found)
             return found
 
         def encoded(text: str) -> bytes:
