@@ -403,6 +403,50 @@ def test_language_of_held_out_documents(spark):
     assert right > 0.97
 
 
+def plain_language(text, model):
+    """The prediction in plain numpy: each n-gram hashed by itself, embeddings averaged in order."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, False
+    data, total, n_all = b" " + text.lower().encode() + b" ", np.zeros(langid.WIDTH), 0
+    for n in langid.NGRAMS:
+        for i in range(len(data) - n + 1):
+            h = n
+            for byte in data[i : i + n]:
+                h = (h ^ byte) * 16_777_619 & 0xFFFFFFFF
+            total += model["embed"][(h ^ h >> 15) & (langid.BUCKETS - 1)]
+            n_all += 1
+    logits = total / max(1, n_all) @ model["out"]
+    top = np.sort(logits)[::-1]
+    lead = top[0] - top[1] if len(top) > 1 else 0.0
+    return model["langs"][int(logits.argmax())], float(np.exp(logits - logits.max()).max() / np.exp(logits - logits.max()).sum()), lead - model["least"]
+
+
+def test_predictions_equal_plain_numpy(edge, edge_rows):
+    model = langid.learn(edge)
+    got = sorted(((r.doc_id, r.lang_pred, r.score, r.accepted) for r in langid.predict(edge, model).collect()), key=repr)
+    want = sorted(((r[0], *plain_language(r[1], model)) for r in edge_rows), key=repr)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-4
+        if abs(w[3]) > 1e-4:
+            assert g[3] == (w[1] != "und" and w[3] > 0)
+
+
+@pytest.mark.parametrize("sf,slack", [("0.01", 0.02), ("0.1", 0.01)])
+def test_rejection_is_calibrated(spark, sf, slack):
+    """Of right predictions of held-out documents, about the promised share is accepted."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred = lang")
+    accepted = got.agg(F.avg(F.col("accepted").cast("int"))).first()[0]
+    assert abs(accepted - (1 - langid.REJECT_SHARE)) <= slack
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has room for: each still has a document in it."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 10)
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 20) * 3} word", f"l{i % 20}") for i in range(400)], "doc_id bigint, text string, lang string")
+    assert langid.learn(docs)["langs"] == sorted(f"l{i}" for i in range(20))
+
+
 def test_text_without_letters_is_undetermined(edge):
     got = {r.doc_id: r for r in langid.identify(edge).collect() if r.doc_id is not None}
     assert all(got[d].lang_pred == "und" and got[d].score == 0 and not got[d].accepted for d in (300, 301, 302, 305))

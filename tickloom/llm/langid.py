@@ -3,17 +3,22 @@
 A text's subwords are the byte n-grams (2 to 4) of its lower-cased text, hashed
 to ``BUCKETS`` buckets. The average of their embeddings goes through a linear
 layer and a softmax. Both are trained by stochastic gradient descent in numpy,
-on a sample of ``PER_LANGUAGE`` documents of each language at most (by a hash of
-the id; the ``MOST_LANGUAGES`` most frequent languages). A fifth of the sample is
-left out of training and calibrates: the softmax's temperature, and the score
-below which a prediction is rejected (``accepted`` false).
+on a sample of ``PER_LANGUAGE`` documents of each language at most, by a hash of
+the id; fewer if there are so many languages that all would come to more than
+``SAMPLE_ROWS``. A fifth of the sample is left out of training and calibrates: the
+softmax's temperature, at least 1, and the lead in logits over the next language
+below which a prediction is rejected (``accepted`` false). The lead is the one that
+all but ``REJECT_SHARE`` of the right calibration predictions have.
 
 Only hashed features of the sample reach the one training task. Prediction
-reads every whole text where it lies, and needs one matrix of
-buckets x languages.
+reads every whole text where it lies, and needs the embeddings of the buckets and
+an output layer of ``WIDTH`` x languages.
 
 Null text, or text without a letter, is ``und`` with score 0, not accepted. With
-nothing to learn from, so is every text. Rows without lang teach nothing.
+nothing to learn from, so is every text. Rows without lang teach nothing. Repeated
+rows are predicted alike, and texts of any length are read whole; of equal leads the
+language first in order is taken. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from tickloom.llm.common import id_back, id_text
 from tickloom.session import ship_by_value
 
 NGRAMS, BUCKETS, WIDTH = (2, 3, 4), 1 << 15, 16
-PER_LANGUAGE, MOST_LANGUAGES = 800, 512
+PER_LANGUAGE, SAMPLE_ROWS = 800, 400_000
 RATE, LEAST_STEPS, EPOCHS, SEED = 40.0, 12_000, 3, 7
 #: Share of right calibration predictions that the rejection may cost.
 REJECT_SHARE = 0.01
@@ -72,7 +77,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(sample: pd.DataFrame) -> dict:
-    """Languages, the buckets x languages matrix (temperature applied) and the least accepted score."""
+    """Languages, embeddings, the output layer (temperature applied) and the least accepted margin."""
     langs = sorted(sample["lang"].unique())
     want = sample["lang"].map({v: i for i, v in enumerate(langs)}).to_numpy()
     held = sample["calibrate"].to_numpy(bool)
@@ -97,16 +102,24 @@ def train(sample: pd.DataFrame) -> dict:
             back = out @ error
             out -= min(rate * 0.1, 0.5 / (float(hidden @ hidden) + 1e-6)) * np.outer(hidden, error)
             embed[at] -= rate * w[:, None] * back[None, :]
-    matrix = embed @ out
     by = np.flatnonzero(held) if held.any() else fit
-    logits = np.stack([sample["weights"].iat[i] @ matrix[sample["buckets"].iat[i]] for i in by])
-    heats = np.geomspace(0.25, 8, 41)
+    logits = np.stack([(sample["weights"].iat[i] @ embed[sample["buckets"].iat[i]]) @ out for i in by])
+    # Below 1 the scores would all become 1 where every calibration document is right.
+    heats = np.geomspace(1, 32, 41)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(by)), want[by]] + 1e-12).mean() for t in heats]
     heat = float(heats[int(np.argmin(loss))])
-    scores = _softmax(logits / heat)
-    right = scores.argmax(axis=1) == want[by]
-    least = float(np.quantile(scores.max(axis=1)[right], REJECT_SHARE)) if right.any() else 0.0
-    return {"langs": langs, "matrix": (matrix / heat).astype(np.float32), "least": least}
+    margins = np.array([_margin(x / heat) for x in logits])
+    right = logits.argmax(axis=1) == want[by]
+    least = float(np.quantile(margins[right], REJECT_SHARE)) if right.any() else 0.0
+    return {"langs": langs, "embed": embed, "out": (out / heat).astype(np.float32), "least": least}
+
+
+def _margin(logits: np.ndarray) -> float:
+    """By how much the best language leads the next one."""
+    if len(logits) < 2:
+        return 0.0
+    second, first = np.partition(logits, -2)[-2:]
+    return float(first - second)
 
 
 def _train_task(rows: pd.DataFrame) -> pd.DataFrame:
@@ -118,14 +131,15 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """The model of the documents that are not held out; None if they have no language."""
     ship_by_value(__name__)
     usable = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    known = usable.groupBy("lang").count().orderBy("lang").collect()
     if not known:
         return None
     n = {r["lang"]: r["count"] for r in known}
+    per_language = max(1, min(per_language, SAMPLE_ROWS // len(n)))
     order = F.xxhash64("doc_id", F.lit(SEED))
     # A share of each language that holds its sample, with room to spare, is cut to size by rank.
     grid = 1 << 20
-    share = F.create_map(*[x for lang, c in n.items() for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_language / c) * grid)))])
+    share = F.create_map(*[x for lang, c in n.items() for x in (F.lit(lang), F.lit(int(min(1.0, (2 * per_language + 20) / c) * grid)))])
     near = usable.where(F.pmod(order, F.lit(grid)) < share[F.col("lang")])
     pick = Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text"))
     sample = near.withColumn("at", F.row_number().over(pick)).where(F.col("at") <= per_language).select(
@@ -140,20 +154,20 @@ def _predictor(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for frame in frames:
-            preds, scores = [], []
+            preds, scores, accepted = [], [], []
             for text in frame["text"]:
                 if model is None or text is None or not any(c.isalpha() for c in text):
                     preds.append("und")
                     scores.append(0.0)
+                    accepted.append(False)
                     continue
                 counts = bucket_counts(text)
-                p = _softmax((counts @ model["matrix"]).astype(np.float64) / max(1, counts.sum()))
-                preds.append(model["langs"][int(p.argmax())])
-                scores.append(float(p.max()))
-            least = model["least"] if model else 1.0
-            yield frame[["doc_id", "held_out"]].assign(
-                lang_pred=preds, score=scores, accepted=[s >= least and p != "und" for s, p in zip(scores, preds, strict=True)]
-            )
+                at = np.flatnonzero(counts)
+                logits = ((counts[at] / max(1, counts.sum())) @ model["embed"][at]) @ model["out"]
+                preds.append(model["langs"][int(logits.argmax())])
+                scores.append(float(_softmax(logits).max()))
+                accepted.append(_margin(logits) >= model["least"])
+            yield frame[["doc_id", "held_out"]].assign(lang_pred=preds, score=scores, accepted=accepted)
 
     return run
 
