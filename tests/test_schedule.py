@@ -149,3 +149,15 @@ def test_ticks_cross_piece_borders(spark, monkeypatch):
     df = spark.createDataFrame([(1, "@every 10 seconds"), (2, "@every 0 seconds"), (3, "@after 5 sec")], "chain_id int, run_at string")
     got = schedule.every_ticks(df, at("2024-01-01 00:00:00"), at("2024-01-01 00:05:05"))
     assert rows(got, "tick") == [(datetime(2024, 1, 1) + timedelta(seconds=10 * i),) for i in range(31)]
+
+
+def test_missed_stretches(spark):
+    """Met first and last instants, none met, all met, a log row off the schedule, one text for several chains."""
+    chains = spark.createDataFrame([(i, "*/15 0 * * *") for i in range(1, 6)] + [(9, "@reboot")], "chain_id int, run_at string")
+    log = spark.createDataFrame(
+        [(1, "2024-01-02 00:15:59"), (1, "2024-01-02 00:16:00"), (2, "2024-01-02 00:00:01"), (2, "2024-01-02 00:45:00"), (2, "2024-01-02 00:45:10"), (5, "2024-01-02 00:30:00")]
+        + [(3, f"2024-01-02 00:{m:02d}:00") for m in (0, 15, 30, 45)], "chain_id int, t string").selectExpr("chain_id", "CAST(t AS TIMESTAMP_NTZ) AS last_run")
+    got = schedule.missed_gaps(chains, log, F.lit("2024-01-01 23:59:00").cast("timestamp_ntz"), F.lit("2024-01-02 01:00:00").cast("timestamp_ntz"))
+    text = got.selectExpr("chain_id", "date_format(first_missed, 'mm') AS a", "date_format(last_missed, 'mm') AS b", "missed")
+    assert rows(text, "chain_id", "a", "b", "missed") == [
+        (1, "00", "00", 1), (1, "30", "45", 2), (2, "15", "30", 2), (4, "00", "45", 4), (5, "00", "15", 2), (5, "45", "45", 1)]

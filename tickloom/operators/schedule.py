@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import cron as C
 from tickloom.functions.binding import from_micros, micros
 from tickloom.operators import blocked
 from tickloom.operators.jobs import live_chains
-from tickloom.session import fits_broadcast
+from tickloom.session import cut_lineage, fits_broadcast
 
 TICKS_PER_ROW = 10_000
 MINUTE_US = 60_000_000
@@ -241,6 +241,34 @@ def missed_runs(
     return expected.join(started, [key, "run_ts"], "left_anti")
 
 
+def missed_gaps(
+    schedules: DataFrame, log: DataFrame, from_ts: Column, until: Column, key: str = "chain_id", run_at: str = "run_at"
+) -> DataFrame:
+    """Stretches of expected instants without a logged start: first and last of each, and how many.
+
+    Instants are numbered once per schedule text. A chain's stretches lie between the numbers of those it met, so
+    the rows are as many as met instants and chains, not as expected instants.
+    """
+    along = Window.partitionBy(run_at).orderBy("run_ts")
+    numbered = cut_lineage(cron_runs(schedules, from_ts, until, run_at).withColumn("n", F.row_number().over(along)))
+    minute = F.date_trunc("minute", F.col("last_run")).cast("timestamp_ntz")
+    met = (
+        log.select(key, minute.alias("run_ts")).distinct().join(schedules.select(key, run_at), key)
+        .join(numbered, [run_at, "run_ts"]).select(key, run_at, "n")
+    )
+    ends = numbered.groupBy(run_at).agg((F.max("n") + 1).alias("n"))
+    marks = met.unionByName(schedules.select(key, run_at).join(ends, run_at))
+    # A chain has one mark per met minute at most.
+    before = F.lag("n", 1, 0).over(Window.partitionBy(key).orderBy("n"))
+    gaps = marks.withColumn("before", before).where("n - before > 1").select(
+        key, run_at, (F.col("before") + 1).alias("first_n"), (F.col("n") - 1).alias("last_n"), (F.col("n") - F.col("before") - 1).cast("bigint").alias("missed")
+    )
+    for end in ("first", "last"):
+        instants = numbered.select(run_at, F.col("n").alias(f"{end}_n"), F.col("run_ts").alias(f"{end}_missed"))
+        gaps = gaps.join(instants, [run_at, f"{end}_n"])
+    return gaps.select(key, "first_missed", "last_missed", "missed")
+
+
 def missed_run_counts(
     schedules: DataFrame, log: DataFrame, from_ts: Column, until: Column, key: str = "chain_id", run_at: str = "run_at"
 ) -> DataFrame:

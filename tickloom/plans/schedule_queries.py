@@ -214,6 +214,23 @@ def c13(t):
     return schedule.missed_runs(t.chain, t.exec_log, at(ANCHOR), at("2024-01-16 00:00:00"))
 
 
+@query(
+    "c13_missed_gaps",
+    ctes(
+        "chain", "exec_log", **CRON, **day_ctes("2023-12-31", "2024-02-01"),
+        started="SELECT DISTINCT chain_id, date_trunc('minute', last_run) AS run_ts FROM exec_log",
+        x=f"""SELECT c.chain_id, r.run_ts, s.run_ts IS NULL AS missed, row_number() OVER (PARTITION BY c.chain_id ORDER BY r.run_ts) AS n
+        FROM chain c JOIN run r USING (run_at) LEFT JOIN started s ON s.chain_id = c.chain_id AND s.run_ts = r.run_ts
+        WHERE r.run_ts > TIMESTAMP '2023-12-31 23:59:00' AND r.run_ts <= TIMESTAMP '2024-02-01'""",
+        i="SELECT *, n - row_number() OVER (PARTITION BY chain_id ORDER BY n) AS stretch FROM x WHERE missed",
+    )
+    + "SELECT chain_id, min(run_ts) AS first_missed, max(run_ts) AS last_missed, count(*) AS missed FROM i GROUP BY chain_id, stretch",
+)
+def c13_gaps(t):
+    """All misses of the whole log, as stretches of instants one after the other."""
+    return schedule.missed_gaps(t.chain, t.exec_log, at("2023-12-31 23:59:00"), at("2024-02-01 00:00:00"))
+
+
 @query(
     "c13_missed_counts",
     ctes(
