@@ -300,29 +300,23 @@ def order_from_parents(tasks: DataFrame, heads: DataFrame) -> DataFrame:
         )
         .where(F.col("chain_id").isNotNull() | F.col("up").isNotNull())
     )
-    state, still_open = cut_and_count(state, F.col("chain_id").isNull())
-    before = None
-    # A round that settles no step proves that no step is further from a head: the rest are loops.
+    written, still_open = cut_and_count(state, F.col("chain_id").isNull())
+    is_open, before = F.col("chain_id").isNull(), None
+    settled, frontier = written.where(~is_open), written.where(is_open)
+    # A round writes the open steps only, settled or moved on. One that settles no step proves that none is
+    # further from a head: the rest are loops.
     while still_open and still_open != before:
         before = still_open
-        anchor = state.select(
+        anchor = settled.unionByName(frontier).select(
             F.col("task_id").alias("a_id"), F.col("up").alias("a_up"),
             F.col("hops").alias("a_hops"), F.col("chain_id").alias("a_chain"),
         )
-        moved = (
-            state.where("chain_id IS NULL")
-            .join(anchor, F.col("up") == F.col("a_id"))
-            .select(
-                "task_id", F.col("a_up").alias("up"),
-                (F.col("hops") + F.col("a_hops")).alias("hops"), F.col("a_chain").alias("chain_id"),
-            )
-        )
-        state, still_open = cut_and_count(
-            state.where("chain_id IS NOT NULL").unionByName(moved), F.col("chain_id").isNull()
+        moved = frontier.join(anchor, F.col("up") == F.col("a_id")).select(
+            "task_id", F.col("a_up").alias("up"), (F.col("hops") + F.col("a_hops")).alias("hops"), F.col("a_chain").alias("chain_id")
         )
-    return state.where("chain_id IS NOT NULL").select(
-        "task_id", "chain_id", (F.col("hops") + 1).cast("double").alias("task_order")
-    )
+        written, still_open = cut_and_count(moved, is_open)
+        settled, frontier = settled.unionByName(written.where(~is_open)), written.where(is_open)
+    return settled.select("task_id", "chain_id", (F.col("hops") + 1).cast("double").alias("task_order"))
 
 
 # --- rank, ids, snapshots ----------------------------------------------------
