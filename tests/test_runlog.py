@@ -1,5 +1,6 @@
 """Run-log operators against hand rows and brute force."""
 
+import bisect
 import random
 from datetime import datetime, timedelta
 
@@ -41,7 +42,7 @@ def test_retry_bounds_are_inclusive(spark):
         [(i, 1, "w", T0 + timedelta(seconds=s), -1) for i, s in enumerate(times)],
         "exec_id int, chain_id int, client_name string, finished timestamp, returncode int",
     )
-    got = {r.exec_id: (r.retries, r.delay_us) for r in runlog.retry_backoff(log, 3, 10, 300, block_seconds=300).collect()}
+    got = {r.exec_id: (r.retries, r.delay_us) for r in runlog.retry_backoff(log, 3, 10, 300).collect()}
     # at 310: 10 and 20 are in [10, 300]; at 1000 nothing is left
     assert got == {0: (0, 10_000_000), 1: (1, 20_000_000), 2: (2, 20_000_000), 3: (2, 580_000_000), 4: (0, 10_000_000)}
     stats = runlog.retry_statistics(log, F.lit(T0 + timedelta(seconds=310)), 300, 10).first()
@@ -115,7 +116,7 @@ def test_concurrency_and_overlaps_against_brute_force(spark):
         "chain_id bigint, txid bigint, client_name string, started timestamp, finished timestamp",
     )
     exclusive = spark.createDataFrame([(0, True), (1, False), (2, True)], "chain_id bigint, exclusive_execution boolean")
-    got = {r.txid: r.n_overlaps for r in runlog.exclusive_overlaps(runs, exclusive, block_seconds=1_000).collect()}
+    got = {r.txid: r.n_overlaps for r in runlog.exclusive_overlaps(runs, exclusive).collect()}
     want = {
         i: sum(1 for j, _, w2, s2, f2 in data if j != i and w2 == w and s2 < f and s < f2)
         for i, c, w, s, f in data if c in (0, 2)
@@ -127,6 +128,36 @@ def test_concurrency_and_overlaps_against_brute_force(spark):
         assert peaks[chain] == max(sum(1 for s2, f2 in mine if s2 <= s < f2) for s, _ in mine)
 
 
+def test_a_hot_key_and_hour_is_cut_by_rows(spark):
+    """90 % of the rows in one key and hour: no block holds much more than its share, and the figures are the plain ones.
+
+    So few rows would be one block; adaptive execution is kept from putting small ones together.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _hot_key_and_hour(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _hot_key_and_hour(spark):
+    rng = random.Random(11)
+    log = [(i, 1, "w", T0 + timedelta(seconds=rng.uniform(0, 3_600)), -1) for i in range(9_000)]
+    log += [(9_000 + i, rng.choice([1, 2, 3]), "w", T0 + timedelta(hours=rng.uniform(-20, 20)), -1) for i in range(1_000)]
+    df = spark.createDataFrame(log, "exec_id int, chain_id int, client_name string, finished timestamp, returncode int").repartition(6)
+    sizes = [r["count"] for r in blocked.placed(df, ["chain_id"], ["finished"]).groupBy("chain_id", "__at").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 2 * 10_000 / 8
+    got = {r.exec_id: r.retries for r in runlog.retry_backoff(df, 5, 2, 30).collect()}
+    times = {}
+    for i, chain, _, at, _ in log:
+        times.setdefault(chain, []).append(at)
+    for line in times.values():
+        line.sort()
+    for i, chain, _, at, _ in rng.sample(log, 500):
+        line = times[chain]
+        assert got[i] == bisect.bisect_right(line, at - timedelta(seconds=2)) - bisect.bisect_left(line, at - timedelta(seconds=30))
+
+
 def test_blocked_windows_equal_plain_ones(spark):
     rng = random.Random(3)
     data = [(rng.choice(["a", "a", "b", None]), i, rng.randrange(100)) for i in range(500)]

@@ -25,6 +25,16 @@ def time_block(ts: Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``__at``: blocks of about equal numbers of rows along (keys, order), cut by measure.
+
+    Rows are range-partitioned, and the partition is the block, fixed by writing it. So a key with a busy hour has many
+    blocks there, and a quiet one shares its block; adaptive execution puts small ones together up to its advisory size.
+    Rows of one key and order stay together.
+    """
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("__at", F.spark_partition_id()))
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on equal keys where NULL equals NULL; right columns named like the keys are dropped."""
     r = right.select(
@@ -79,6 +89,25 @@ def running_sums_upto(
     return d.select(*df.columns, *[upto(n, offset) for n, (_, offset) in values.items()])
 
 
+def running_sums_and_last(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], sums: dict[str, Column], last: tuple[str, Column]
+) -> DataFrame:
+    """``running_sums``, and under the name in ``last`` the largest value so far of its column, NULLs aside."""
+    name, value = last
+    d = df.withColumn(_BLOCK, block).withColumns({f"__v_{n}": v for n, v in sums.items()} | {"__v": value})
+    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    per_block = d.groupBy(*keys, _BLOCK).agg(F.max("__v").alias("__m"), *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums])
+    carries = per_block.select(
+        *keys, _BLOCK, F.max("__m").over(before).alias("__c"),
+        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
+    )
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _null_safe_join(d, carries, [*keys, _BLOCK]).select(
+        *df.columns, F.greatest("__c", F.max("__v").over(inside)).alias(name),
+        *[(F.col(f"__c_{n}") + F.sum(f"__v_{n}").over(inside)).alias(n) for n in sums],
+    )
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:

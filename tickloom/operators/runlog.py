@@ -205,40 +205,46 @@ def retry_statistics(log: DataFrame, now: Column, max_duration_s: int, min_wait_
     )
 
 
-def retry_backoff(
-    log: DataFrame, max_retries: int, min_wait_s: int, max_duration_s: int, block_seconds: int = 3600
-) -> DataFrame:
+def retry_backoff(log: DataFrame, max_retries: int, min_wait_s: int, max_duration_s: int) -> DataFrame:
     """Retry decision at each failure: how many failures lie in its window, and the delay to wait.
 
     No retry (NULL delay) once the window holds ``max_retries`` failures; else
     twice the time since the last one, or ``min_wait_s`` if there is none.
-    A failure is copied into every time block its window effect reaches, so
-    blocks are windowed independently and a hot chain spreads over blocks.
+    A failure is a mark on the time line of its chain and client, and asks at the two
+    ends of its window how many marks lie before and which is the last: running figures
+    over blocks of equal size, so that a hot chain or hour spreads.
     """
-    width = max(block_seconds, max_duration_s) * 1_000_000
     reach, wait = max_duration_s * 1_000_000, min_wait_s * 1_000_000
-    at = F.col("moment")
     failures = log.where("returncode <> 0").select("exec_id", "chain_id", "client_name", micros(F.col("finished")).alias("moment"))
-    copies = failures.withColumn("home", F.floor(at / width)).withColumn(
-        "block", F.explode(F.sequence(F.col("home"), F.floor((at + reach) / width)))
-    )
-    w = Window.partitionBy("chain_id", "client_name", "block").orderBy("moment").rangeBetween(-reach, -wait)
-    return (
-        copies.withColumn("retries", F.count(F.lit(1)).over(w))
-        .withColumn("last_at", F.max("moment").over(w))
-        .where(F.col("block") == F.col("home"))
-        .select(
-            "exec_id", "chain_id", "client_name", "retries",
-            F.when(F.col("retries") < max_retries, F.coalesce(2 * (at - F.col("last_at")), F.lit(wait)))
-            .cast("bigint").alias("delay_us"),
+    # At one instant: what the window's start leaves out (0), marks (1), what its end takes in (2).
+    points = F.explode(
+        F.array(
+            F.struct((F.col("moment") - reach).alias("us"), F.lit(0).alias("step")),
+            F.struct(F.col("moment").alias("us"), F.lit(1).alias("step")),
+            F.struct((F.col("moment") - wait).alias("us"), F.lit(2).alias("step")),
         )
     )
+    keys = ["chain_id", "client_name"]
+    line = blocked.placed(failures.select("exec_id", *keys, "moment", points.alias("p")).select("exec_id", *keys, "moment", "p.us", "p.step"), keys, ["us", "step"])
+    is_mark = F.col("step") == 1
+    found = blocked.running_sums_and_last(
+        line, keys, F.col("__at"), [F.col("us"), F.col("step")], {"upto": is_mark.cast("bigint")}, ("last_at", F.when(is_mark, F.col("us")))
+    )
+    upto = {step: F.max(F.when(F.col("step") == step, F.col("upto"))) for step in (0, 2)}
+    asked = found.where(~is_mark).groupBy("exec_id", *keys, "moment").agg(
+        (upto[2] - upto[0]).alias("retries"), F.max(F.when(F.col("step") == 2, F.col("last_at"))).alias("last_at")
+    )
+    last = F.when(F.col("retries") > 0, F.col("last_at"))
+    return asked.select(
+        "exec_id", *keys, "retries",
+        F.when(F.col("retries") < max_retries, F.coalesce(2 * (F.col("moment") - last), F.lit(wait))).cast("bigint").alias("delay_us"),
+    )
 
 
 # --- concurrency -------------------------------------------------------------
 
 
-def concurrency_profile(runs: DataFrame, key: str = "chain_id", block_seconds: int = 3_600) -> DataFrame:
+def concurrency_profile(runs: DataFrame, key: str = "chain_id") -> DataFrame:
     """Running instances per key after each instant at which one starts or finishes.
 
     Intervals are half-open: a finish and a start at one instant cancel out.
@@ -253,16 +259,15 @@ def concurrency_profile(runs: DataFrame, key: str = "chain_id", block_seconds: i
         ).alias("e"),
     )
     net = edges.groupBy(key, F.col("e.moment").alias("moment")).agg(F.sum("e.d").alias("d"))
-    return blocked.running_sum(
-        net, [key], blocked.time_block(F.col("moment"), block_seconds), [F.col("moment")], F.col("d"), "running"
-    ).drop("d")
+    line = blocked.placed(net, [key], ["moment"])
+    return blocked.running_sum(line, [key], F.col("__at"), [F.col("moment")], F.col("d"), "running").drop("d", "__at")
 
 
 def peak_concurrency(runs: DataFrame, key: str = "chain_id") -> DataFrame:
     return concurrency_profile(runs, key).groupBy(key).agg(F.max("running").alias("peak"))
 
 
-def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "client_name", block_seconds: int = 3_600) -> DataFrame:
+def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "client_name") -> DataFrame:
     """For each exclusive run, how many other runs of the same scheduler overlap it (0 = lock kept).
 
     Overlaps are counted, not paired up: runs that started before my finish,
@@ -285,10 +290,9 @@ def exclusive_overlaps(runs: DataFrame, exclusive: DataFrame, lock: str = "clien
         )
         .select("chain_id", "txid", lock, "mine", "e.us", "e.start")
     )
-    block = F.floor(F.col("us") / F.lit(block_seconds * 1_000_000))
-    start = F.col("start")
+    line, start = blocked.placed(edges, [lock], ["us"]), F.col("start")
     counted = blocked.running_sums_upto(
-        edges, [lock], block, F.col("us"), {"started_before": (start, -1), "finished_upto": (one - start, 0)}
+        line, [lock], F.col("__at"), F.col("us"), {"started_before": (start, -1), "finished_upto": (one - start, 0)}
     )
     before_finish = F.max(F.when(start == 0, F.col("started_before")))
     by_start = F.max(F.when(start == 1, F.col("finished_upto")))

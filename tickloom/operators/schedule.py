@@ -200,17 +200,14 @@ def every_ticks(schedules: DataFrame, anchor: Column, horizon: Column, key: str
     )
 
 
-def after_drift(runs: DataFrame, schedules: DataFrame, block_seconds: int = 3_600, key: str = "chain_id") -> DataFrame:
+def after_drift(runs: DataFrame, schedules: DataFrame, key: str = "chain_id") -> DataFrame:
     """Actual against expected start of @after schedules: previous *finish* plus the interval.
 
     ``runs`` has one row per run: key, run id ``txid``, ``started``, ``finished``.
     """
     waits = classes(schedules, key).where("schedule_class = 'after'").select(key, "interval_seconds")
-    mine = runs.join(waits, key)
-    with_prev = blocked.previous(
-        mine, [key], blocked.time_block(F.col("started"), block_seconds), ["started", "txid"],
-        {"prev_finished": F.col("finished")},
-    )
+    mine = blocked.placed(runs.join(waits, key), [key], ["started", "txid"])
+    with_prev = blocked.previous(mine, [key], F.col("__at"), ["started", "txid"], {"prev_finished": F.col("finished")})
     expected = micros(F.col("prev_finished")) + F.col("interval_seconds") * 1_000_000
     return with_prev.where(F.col("prev_finished").isNotNull()).select(
         key,
