@@ -59,7 +59,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     """Measure rows and bytes of at most ``max_rows + 1`` rows: a proven bound, at a bounded price."""
     width = F.lit(0)
     for name, kind in df.dtypes:
-        width = width + (F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind == "string" else F.lit(16))
+        held = F.lit(0)
+        if kind in ("string", "binary"):
+            held = F.octet_length(name)
+        elif kind.startswith(("array", "map", "struct", "variant")):
+            # No element of a nested value takes less text than this, or more memory than eight times as much.
+            held = 8 * F.octet_length(F.to_json(F.struct(name)))
+        width = width + F.coalesce(held, F.lit(0)) + 16
     size = df.select(width.cast("bigint").alias("w")).limit(max_rows + 1).agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("w"), F.lit(0)).alias("bytes")
     ).first()
