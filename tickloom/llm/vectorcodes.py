@@ -67,21 +67,20 @@ def integer_vectors(vectors: DataFrame, parts: int = PARTS, scale: int = SCALE)
 
 def _undominated(cells: np.ndarray, book: np.ndarray, bits: int) -> np.ndarray:
     """Per cell, one bit for each entry that no other one is nearer than in all of the cell's box."""
-    low = cells << bits
-    high = low + (1 << bits) - 1
+    # Twice the cells' centres, and twice their half widths, keep all in integers.
+    centre, width = (cells << bits) * 2 + (1 << bits) - 1, (1 << bits) - 1
     norm = (book * book).sum(1)
-    masks = np.zeros(len(cells), np.int64)
-    for e in range(len(book)):
-        dominated = np.zeros(len(cells), bool)
-        for f in range(len(book)):
-            if f == e:
-                continue
-            slope = 2 * (book[e] - book[f])
-            # The most by which f is farther than e anywhere in the box.
-            most = np.maximum(low * slope, high * slope).sum(1) + norm[f] - norm[e]
-            dominated |= most <= 0 if f < e else most < 0
-        masks |= (~dominated).astype(np.int64) << e
-    return masks
+    slope = 2 * (book[:, None] - book[None])
+    # Twice the most by which f is farther than e anywhere in the box: e by f along the last two axes.
+    fixed = width * np.abs(slope).sum(2) + 2 * (norm[None] - norm[:, None])
+    size = int(np.abs(centre).max(initial=0)) * int(np.abs(slope).max(initial=0)) * cells.shape[1] + int(np.abs(fixed).max(initial=0))
+    kind = np.float64 if size < 1 << 53 else np.int64  # exact either way; the product of floats is far quicker
+    e_f = slope.reshape(-1, cells.shape[1]).T.astype(kind)
+    most = (centre.astype(kind) @ e_f).reshape(len(cells), len(book), len(book)) + fixed.astype(kind)
+    index = np.arange(len(book))
+    nearer = (most < 0) | ((most == 0) & (index[None] < index[:, None]))
+    nearer[:, index, index] = False
+    return ((~nearer.any(2)).astype(np.int64) << index).sum(1)
 
 
 def nearest(points: np.ndarray, book: np.ndarray, memo: dict[bytes, int], bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray]:
