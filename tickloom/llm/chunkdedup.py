@@ -14,7 +14,9 @@ moves as a whole.
 
 Null text counts as empty; all empty texts form one group. Repeated rows are in
 one group and share their fate. Where all ids of a group are null, so is
-``keep_id``, and its rows are kept. An empty table gives no rows.
+``keep_id``, and its rows are kept. Rows that share the largest id of a group all
+stay. Texts of any length are cut whole. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,9 @@ toxic 0; four fifths of them train, the rest sets the thresholds.
 
 Null or empty text has no perplexity and is rejected. With nothing to train on
 everything else is kept. A null language is a language of its own. Rows that
-repeat a doc_id and text give one row. Byte zero in a text counts as padding.
+repeat a doc_id and text give one row. Byte zero in a text counts as padding. Texts
+of any length are scored whole; an entropy equal to the limit is kept. An empty table
+gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ state. Identity of keys is their SHA-256.
 
 Null or empty text is one empty line. Rows that repeat a doc_id are one
 document for the counts. A document with a null id neither counts nor loses
-lines. An empty table leaves an empty store.
+lines. Texts of any length are split whole. Of documents that tie for the largest id
+all keep their lines. An empty table leaves an empty store. Other columns are ignored.
 """
 
 from __future__ import annotations

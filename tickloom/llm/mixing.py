@@ -13,8 +13,10 @@ task. Documents meet it only through a join; their own order is found per
 (source, slice of the seeded order), so a source with most rows is split.
 
 Null text has size 0; a null source is a source of its own, the last one. Empty
-tables give no rows. Repeated rows are documents of their own. Columns other
-than the named ones are left out unless asked for.
+tables give no rows. Repeated rows are documents of their own. Texts of any length
+are counted whole. Sources of equal quotients go by code point, documents of equal
+seeded order by id and size. Columns other than the named ones are left out unless
+asked for, and may have any names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ is found in cells, so a shard is never one task's work.
 
 Only block counts (at most ``MOST_BLOCKS``) reach the driver. Null text has
 size 1 and CRC 0. Rows with a null or repeated id are ordinary rows, but lie in
-one block. An empty table gives no rows.
+one block. Texts of any length are measured whole; rows that tie in every hash go by
+size and CRC. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ contractions, written to the shared folder each round.
 
 Null, empty or blank text has fingerprint zero and is linked like any other.
 Repeated rows share a fingerprint. A null id is never a component's smallest
-unless all ids are null. An empty table gives no rows.
+unless all ids are null. Texts of any length are read whole, slice by slice. A bit
+set in exactly half the hashes is 0. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations

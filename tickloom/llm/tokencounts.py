@@ -10,7 +10,8 @@ tokenizer. Spark commits an append as a whole; two jobs that append the same
 text at once store one count twice, which reading folds.
 
 Equal texts are encoded once, however many there are. An empty table appends
-nothing. Repeated rows each get their count.
+nothing. Repeated rows each get their count. Texts of any length are encoded whole,
+a very long one by itself. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ both of bounded size. Each task gives its best k per query, and these are merged
 
 Vectors that are null or hold null or non-finite components take no part; a
 shorter vector counts as padded with zeros. A candidate with the query's id is
-the query itself. Repeated query rows are asked once. Empty tables give no rows.
+the query itself. Repeated query rows are asked once; two different vectors under one
+id in the queries share that id's list. Other columns are ignored. Empty tables give no rows.
 Components are whole numbers once quantised; sums beyond 2^63 are not supported.
 """
 
