@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -218,12 +219,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_
     """(doc_id, ids, ids_le): the ids as an array and as little-endian 32-bit integers."""
     ship_by_value(__name__)
     words = frequent_words(docs, pattern, cached)
-    table = words.select("word", folded_ids(F.col("word"), read_ranks(ranks_path)).alias("ids")).toArrow()
-    folded = {}
-    for batch in table.to_batches():
-        folded.update((w.as_py(), np.array(i.as_py(), "<u4").tobytes()) for w, i in zip(batch["word"], batch["ids"], strict=True))
-    del table
+    folded: dict[str, bytes] = {}
+    for batch in words.select("word", folded_ids(F.col("word"), read_ranks(ranks_path)).alias("ids")).toArrow().to_batches():
+        ids = batch["ids"]
+        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(ids.value_lengths().to_numpy()) * 4
+        starts = np.concatenate([[0], ends[:-1]])
+        folded.update((w, flat[i:j]) for w, i, j in zip(batch["word"].to_pylist(), starts.tolist(), ends.tolist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(folded)
+    # The driver keeps nothing of the table: its memory goes back before the documents are read.
+    del folded
+    pa.default_memory_pool().release_unused()
     rows = docs.select(id_text(), "text").mapInPandas(_encoder(pattern, ranks_path, shared), ENCODED)
     return rows.select(id_back(), "ids", "ids_le")
 
