@@ -13,7 +13,7 @@ from tickloom.functions import jsonfn
 from tickloom.functions.cron import flags_to_cron
 from tickloom.session import work_dir
 from tickloom.sources import transfer
-from tickloom.sources.entries import read_entries
+from tickloom.sources.entries import read_entries, read_flushes
 from tickloom.streaming import runs, signals
 
 MESSAGES = [
@@ -181,6 +181,35 @@ def test_entries_flush_by_size_or_time_and_go_on(spark):
     assert sorted(r.id for r in spark.read.parquet(base).collect()) == list(range(165))
 
 
+def test_full_flushes_share_a_trigger(spark):
+    """All flushes that are full go in one trigger, numbered on over files, row groups, triggers and runs; a rest goes after the time."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder, base = work_dir(spark, "test-flushes"), work_dir(spark, "test-flushes-out")
+    os.makedirs(folder)
+
+    def run():
+        sizes = []
+        stream = read_flushes(spark, folder, spark.range(0).schema, rows=4, seconds=0.3)
+        query = stream.writeStream.foreachBatch(lambda b, i: (sizes.append(b.count()), b.write.mode("overwrite").parquet(f"{base}/batch={i}"))).option("checkpointLocation", f"{base}-state").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sizes
+
+    pq.write_table(pa.table({"id": list(range(7))}), f"{folder}/a.parquet", row_group_size=3)
+    pq.write_table(pa.table({"id": list(range(7, 15))}), f"{folder}/b.parquet", row_group_size=5)
+    assert run() == [12, 3]
+    pq.write_table(pa.table({"id": list(range(15, 25))}), f"{folder}/c.parquet")
+    assert run() == [8, 2]
+    want = [(i, i // 4) for i in range(15)] + [(i, 4 + (i - 15) // 4) for i in range(15, 25)]
+    assert rows(spark.read.parquet(base), "id", "flush") == sorted(want, key=repr)
+
+
 def test_log_policy(spark):
     log = spark.createDataFrame([(0, False, " x "), (-1, True, ""), (-1, False, "  "), (-1, None, "y")], "returncode int, ignore_error boolean, output string")
     assert transfer.keep_by_policy(log, "none").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import text
 from tickloom.session import work_dir
+from tickloom.sources.entries import FLUSH
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -84,10 +85,11 @@ def with_rocksdb(spark, run, no_data_batches: bool = False):
 
 
 def stored_log(entries: DataFrame, threshold: str) -> DataFrame:
-    """Log entries (ts, client_name, pid, level, message, data) above a threshold, in stored form."""
+    """Log entries (ts, client_name, pid, level, message, data) above a threshold, in stored form, with their flush if they have one."""
     level = F.col("level")
     return entries.where(text.level_kept(level, threshold)).select(
-        "ts", "client_name", "pid", text.stored_level(level).alias("log_level"), "message", F.col("data").alias("message_data")
+        "ts", "client_name", "pid", text.stored_level(level).alias("log_level"), "message", F.col("data").alias("message_data"),
+        *[c for c in entries.columns if c == FLUSH],
     )
 
 
