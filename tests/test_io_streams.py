@@ -3,8 +3,10 @@
 import json
 import tempfile
 import time
+import types
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -73,6 +75,42 @@ def test_signals_are_forgotten(spark):
     assert runs.with_rocksdb(spark, lambda: handled(timedelta(hours=1), 0)) == 1
 
 
+class _List:
+    """A list state that counts what is asked of it."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.values)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.values)
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.values.append(value)
+
+
+def test_state_is_asked_once_for_many_signals():
+    """A part's signals of a trigger are handled together, whatever their number; those of earlier triggers stay out, nulls too."""
+    state = _List()
+    unseen = signals._Unseen(timedelta(minutes=1))
+    unseen.init(types.SimpleNamespace(getListState=lambda *_: state))
+
+    def trigger(*signals_):
+        frame = pd.DataFrame(signals_, columns=signals.SIGNAL_KEY, dtype=object)
+        state.calls = 0
+        return [tuple(r) for out in unseen.handleInputRows((0,), iter([frame[:2], frame[2:]]), None) for r in out.itertuples(index=False)]
+
+    first = [(str(i), "START", str(2**60 + i), "0") for i in range(3_000)]
+    assert trigger(*first, first[7], first[0]) == first and state.calls <= 3
+    assert trigger(first[5], (None, "STOP", "1", None), first[0], (None, "STOP", "1", None)) == [(None, "STOP", "1", None)]
+    assert trigger(first[9], (None, "STOP", "1", None)) == [] and state.calls <= 3
+
+
 def test_starts_wait_for_their_time_and_are_cancelled(spark):
     """Over three triggers of one query: due at once, cancelled before, while waiting and after, and fired by the clock."""
     folder, base = work_dir(spark, "test-delay"), work_dir(spark, "test-delay-state")

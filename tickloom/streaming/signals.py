@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,8 @@ ship_by_value(__name__)
 SIGNAL_TTL = timedelta(seconds=60)
 COMMANDS = ("START", "STOP")
 SIGNAL_KEY = ["config_id", "command", "signal_ts", "delay"]
+#: State of the signals handled is kept in so many parts, by the hash of a signal.
+PARTS = 1_024
 
 
 def parse_signals(messages: DataFrame, payload: str = "payload") -> DataFrame:
@@ -72,21 +75,35 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull())
 
 
+def _packed(frame: pd.DataFrame) -> bytes:
+    batch, out = pa.RecordBatch.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(value)).read_pandas()
+
+
 class _Unseen(StatefulProcessor):
-    """State of one signal: a mark that it has been handled, which expires by itself."""
+    """State of a part of the signals: a table for each trigger of those first handled in it, which expires by itself."""
 
     def __init__(self, remembered: timedelta) -> None:
         self.remembered_ms = int(remembered.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handled = handle.getValueState("handled", "yes boolean", self.remembered_ms)
+        self.handled = handle.getListState("handled", "signals binary", self.remembered_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for _ in rows:
-            pass
-        if not self.handled.exists():
-            self.handled.update((True,))
-            yield pd.DataFrame([key], columns=SIGNAL_KEY)
+        came = pd.concat([frame[SIGNAL_KEY].drop_duplicates() for frame in rows]).drop_duplicates()
+        if self.handled.exists():
+            before = pd.concat([_unpacked(value) for (value,) in self.handled.get()])
+            both = came.merge(before, "left", SIGNAL_KEY, indicator="known")
+            came = both.loc[both["known"] == "left_only", SIGNAL_KEY]
+        if len(came):
+            self.handled.appendValue((_packed(came),))
+            yield came
 
     def close(self) -> None:
         pass
@@ -97,18 +114,21 @@ def dedup_signals(signals: DataFrame, remembered: timedelta = SIGNAL_TTL) -> Dat
 
     What counts is when a signal comes in, not the time it bears: none is ever too
     late. A handled signal is forgotten after ``remembered``, and handled again if
-    it comes once more. A batch comes in at one moment. On a stream the state is a
-    mark per signal, so a chain that gets a third of all signals spreads out; it
-    needs the RocksDB state store.
+    it comes once more. A batch comes in at one moment. On a stream the state lies in
+    parts by the signal's hash, so a chain that gets a third of all signals spreads
+    out; a trigger meets a part's signals all at once. It needs the RocksDB state store.
     """
     if not signals.isStreaming:
         return signals.select(*SIGNAL_KEY).distinct()
-    return signals.select(*SIGNAL_KEY).groupBy(*SIGNAL_KEY).transformWithStateInPandas(
+    # As text: pandas would turn a column of integers with a null into floats.
+    text = signals.select(*[F.col(c).cast("string").alias(c) for c in SIGNAL_KEY])
+    fresh = text.withColumn("__part", F.pmod(F.xxhash64(*SIGNAL_KEY), F.lit(PARTS))).groupBy("__part").transformWithStateInPandas(
         statefulProcessor=_Unseen(remembered),
-        outputStructType="config_id bigint, command string, signal_ts bigint, delay bigint",
+        outputStructType="config_id string, command string, signal_ts string, delay string",
         outputMode="append",
         timeMode="processingTime",
     )
+    return fresh.select(*[F.col(c).cast("string" if c == "command" else "bigint").alias(c) for c in SIGNAL_KEY])
 
 
 class _DelayedStarts(StatefulProcessor):
@@ -120,38 +140,47 @@ class _DelayedStarts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "signal_ts bigint, effective_ts bigint", "n int")
-        self.stops = handle.getMapState("stops", "signal_ts bigint", "yes boolean", self.remembered_ms)
+        self.stops = handle.getListState("stops", "times binary", self.remembered_ms)
 
     def _started(self, key, starts) -> pd.DataFrame:
         return pd.DataFrame([(int(key[0]), ts, at) for ts, at in sorted(starts)], columns=["config_id", "signal_ts", "effective_ts"])
 
+    def _stops(self, came: np.ndarray) -> np.ndarray:
+        """The STOP times that came now, which are remembered from here on, and those still remembered, in order."""
+        parts = [came]
+        if self.stops.exists():
+            parts += [np.frombuffer(bytes(value), np.int64) for (value,) in self.stops.get()]
+        if len(came):
+            self.stops.appendValue((came.tobytes(),))
+        return np.unique(np.concatenate(parts))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        signals = pd.concat(list(rows))
-        for ts in signals.loc[signals["command"] == "STOP", "signal_ts"]:
-            self.stops.updateValue((int(ts),), (True,))
-        stops = sorted(k[0] for k in self.stops.keys())
-        came = signals.loc[signals["command"] == "START", ["signal_ts", "delay"]]
-        fresh = {(int(ts), int(ts) + int(delay)) for ts, delay in came.itertuples(index=False)}
-        waiting = {(k[0], k[1]) for k in self.waiting.keys()}
+        signals = pd.concat([frame[["command", "signal_ts", "delay"]].drop_duplicates() for frame in rows])
+        stops = self._stops(np.unique(signals.loc[signals["command"] == "STOP", "signal_ts"].to_numpy(np.int64)))
+        came = signals.loc[signals["command"] == "START", ["signal_ts", "delay"]].astype("int64")
+        came["effective_ts"] = came["signal_ts"] + came["delay"]
+        if ((came["effective_ts"] < came["signal_ts"]) != (came["delay"] < 0)).any():
+            raise OverflowError(f"a delay of chain {key[0]} ends beyond the times there are")
+        fresh = came[["signal_ts", "effective_ts"]].drop_duplicates().sort_values(["signal_ts", "effective_ts"])
+
+        def stopped(ts: np.ndarray, at: np.ndarray) -> np.ndarray:
+            after = np.searchsorted(stops, ts)
+            return (after < len(stops)) & (np.append(stops, 0)[after] <= at)
 
-        def stopped(start: tuple[int, int]) -> bool:
-            after = bisect.bisect_left(stops, start[0])
-            return after < len(stops) and stops[after] <= start[1]
-
-        for start in waiting:
-            if stopped(start):
-                self.waiting.removeKey(start)
-        now_ms, due = timerValues.getCurrentProcessingTimeInMs(), []
-        for start in fresh - waiting:
-            if stopped(start):
-                continue
-            if start[1] * 1000 <= now_ms:
-                due.append(start)
-            else:
-                self.waiting.updateValue(start, (1,))
-                self.handle.registerTimer(start[1] * 1000)
-        if due:
-            yield self._started(key, due)
+        waiting = {(k[0], k[1]) for k in self.waiting.keys()}
+        held = np.array(sorted(waiting), np.int64).reshape(-1, 2)
+        for start in held[stopped(*held.T)].tolist():
+            self.waiting.removeKey(tuple(start))
+        fresh = fresh[~stopped(fresh["signal_ts"].to_numpy(), fresh["effective_ts"].to_numpy())]
+        is_due = fresh["effective_ts"] <= timerValues.getCurrentProcessingTimeInMs() // 1000
+        due = fresh[is_due]
+        if waiting:
+            due = due[[start not in waiting for start in due.itertuples(index=False, name=None)]]
+        for start in set(fresh[~is_due].itertuples(index=False, name=None)) - waiting:
+            self.waiting.updateValue(start, (1,))
+            self.handle.registerTimer(start[1] * 1000)
+        if len(due):
+            yield due.assign(config_id=int(key[0]))[["config_id", "signal_ts", "effective_ts"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = [(k[0], k[1]) for k in self.waiting.keys() if k[1] * 1000 <= expiredTimerInfo.getExpiryTimeInMs()]
