@@ -4,6 +4,7 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tickloom.operators import bulk, definitions
 from tickloom.operators.bulk import JobTables
@@ -78,3 +79,22 @@ def test_older_tables(spark):
     assert rows(out.task, "task_id", "chain_id", "task_order", "database_connection", "run_as", "autonomous") == [
         (1, 100, 1.0, "host=five", "ann", False), (2, 100, 2.0, None, None, True), (3, 100, 3.0, None, None, False), (8, None, None, None, None, False)]
     assert rows(out.parameter, "task_id", "order_id", "value") == [(1, 1, "[1]"), (3, 2, None)]
+
+
+def test_documents_are_read_once_by_several_tasks(spark):
+    """A single file's documents are dealt out before they are parsed, and no table of the load reads them again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    one = '{"chains":[{"name":"n%d","tasks":[{"command":"SELECT 1","parameters":[1]}]}]}'
+    documents = spark.createDataFrame([(i, one % i) for i in range(40)], "k bigint, doc string").coalesce(1).select("k", counted.asNondeterministic()("doc").alias("doc"))
+    tables = JobTables(
+        spark.createDataFrame([], "chain_id bigint, chain_name string"), spark.createDataFrame([], "task_id bigint"), None
+    )
+    load = definitions.load_definitions(documents, "k", "doc", tables)
+    assert (load.new.chain.count(), load.new.task.count(), load.new.parameter.count(), load.refused.count()) == (40, 40, 40, 0)
+    assert seen.value == 40
