@@ -8,8 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
+from pyspark.core.broadcast import Broadcast
 import tiktoken
 import xxhash
 from conftest import rows
@@ -17,7 +19,7 @@ from odd_rows import edge, edge_rows, empty  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, chunkdedup, kneserney, langid, lines, mixing, sharding, similar, simhash, tokencounts, topk
+from tickloom.llm import bpe, chunkdedup, common, kneserney, langid, lines, mixing, sharding, similar, simhash, tokencounts, topk
 from tickloom.llm.cuckoo import Cuckoo
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -565,3 +567,14 @@ def test_cuckoo_filter_holds_and_forgets():
     full = Cuckoo.sized(100)
     left = full.add(hashes[:2_000])
     assert len(left) and full.contains(np.setdiff1d(hashes[:2_000], left)).all()
+
+
+
+def test_workers_and_driver_return_memory(spark, monkeypatch):
+    returned, gone = [], []
+    monkeypatch.setattr(common, "release_memory", lambda: returned.append(1))
+    assert [len(x) for x in common.returning(lambda frames: frames)(iter([[1], [1, 2]]))] == [1, 2] and returned == [1]
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: gone.append(self))
+    docs = spark.createDataFrame([(1, "abcab", "en", "train")], "doc_id long, text string, lang string, role string")
+    model = kneserney.log_probabilities(kneserney.gram_counts(docs, 2), 2)
+    assert kneserney.scores(docs, model, 2, 3).count() == 1 and len(gone) > 1

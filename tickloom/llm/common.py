@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import fits_broadcast, work_dir
+from tickloom.session import fits_broadcast, ship_by_value, work_dir
 
 #: Columns of a documents table, in order.
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,3 +50,21 @@ def id_back(name: str = "doc_id") -> Column:
 
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def release_memory() -> None:
+    """Give memory that Arrow and the C library hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def returning(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
+    """``work`` for ``mapInPandas``; after it, the worker, which waits for more tasks, returns the memory that it used."""
+    ship_by_value(__name__)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from work(frames)
+        release_memory()
+
+    return run

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import DOCUMENT, id_back, id_text, small, whole_text, written
+from tickloom.llm.common import DOCUMENT, id_back, id_text, release_memory, returning, small, whole_text, written
 from tickloom.session import ship_by_value
 
 ORDER, TRAIN_OF = 5, 5
@@ -91,8 +91,13 @@ def pieces(texts, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def _merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+    keys, n = np.concatenate(parts), np.concatenate(counts)
+    parts.clear()
+    counts.clear()
+    by = np.argsort(keys)
+    keys, n = keys[by], n[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def _grams(order: int):
@@ -121,7 +126,7 @@ def _grams(order: int):
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, c): every n-gram of ``rows`` (text, role), and how often training text has it."""
     ship_by_value(__name__)
-    return rows.select("text", "role").mapInPandas(_grams(order), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return rows.select("text", "role").mapInPandas(returning(_grams(order)), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _suffix(order: int) -> Column:
@@ -198,14 +203,19 @@ def scores(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: in
         id_text(), F.xxhash64("text").alias("text_hash"), "lang", "role", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "text"
     )
     kinds = "doc_id string, text_hash bigint, lang string, role string, n_bytes bigint, lp double"
-    parts = []
+    parts, shards = [], []
     for k in range(n):
-        shared = spark.sparkContext.broadcast(_sorted_shard(model.where(shard == k)))
-        parts.append(texts.mapInPandas(_scorer(shared, order), kinds).dropDuplicates(["doc_id", "text_hash", "lang"]))
+        shards.append(spark.sparkContext.broadcast(_sorted_shard(model.where(shard == k))))
+        parts.append(texts.mapInPandas(returning(_scorer(shards[-1], order)), kinds).dropDuplicates(["doc_id", "text_hash", "lang"]))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy(id_back(), "text_hash", "lang", "role", "n_bytes").agg(F.sum("lp").alias("lp"))
+    scored = written(every.groupBy(id_back(), "text_hash", "lang", "role", "n_bytes").agg(F.sum("lp").alias("lp")), "scores")
+    # Nothing reads the model after this: its memory goes back on the executors and on the driver.
+    for shared in shards:
+        shared.destroy()
+    release_memory()
+    return scored
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, pooled: float = POOLED) -> DataFrame:
@@ -242,7 +252,7 @@ def classify(
     rows = with_role(docs, labels)
     table = written(gram_counts(rows, order), "gram-counts")
     model = written(log_probabilities(table, order), "gram-probabilities")
-    scored = written(scores(rows, model, order, shard_rows), "scores")
+    scored = scores(rows, model, order, shard_rows)
     mean = scored.where("role = 'calibrate' AND n_bytes > 0").agg((-F.sum("lp") / F.sum("n_bytes")).alias("m")).first()["m"]
     drawn = (-F.col("lp") + PRIOR_BYTES * (mean or 0.0)) / (F.col("n_bytes") + (PRIOR_BYTES if mean else 0))
     scored = scored.withColumn("entropy", F.when(F.col("n_bytes") > 0, drawn))
