@@ -570,6 +570,33 @@ def test_cuckoo_filter_holds_and_forgets():
 
 
 
+def test_segments_within_one_bit_meet_in_trees_of_their_own_vantage_points(spark):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 256, (400, 32), np.uint8)
+    near = base.copy()
+    near[:, 7] ^= np.uint8(16)
+    fps = sorted({x.tobytes() for x in np.concatenate([base, near])})
+    trees = similar.vantage_trees(spark.createDataFrame([(bytearray(f),) for f in fps], "fp binary"), 3, sample=300)
+    assert all(len(points) == len(radii) == 7 and len(set(points.tolist())) > 3 for points, radii in trees)
+    placed = pd.concat(similar._placer(trees)(iter([pd.DataFrame({"fp": fps})])))
+    assert placed["leaf"].between(0, 7).all() and placed["leaf"].nunique() > 4
+    wide = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, 32)
+    for t, own in enumerate(similar.segments(wide)):
+        leaves = defaultdict(set)
+        for r in placed[placed["tree"] == t].itertuples():
+            leaves[r.fp].add(r.leaf)
+        i, j = np.nonzero(np.bitwise_count(own[:, None] ^ own) <= 1)
+        assert all(leaves[fps[a]] & leaves[fps[b]] for a, b in zip(i, j, strict=True))
+
+
+def test_buckets_of_a_leaf_find_every_pair_within_one_bit():
+    for values in (np.arange(3000), np.random.default_rng(1).choice(1 << 18, 4000, False), np.zeros(0, np.int64), 1 << np.arange(18)):
+        i, j = similar._close(values)
+        a, b = np.nonzero(np.bitwise_count(values[:, None] ^ values) == 1)
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted((x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < y)
+    assert max(map(len, similar._buckets(np.random.default_rng(2).choice(1 << 18, 4000, False)))) <= similar.BUCKET
+
+
 def test_workers_and_driver_return_memory(spark, monkeypatch):
     returned, gone = [], []
     monkeypatch.setattr(common, "release_memory", lambda: returned.append(1))
