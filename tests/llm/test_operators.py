@@ -569,6 +569,19 @@ def test_cuckoo_filter_holds_and_forgets():
     assert len(left) and full.contains(np.setdiff1d(hashes[:2_000], left)).all()
 
 
+def test_merges_fold_as_encode_word():
+    draw, ranks = random.Random(8), {bytes([b]): b for b in range(256)}
+    parts = [b"a", b"b", b"c"]
+    while len(ranks) < 330:  # ranks in no order of making
+        piece = draw.choice(parts) + draw.choice(parts)
+        if piece not in ranks:
+            parts.append(piece)
+            ranks[piece] = 256 + 1000 * draw.randint(0, 50) + len(ranks)
+    words = [bytes(draw.choices(b"abc\x00\xff", (9, 9, 9, 1, 1), k=draw.randint(1, 150))) for _ in range(600)] + [b"", *parts]
+    want = [np.array(bpe.encode_word(w, ranks), "<u4").tobytes() for w in words]
+    assert bpe.Merges(ranks).fold(words) == want
+    assert bpe.Merges(ranks).fold([]) == []
+
 
 def test_segments_within_one_bit_meet_in_trees_of_their_own_vantage_points(spark):
     draw = np.random.default_rng(5)

@@ -10,7 +10,8 @@ ranks would read through half of it.
 The folded words are a table of proven size (``CACHED_WORDS`` rows of at most
 ``CACHED_BYTES`` bytes), so they are broadcast: all words that occur at least so
 often that no more have. Tasks take them from there and fold by the same rule
-what is rarer or longer; a worker remembers up to twice ``REMEMBERED_WORDS`` of
+what is rarer or longer, all such words of a slice of texts at once (``Merges``);
+a worker remembers up to twice ``REMEMBERED_WORDS`` of
 these, from one task to the next. Words of over ``SCANNED_BYTES`` go through a
 heap, so they take time near their length.
 Ids thus never depend on what is in the cache, and no text moves.
@@ -34,19 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import bound_once, id_back, id_text, whole_text, written
+from tickloom.llm.common import bound_once, id_back, id_text, release_memory, returning, whole_text, written
 from tickloom.session import ship_by_value
 
 CACHED_WORDS, CACHED_BYTES, REMEMBERED_WORDS = 100_000, 32, 100_000
 #: Words up to this length are folded by scanning their pairs. Characters encoded at once: what bounds a task's memory.
 SCANNED_BYTES, SLICE_CHARS = 128, 2_000_000
 BUCKETS = 16_384
+#: Bytes of the words that are folded at once; a rank beyond all others.
+_CELLS, _NO_RANK = 500_000, (1 << 31) - 1
 ENCODED = "doc_id string, ids array<int>, ids_le binary"
 
 
@@ -154,6 +156,84 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Merges:
+    """The fold of ``encode_word`` for many words at once: a matrix row per word, and a merge per row and step."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        joined = [
+            (left << 32 | right, rank) for piece, rank in ranks.items() for k in range(1, len(piece))
+            if (left := ranks.get(piece[:k])) is not None and (right := ranks.get(piece[k:])) is not None
+        ]
+        table = np.array(sorted(joined), np.int64).reshape(-1, 2)
+        self.pairs, self.whole = np.append(table[:, 0], -1), np.append(table[:, 1], _NO_RANK).astype(np.int32)
+        self.byte = np.array([ranks.get(bytes([b]), _NO_RANK) for b in range(256)], np.int32)
+        every = np.arange(256)
+        self.bytes = self._joined(np.repeat(self.byte[every], 256), np.tile(self.byte[every], 256))
+        # A rank stands for its piece, and every byte is one.
+        self.plain = len(set(ranks.values())) == len(ranks) and self.byte.max() < _NO_RANK
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what two neighbours make, or ``_NO_RANK``."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs[:-1], pair)
+        return np.where(self.pairs[at] == pair, self.whole[at], np.int32(_NO_RANK))
+
+    def _rows(self, words: list[bytes]) -> list[bytes]:
+        size = np.array([len(w) for w in words])
+        n, width = len(words), int(size.max())
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width).astype(np.int32)
+        inside = np.arange(width) < size[:, None]
+        parts = np.where(inside, self.byte[raw], _NO_RANK).ravel()
+        pairs = np.full((n, width), _NO_RANK, np.int32)
+        pairs[:, :-1] = np.where(inside[:, 1:], self.bytes[raw[:, :-1] * 256 + raw[:, 1:]], _NO_RANK)
+        flat, rows = pairs.ravel(), np.arange(n)
+        # Where the next and the former part of a row begin; a row's end is beyond its last part.
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        end, start = np.arange(n) * width + size, np.arange(n) * width
+        while len(rows):
+            now = pairs[rows]
+            best = now.argmin(axis=1)
+            going = now[np.arange(len(rows)), best] < _NO_RANK
+            rows = rows[going]
+            at = rows * width + best[going]
+            gone = after[at]
+            parts[at], parts[gone], flat[gone] = flat[at], _NO_RANK, _NO_RANK
+            follows = after[at] = after[gone]
+            more = follows < end[rows]
+            before[follows[more]] = at[more]
+            flat[at] = _NO_RANK
+            flat[at[more]] = self._joined(parts[at[more]], parts[follows[more]])
+            less = at > start[rows]
+            former, here = before[at[less]], at[less]
+            flat[former] = self._joined(parts[former], parts[here])
+        held = parts != _NO_RANK
+        ids, ends = parts[held].astype("<u4").tobytes(), (np.cumsum(held.reshape(n, width).sum(axis=1)) * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+
+    def fold(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        scanned = []
+        for k, word in enumerate(words):
+            if word in self.ranks or len(word) > SCANNED_BYTES or not self.plain:
+                out[k] = _packed(encode_word(word, self.ranks))
+            else:
+                scanned.append(k)
+        scanned.sort(key=lambda k: len(words[k]), reverse=True)
+        begin = 0
+        while begin < len(scanned):
+            part = scanned[begin : begin + max(1, _CELLS // max(1, len(words[scanned[begin]])))]
+            for k, ids in zip(part, self._rows([words[k] for k in part]), strict=True):
+                out[k] = ids
+            begin += len(part)
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Runs of rows with about ``SLICE_CHARS`` characters each."""
     upto = frame["text"].str.len().fillna(0).cumsum()
@@ -180,39 +260,46 @@ class _Remembered:
         self.new[word] = ids
 
 
-def _of_worker(path: str) -> _Remembered:
-    """What this worker remembers for a rank file, from one task to the next."""
-    # This module comes anew with each task, so the words are kept under a name of their own.
+def _of_worker(path: str) -> tuple[_Remembered, Merges]:
+    """What this worker keeps for a rank file from one task to the next: words folded before, and the merges."""
+    # This module comes anew with each task, so both are kept under a name of their own.
     kept = sys.modules.setdefault("_tickloom_folded_words", types.ModuleType("_tickloom_folded_words")).__dict__
     version = f"{path} {os.stat(path).st_mtime_ns}"
     if version not in kept:
-        kept[version] = _Remembered()
+        kept[version] = _Remembered(), Merges(read_ranks(path))
     return kept[version]
 
 
 def _encoder(pattern: str, path: str, shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks, split = read_ranks(path), regex.compile(pattern)
-        known, own = shared.value, _of_worker(path)
-
-        def fold(word: str) -> bytes:
-            if (found := own.get(word)) is None:
-                found = struct.pack(f"<{len(ids := encode_word(word.encode(), ranks))}I", *ids)
+        split, known, (own, merges) = regex.compile(pattern), shared.value, _of_worker(path)
+
+        def folded(words: set[str]) -> dict[str, bytes]:
+            """The ids of those of ``words`` that are not shared, by one fold of those not remembered."""
+            rare = {w: own.get(w) for w in words if w not in known}
+            new = [w for w, ids in rare.items() if ids is None]
+            for word, ids in zip(new, merges.fold([w.encode() for w in new]), strict=True):
+                rare[word] = ids
                 if len(word) <= SCANNED_BYTES:
-                    own.keep(word, found)
-            return found
+                    own.keep(word, ids)
+            return rare
+
+        def long(text: str) -> bytes:
+            # No list of all words is made of a long text.
+            found = (m[0] for m in split.finditer(text))
+            return b"".join([known.get(w) or folded({w})[w] for w in found])
 
-        def encoded(text: str) -> bytes:
-            # A list of all words is made of short texts only.
-            words = split.findall(text) if len(text) < SLICE_CHARS else (m[0] for m in split.finditer(text))
-            return b"".join([known.get(w) or fold(w) for w in words])
+        def encoded(texts: list[str]) -> list[bytes]:
+            words = [split.findall(t) if len(t) < SLICE_CHARS else None for t in texts]
+            rare = folded(set().union(*[x for x in words if x]))
+            return [long(t) if x is None else b"".join([known.get(w) or rare[w] for w in x]) for t, x in zip(texts, words, strict=True)]
 
         for frame in frames:
             for part in _slices(frame):
-                out = [encoded(t or "") for t in part["text"]]
+                out = encoded([t or "" for t in part["text"]])
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [np.frombuffer(x, "<i4") for x in out], "ids_le": out})
 
-    return run
+    return returning(run)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_WORDS) -> DataFrame:
@@ -228,7 +315,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_
     shared = docs.sparkSession.sparkContext.broadcast(folded)
     # The driver keeps nothing of the table: its memory goes back before the documents are read.
     del folded
-    pa.default_memory_pool().release_unused()
+    release_memory()
     rows = docs.select(id_text(), "text").mapInPandas(_encoder(pattern, ranks_path, shared), ENCODED)
     return rows.select(id_back(), "ids", "ids_le")
 
