@@ -396,6 +396,20 @@ def test_counts_come_from_the_cache_once_known(edge, edge_rows, spark, tmp_path)
     assert other.count() == 9 and stored() == all_ + 9
 
 
+def test_stretches_are_asked_for_once_and_count_as_the_library_has_it(monkeypatch):
+    monkeypatch.setattr(tokencounts, "REMEMBERED_BYTES", 20_000)
+    path, chance = P.path("byte_bpe_50k.json"), random.Random(3)
+    tokens, counts = Tokenizer.from_file(path), tokencounts._encoder(path)
+    some = [*" \t\n\r\x0b\x1c\x1f\x85\xa0\u1680\u2003\u200b\u2028\u3000\ufeff", *"ab'sdtm!?.019\u00e9\u4e2d\u0627\u0301\u0663\U0001f600", "<|endoftext|>", "'ll", " the"]
+    texts = ["".join(chance.choice(some) for _ in range(chance.randrange(30))) for _ in range(5000)]
+    want = [len(tokens.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [n for k in range(0, len(texts), 61) for n in counts(texts[k : k + 61])] == want
+    asked = []
+    by = tokencounts._by_stretch(lambda given: asked.extend(given) or [len(t) for t in given], ["<x>"])
+    assert by(["one two one two", "a<x> two", "", " two one"]) + by(["one two"]) == [15, 8, 0, 8, 7]
+    assert sorted(asked) == [" one", " two", "a<x> two", "one"]
+
+
 # 7: language id
 
 def test_language_of_held_out_documents(spark):

@@ -9,6 +9,9 @@ The cache is a Parquet table of (content, tokenizer, n_tokens) partitioned by
 tokenizer. Spark commits an append as a whole; two jobs that append the same
 text at once store one count twice, which reading folds.
 
+The tokenizer is asked once for a stretch of text that a task still remembers, where its settings say that a text's
+tokens are those of its stretches; else, and for texts with special strings, it is given whole texts.
+
 Equal texts are encoded once, however many there are. An empty table appends
 nothing. Repeated rows each get their count. Texts of any length are encoded whole,
 a very long one by itself. Other columns are ignored.
@@ -17,7 +20,9 @@ a very long one by itself. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +36,11 @@ LIMIT = 512
 CACHE = "content binary, n_tokens bigint, tokenizer string"
 #: Characters given to the tokenizer at once: what bounds a worker's memory.
 BATCH_CHARS = 1_000_000
+#: Stretches, which together are the whole text: white space as Unicode has it, with what follows up to the next.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRETCH = rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
+#: Beyond so many bytes a task forgets its stretches before the next batch; one takes about this and its characters.
+REMEMBERED_BYTES, _ENTRY_BYTES = 32_000_000, 100
 
 
 def file_digest(path: str) -> str:
@@ -51,7 +61,50 @@ def _encoder(path: str):
     words = Tokenizer.from_file(path)
     words.no_truncation()
     words.no_padding()
-    return lambda texts: [len(x) for x in words.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(texts):
+        return [len(x) for x in words.encode_batch_fast(texts, add_special_tokens=False)]
+
+    with open(path, "rb") as f:
+        settings = json.load(f)
+    return _by_stretch(whole, [x["content"] for x in settings["added_tokens"]]) if _parts_at_space(settings) else whole
+
+
+def _parts_at_space(settings: dict) -> bool:
+    """Whether a text's tokens are those of its stretches (see ``STRETCH``), one after the other.
+
+    So it is for the split pattern of ``ByteLevel``: no match goes from other characters on to white space, the
+    pattern never looks back, and it looks ahead from white space only. Nothing else may change or join what it splits.
+    """
+    split = settings["pre_tokenizer"] or {}
+    return (
+        settings["normalizer"] is None and settings["post_processor"] is None and settings["model"]["type"] == "BPE"
+        and split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+        and settings["model"].get("dropout") is None
+    )
+
+
+def _by_stretch(whole, special: list[str]):
+    """``whole``, a function from texts to numbers of tokens, asked only for stretches that are not remembered.
+
+    Texts with a special string, which the tokenizer cuts out first, are given to it whole.
+    """
+    cut, known, held = re.compile(STRETCH).findall, {}, 0
+
+    def count(texts):
+        nonlocal held
+        if held > REMEMBERED_BYTES:
+            known.clear()
+            held = 0
+        uncut = [any(x and x in t for x in special) for t in texts]
+        cuts = [[] if u else cut(t) for t, u in zip(texts, uncut, strict=True)]
+        new = list(set().union(*cuts) - known.keys())
+        held += sum(map(len, new)) + _ENTRY_BYTES * len(new)
+        known.update(zip(new, whole(new), strict=True))
+        others = iter(whole([t for t, u in zip(texts, uncut, strict=True) if u]))
+        return [next(others) if u else sum(map(known.__getitem__, found)) for u, found in zip(uncut, cuts, strict=True)]
+
+    return count
 
 
 def _batches(texts: pa.Array) -> Iterator[list[str]]:
