@@ -316,6 +316,15 @@ def test_probabilities_of_a_context_sum_to_one(edge):
     assert mass == pytest.approx(1, rel=1e-3)
 
 
+def test_no_plan_of_the_model_holds_more_than_one_order(edge, monkeypatch):
+    plans, write = [], kneserney.written
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    monkeypatch.setattr(kneserney, "written", lambda df, label: plans.append(exchanges(df)) or write(df, label))
+    table = write(kneserney.gram_counts(edge.select("text", F.expr("IF(doc_id % 2 = 0, 'train', NULL)").alias("role"))), "grams")
+    plans.append(exchanges(kneserney.log_probabilities(table)))
+    assert max(plans) <= 4
+
+
 def test_quality_keeps_clean_text_and_rejects_junk(spark):
     spark_dir = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{spark_dir}/{t}.parquet") for t in ("documents", "labels"))

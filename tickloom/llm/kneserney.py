@@ -143,27 +143,35 @@ def discounts(counts: DataFrame) -> list[float]:
 
 
 def log_probabilities(table: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, lp) for every n-gram of ``table`` (g, c), by interpolation of all orders."""
-    kinds, counts = {order: table.select("g")}, {order: table.where("c > 0")}
+    """(g, lp) for every n-gram of ``table`` (g, c), by interpolation of all orders.
+
+    Each order's counts and probabilities are written, so that no plan holds more than one order: the driver
+    keeps, and after each stage renews, what a plan says of itself.
+    """
+    counts = {order: table}
     for k in range(order - 1, 0, -1):
-        kinds[k] = kinds[k + 1].select(_suffix(k + 1).alias("g")).distinct()
-        counts[k] = written(counts[k + 1].groupBy(_suffix(k + 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), "continuations")
+        # An n-gram that only stands outside training text has count zero.
+        continued = counts[k + 1].groupBy(_suffix(k + 1).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c"))
+        counts[k] = written(continued, "continuations")
     below = None
     for k in range(1, order + 1):
         d1, d2, d3 = discounts(counts[k])
         context = F.shiftright("g", 8)
         held = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        totals = counts[k].groupBy(context.alias("h")).agg(
+        totals = counts[k].where("c > 0").groupBy(context.alias("h")).agg(
             F.sum("c").alias("total"),
             (F.count_if(F.col("c") == 1) * d1 + F.count_if(F.col("c") == 2) * d2 + F.count_if(F.col("c") > 2) * d3).alias("freed"),
         )
-        rows = kinds[k].withColumn("h", context).join(counts[k], "g", "left").join(totals, "h", "left")
+        rows = counts[k].withColumn("h", context).join(totals, "h", "left")
         if below is None:
             rows = rows.withColumn("rest", F.lit(1 / 256))
         else:
             rows = rows.withColumn("s", _suffix(k)).join(below.select(F.col("g").alias("s"), F.col("p").alias("rest")), "s")
-        p = (F.coalesce(F.col("c") - held, F.lit(0.0)) + F.col("freed") * F.col("rest")) / F.col("total")
+        own = F.when(F.col("c") > 0, F.col("c") - held).otherwise(F.lit(0.0))
+        p = (own + F.col("freed") * F.col("rest")) / F.col("total")
         below = rows.select("g", F.coalesce(p, F.col("rest")).alias("p"))
+        if k < order:
+            below = written(below, "probabilities")
     return below.select("g", F.log("p").cast("float").alias("lp"))
 
 
