@@ -3,9 +3,10 @@
 Words are the matches of the split pattern. Spark counts them, and folds the
 merges of the most frequent ``CACHED_WORDS`` with higher-order functions: a word
 starts as an array of bytes, and each step joins the leftmost pair with the
-lowest rank in a literal map, until no pair has a rank. The map is a literal
-array of small maps, chosen by a hash of the pair, as a lookup in one map of all
-ranks would read through half of it.
+lowest rank in a constant map, until no pair has a rank. The map is an array of
+small maps, chosen by a hash of the pair, as a lookup in one map of all ranks
+would read through half of it. It is a scalar subquery's value: Spark keeps the
+text of each plan, and would keep every rank with it if they were written there.
 
 The folded words are a table of proven size (``CACHED_WORDS`` rows of at most
 ``CACHED_BYTES`` bytes), so they are broadcast: all words that occur at least so
@@ -16,7 +17,7 @@ these, from one task to the next. Words of over ``SCANNED_BYTES`` go through a
 heap, so they take time near their length.
 Ids thus never depend on what is in the cache, and no text moves.
 
-Decoding looks up each id's piece in a literal array and concatenates the pieces.
+Decoding looks up each id's piece in a constant array and concatenates the pieces.
 
 Null text counts as empty and gives no ids. Repeated rows are encoded alike. An
 empty table gives no rows. Special strings are ordinary text.
@@ -31,7 +32,7 @@ import os
 import struct
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,7 @@ CACHED_WORDS, CACHED_BYTES, REMEMBERED_WORDS = 100_000, 32, 100_000
 #: Words up to this length are folded by scanning their pairs. Characters encoded at once: what bounds a task's memory.
 SCANNED_BYTES, SLICE_CHARS = 128, 2_000_000
 BUCKETS = 16_384
+RANK_BUCKETS, PIECES = "array<map<string,int>>", "array<string>"
 #: Bytes of the words that are folded at once; a rank beyond all others.
 _CELLS, _NO_RANK = 500_000, (1 << 31) - 1
 ENCODED = "doc_id string, ids array<int>, ids_le binary"
@@ -58,13 +60,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """Function from a binary column to its rank, or NULL."""
+def with_constant(df: DataFrame, name: str, value: list, kind: str) -> DataFrame:
+    """``df`` with ``value`` as a column of type ``kind``, by a subquery that runs once.
+
+    Use the column once: then it is a constant of the expression that uses it, and no row carries it.
+    """
+    row = df.sparkSession.createDataFrame([(json.dumps(value),)], "value string")
+    return df.withColumn(name, row.select(F.from_json("value", kind)).scalar())
+
+
+def rank_buckets(ranks: dict[bytes, int]) -> list[dict[str, int]]:
+    """All ranks in ``BUCKETS`` small maps."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         key = piece.hex().upper()
         buckets[xxhash.xxh64_intdigest(key.encode(), 42) % BUCKETS][key] = rank
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return buckets
+
+
+def rank_lookup(table: Column):
+    """Function from a binary column to its rank in a column of ``rank_buckets``, or NULL."""
 
     def rank(piece: Column) -> Column:
         def of(key: Column) -> Column:
@@ -76,9 +91,19 @@ def rank_lookup(ranks: dict[bytes, int]):
     return rank
 
 
-def folded_ids(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The word's ids, by merging bytes in the order of rank."""
-    rank = rank_lookup(ranks)
+def folded_ids(word: Column, ranks: dict[bytes, int] | Column) -> Column:
+    """The word's ids, by merging bytes in the order of rank. ``ranks`` may be a column of ``rank_buckets``."""
+    table = ranks if isinstance(ranks, Column) else F.from_json(F.lit(json.dumps(rank_buckets(ranks))), RANK_BUCKETS)
+    return bound_once(table, lambda t: _folded(word, rank_lookup(t)))
+
+
+def folded_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, ids) by ``folded_ids``."""
+    known = with_constant(words.select("word"), "ranks", rank_buckets(ranks), RANK_BUCKETS)
+    return known.select("word", folded_ids(F.col("word"), F.col("ranks")).alias("ids"))
+
+
+def _folded(word: Column, rank: Callable[[Column], Column]) -> Column:
     raw = word.cast("binary")
     single = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
     start = F.struct(single.alias("parts"), (F.octet_length(raw) > 1).alias("going"))
@@ -307,7 +332,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_
     ship_by_value(__name__)
     words = frequent_words(docs, pattern, cached)
     folded: dict[str, bytes] = {}
-    for batch in words.select("word", folded_ids(F.col("word"), read_ranks(ranks_path)).alias("ids")).toArrow().to_batches():
+    for batch in folded_words(words, read_ranks(ranks_path)).toArrow().to_batches():
         ids = batch["ids"]
         flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(ids.value_lengths().to_numpy()) * 4
         starts = np.concatenate([[0], ends[:-1]])
@@ -320,20 +345,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, cached: int = CACHED_
     return rows.select(id_back(), "ids", "ids_le")
 
 
-def decoded(ids: Column, ranks_path: str) -> Column:
-    """The bytes that ``ids`` stand for."""
+def id_pieces(ranks_path: str) -> list[str]:
+    """Each id's piece in hex."""
     ranks = read_ranks(ranks_path)
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    return pieces
+
+
+def decoded(ids: Column, ranks_path: str | Column) -> Column:
+    """The bytes that ``ids`` stand for. Instead of a rank file, a column of ``id_pieces`` will do."""
+    table = ranks_path if isinstance(ranks_path, Column) else F.from_json(F.lit(json.dumps(id_pieces(ranks_path))), PIECES)
+    return bound_once(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = encode(docs, ranks_path, pattern)
+    coded = with_constant(encode(docs, ranks_path, pattern), "pieces", id_pieces(ranks_path), PIECES)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), ranks_path), 256).alias("decoded_sha256"),
+        F.sha2(decoded(F.col("ids"), F.col("pieces")), 256).alias("decoded_sha256"),
     )
